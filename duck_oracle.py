@@ -254,3 +254,134 @@ _EXTRA: list = []
 def register(fn):
     _EXTRA.append(fn)
     return fn
+
+
+# ---- batch 2: injectors, amplify, drift, metrics ---------------------------------------------
+
+MONEY = ["amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest"]
+PSI_FEATURES = ["log1p_amount", "log1p_amount_orig_balance_ratio", "balance_delta_dest"]
+
+
+def rule_score(src_cols: str = "") -> str:
+    return ("round((ln(1 + greatest(amount, 0)) / 12 + 0.3 * CASE WHEN type IN ('TRANSFER','CASH_OUT') THEN 1.0 ELSE 0.0 END"
+            " + 0.2 * isFlaggedFraud) / 1.5, 3)")
+
+
+def _psi_sql(long_cte: str, by: str, cur_filter: str, ref_filter: str, win_expr: str) -> str:
+    """PSI of L(by..., step, value) by slices; written from the definition with quantile_cont."""
+    probs = "[" + ", ".join(dbl(i / 20) for i in range(21)) + "]"
+    lin = "[lo + i * (hi - lo) / 20.0 for i in range(20)] || [hi]"
+    on = " AND ".join(f"a.{k} = b.{k}" for k in by.split(", "))
+    return f"""{long_cte},
+R AS (SELECT * FROM L WHERE {ref_filter}),
+C AS (SELECT *, {win_expr} AS win FROM L WHERE {cur_filter}),
+E AS (SELECT {by}, quantile_cont(value, {probs}) AS qe, min(value) AS rmin, max(value) AS rmax, count(*) AS n_ref
+      FROM R GROUP BY {by}),
+S AS (SELECT {by}, win, min(value) AS cmin, max(value) AS cmax FROM C GROUP BY {by}, win),
+SE0 AS (SELECT S.*, E.qe, E.rmin, E.rmax, E.n_ref, least(rmin, cmin) - 1e-6 AS lo, greatest(rmax, cmax) + 1e-6 AS hi
+        FROM S JOIN E USING ({by})),
+SE AS (SELECT *, CASE WHEN len(list_distinct(qe)) < 2 THEN {lin}
+                 ELSE [least(qe[1], lo)] || qe[2:20] || [greatest(qe[21], hi)] END AS edges FROM SE0),
+RB AS (SELECT a.{by.replace(', ', ', a.')}, a.win, least(greatest(len(list_filter(a.edges, lambda e: e <= b.value)) - 1, 0), 19) AS bin
+       FROM SE a JOIN R b ON {on}),
+CB AS (SELECT a.{by.replace(', ', ', a.')}, a.win, least(greatest(len(list_filter(a.edges, lambda e: e <= b.value)) - 1, 0), 19) AS bin
+       FROM SE a JOIN C b ON {on} AND a.win = b.win),
+G AS (SELECT {by}, win, CAST(g.bin AS INTEGER) AS bin, n_ref FROM SE, unnest(range(0, 20)) g(bin)),
+H AS (SELECT G.*, coalesce(rc.c, 0) AS rc, coalesce(cc.c, 0) AS cc FROM G
+      LEFT JOIN (SELECT {by}, win, bin, count(*) AS c FROM RB GROUP BY ALL) rc USING ({by}, win, bin)
+      LEFT JOIN (SELECT {by}, win, bin, count(*) AS c FROM CB GROUP BY ALL) cc USING ({by}, win, bin)),
+H2 AS (SELECT *, rc / greatest(sum(rc) OVER w, 1) + 1e-6 AS r0, cc / greatest(sum(cc) OVER w, 1) + 1e-6 AS c0,
+              sum(cc) OVER w AS cn FROM H WINDOW w AS (PARTITION BY {by}, win)),
+H3 AS (SELECT *, r0 / sum(r0) OVER w AS r, c0 / sum(c0) OVER w AS c FROM H2 WINDOW w AS (PARTITION BY {by}, win)),
+P AS (SELECT {by}, win, CASE WHEN max(n_ref) = 0 OR max(cn) = 0 THEN 0.0 ELSE sum((r - c) * ln(r / c)) END AS psi
+      FROM H3 GROUP BY {by}, win)"""
+
+
+def _drift_long() -> str:
+    fx = feature_exprs()
+    parts = " UNION ALL ".join(f"SELECT silo_id, step, '{f}' AS feature, coalesce({fx[f]}, 0.0) AS value FROM dtx"
+                               for f in PSI_FEATURES)
+    return (f"WITH {tx_cte()}, {silo_cte()}, dtx AS (SELECT * REPLACE (CASE WHEN step >= 2000 THEN amount * 3.0 "
+            f"ELSE amount END AS amount) FROM stx), L AS ({parts})")
+
+
+def _curve(src: str, by: str) -> str:
+    return f"""sc AS (SELECT {by}, score, sum(y) AS pos, sum(1 - y) AS neg FROM {src} GROUP BY {by}, score),
+cu AS (SELECT *, sum(pos) OVER (PARTITION BY {by} ORDER BY score DESC) AS cum_pos,
+              sum(neg) OVER (PARTITION BY {by} ORDER BY score DESC) AS cum_neg,
+              sum(pos) OVER (PARTITION BY {by}) AS P, sum(neg) OVER (PARTITION BY {by}) AS N FROM sc)"""
+
+
+ROC = "CASE WHEN max(P) > 0 AND max(N) > 0 THEN sum(pos * (N - cum_neg + 0.5 * neg)) / (max(P) * max(N)) END"
+AP = "CASE WHEN max(P) > 0 THEN sum((pos / P) * (cum_pos / (cum_pos + cum_neg))) END"
+REC = "CASE WHEN max(P) > 0 THEN coalesce(max(CASE WHEN cum_neg / N <= 0.01 THEN cum_pos / P END), 0.0) END"
+
+
+@register
+def _batch2() -> dict[str, str]:
+    q: dict[str, str] = {}
+    stx = f"WITH {tx_cte()}, {silo_cte()}"
+    flip = f"{hash01('flip', 'CAST(event_id AS VARCHAR)')} < 0.5"
+    q["inject_label_flip"] = (f"{stx} SELECT event_id, silo_id, CASE WHEN silo_id = 'silo-1' AND {flip} "
+                              f"THEN 1 - isFraud ELSE isFraud END AS isFraud FROM stx")
+    flip1 = f"{hash01('flip', 'CAST(event_id AS VARCHAR)')} < 1.0"
+    q["inject_label_flip_all"] = f"WITH {tx_cte()} SELECT event_id, CASE WHEN {flip1} THEN 1 - isFraud ELSE isFraud END AS isFraud FROM tx"
+    q["inject_drift"] = (f"WITH {tx_cte()} SELECT event_id, step, {rnd('CASE WHEN step >= 2000 THEN amount * 3.0 ELSE amount END')} "
+                         f"AS amount FROM tx")
+    key = "concat(CAST(event_id AS VARCHAR), ':', CAST(copy AS VARCHAR))"
+    money = ", ".join(
+        f"{rnd(f'CASE WHEN copy > 0 THEN {c} * exp(0.1 * {normal01(f'amp/{c}', key)}) ELSE {c} END')} AS {c}" for c in MONEY)
+    off = f"CAST(floor({hash01('amp/step', 'CAST(copy AS VARCHAR)')} * 99) + 1 AS INTEGER)"
+    amp_src = f"WITH {tx_cte()}, a AS (SELECT tx.*, CAST(c.copy AS INTEGER) AS copy FROM tx, unnest(range(0, {{f}})) c(copy))"
+    q["amplify"] = (amp_src.format(f=3) + f" SELECT event_id, copy, CASE WHEN copy > 0 THEN step + {off} ELSE step END AS step, "
+                    f"CASE WHEN copy > 0 THEN concat(nameOrig, '_amp', CAST(copy AS VARCHAR)) ELSE nameOrig END AS nameOrig, "
+                    f"CASE WHEN copy > 0 THEN concat(nameDest, '_amp', CAST(copy AS VARCHAR)) ELSE nameDest END AS nameDest, "
+                    f"isFraud, type, {money} FROM a")
+    q["amplify_class_rates"] = (amp_src.format(f=4) + " SELECT copy, type, count(*) AS n, "
+                                f"{rnd('avg(isFraud)')} AS fraud_rate FROM a GROUP BY copy, type")
+    q["sampled_class_rates"] = f"WITH {tx_cte()} SELECT type, {rnd('avg(isFraud)')} AS fraud_rate, count(*) AS n FROM tx GROUP BY type"
+    q["distinct_types"] = f"WITH {tx_cte()} SELECT DISTINCT type FROM tx"
+    q["class_balance"] = (f"{stx} SELECT silo_id, sum(isFraud) AS n_pos, sum(1 - isFraud) AS n_neg, "
+                          f"{rnd('sum(1 - isFraud) / greatest(sum(isFraud), 1)')} AS pos_weight FROM stx GROUP BY silo_id")
+    cum = share_fractions(DEFAULT_SHARES)
+    tgt = " UNION ALL ".join(f"SELECT 'silo-{i}' AS silo_id, {dbl(s / sum(DEFAULT_SHARES))} AS target_share"
+                             for i, s in enumerate(DEFAULT_SHARES))
+    q["partition_report"] = (
+        f"{stx}, r AS (SELECT silo_id, type, count(*) AS n FROM stx GROUP BY ROLLUP (silo_id, type)), "
+        f"tot AS (SELECT count(*) AS t FROM stx), tg AS ({tgt}) "
+        f"SELECT r.silo_id, type, n, {rnd('CASE WHEN r.silo_id IS NOT NULL AND type IS NULL THEN n / t END')} AS share, "
+        f"{rnd('CASE WHEN r.silo_id IS NOT NULL AND type IS NULL THEN n / t END - target_share')} AS share_error "
+        f"FROM r CROSS JOIN tot LEFT JOIN tg ON r.silo_id = tg.silo_id")
+    q["partition_chi2"] = (
+        f"{stx}, s AS (SELECT DISTINCT silo_id FROM stx), t AS (SELECT DISTINCT type FROM stx), "
+        f"o AS (SELECT silo_id, type, count(*) AS o FROM stx GROUP BY ALL), "
+        f"g AS (SELECT s.silo_id, t.type, coalesce(o.o, 0) AS o, "
+        f"(SELECT count(*) FROM stx x WHERE x.silo_id = s.silo_id) * (SELECT count(*) FROM stx y WHERE y.type = t.type) "
+        f"/ (SELECT count(*) FROM stx) AS e FROM s CROSS JOIN t LEFT JOIN o ON o.silo_id = s.silo_id AND o.type = t.type) "
+        f"SELECT silo_id, {rnd('sum((o - e) * (o - e) / e)')} AS chi2 FROM g GROUP BY silo_id")
+    dl = _drift_long()
+    probs = "[" + ", ".join(dbl(i / 20) for i in range(21)) + "]"
+    q["quantile_edges"] = (f"{dl}, R AS (SELECT * FROM L WHERE step < 1000), E AS (SELECT silo_id, feature, "
+                           f"quantile_cont(value, {probs}) AS qe FROM R GROUP BY ALL) "
+                           f"SELECT silo_id, feature, CAST(i - 1 AS INTEGER) AS p_idx, "
+                           f"{rnd('qe[i]')} AS q FROM E, unnest(range(1, 22)) t(i)")
+    psi = _psi_sql(dl, "silo_id, feature", "step >= 1000", "step < 1000", "CAST((step - 1000) // 250 AS INTEGER)")
+    q["histogram_counts"] = psi + " SELECT silo_id, feature, win, bin, cc AS cnt FROM H"
+    q["psi"] = psi + f" SELECT silo_id, feature, win, {rnd('psi')} AS psi FROM P"
+    q["drift_alerts"] = psi + f" SELECT silo_id, feature, win, {rnd('psi')} AS psi FROM P WHERE psi > 0.2"
+    ev_long = (f"WITH {tx_cte('events')}, L AS (SELECT type, step, ln(1 + amount) AS value, "
+               f"CAST(step // 24 AS INTEGER) AS day FROM tx)")
+    q["psi_events"] = _psi_sql(ev_long, "type", "day >= 10", "day < 10", "day").replace(
+        "SELECT *, day AS win FROM L", "SELECT * EXCLUDE (day), day AS win FROM L") + \
+        f" SELECT type, win AS day, {rnd('psi')} AS psi FROM P"
+    sc = f"{stx}, s AS (SELECT silo_id, isFraud AS y, {rule_score()} AS score FROM stx)"
+    q["auc_roc"] = f"{sc}, s1 AS (SELECT 0 AS g, * FROM s), {_curve('s1', 'g')} SELECT {rnd(ROC)} AS auc_roc FROM cu"
+    q["auc_pr"] = f"{sc}, s1 AS (SELECT 0 AS g, * FROM s), {_curve('s1', 'g')} SELECT {rnd(AP)} AS auc_pr FROM cu"
+    q["silo_auc"] = f"{sc}, {_curve('s', 'silo_id')} SELECT silo_id, {rnd(ROC)} AS auc_roc, {rnd(AP)} AS auc_pr FROM cu GROUP BY silo_id"
+    q["recall_at_fpr"] = f"{sc}, {_curve('s', 'silo_id')} SELECT silo_id, {rnd(REC)} AS recall_at_fpr FROM cu GROUP BY silo_id"
+    q["classification_report"] = (f"{sc}, {_curve('s', 'silo_id')} SELECT silo_id, {rnd(ROC)} AS auc_roc, {rnd(AP)} AS auc_pr, "
+                                  f"{rnd(REC)} AS recall_at_fpr FROM cu GROUP BY silo_id")
+    bce = ("-(pw) * y * ln(least(greatest(score, 1e-7), 1 - 1e-7)) - (1 - y) * ln(1 - least(greatest(score, 1e-7), 1 - 1e-7))")
+    q["weighted_bce"] = (f"{sc}, cb AS (SELECT silo_id, sum(1 - y) / greatest(sum(y), 1) AS pw FROM s GROUP BY silo_id) "
+                         f"SELECT silo_id, {rnd(f'avg({bce})')} AS bce FROM s JOIN cb USING (silo_id) GROUP BY silo_id")
+    return q

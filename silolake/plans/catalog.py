@@ -202,3 +202,174 @@ def q_distributed_rank(spark, sf):
 def P_TYPES():
     from silolake.schemas import TX_TYPES
     return TX_TYPES
+
+
+# ---- 2.2 injectors / amplify -----------------------------------------------------------------
+
+from silolake.operators import amplify as AMP  # noqa: E402
+from silolake.operators import drift as DR  # noqa: E402
+from silolake.operators import inject as INJ  # noqa: E402
+from silolake.operators import metrics as M  # noqa: E402
+from silolake.operators.ranking import exact_quantiles  # noqa: E402
+
+DRIFT_STEP, REF_END, WIN = 2000, 1000, 250
+PSI_FEATURES = ["log1p_amount", "log1p_amount_orig_balance_ratio", "balance_delta_dest"]
+
+
+def rule_score(df: DataFrame) -> Column:
+    """A fixed, deterministic fraud score used to exercise the metrics on real rows (ties included)."""
+    risky = F.col("type").isin("TRANSFER", "CASH_OUT").cast("double")
+    raw = F.log1p(F.greatest("amount", F.lit(0.0))) / 12 + 0.3 * risky + 0.2 * F.col("isFlaggedFraud")
+    return F.round(raw / 1.5, 3)
+
+
+from pyspark.sql import Column  # noqa: E402
+
+
+@query("inject_label_flip")
+def q_inject_label_flip(spark, sf):
+    return INJ.inject_label_flip(_stx(spark, sf), 0.5, 42, silo="silo-1").select("event_id", "silo_id", "isFraud")
+
+
+@query("inject_label_flip_all")
+def q_inject_label_flip_all(spark, sf):
+    return INJ.inject_label_flip(TB.tx_lineitem(spark, sf), 1.0, 42).select("event_id", "isFraud")
+
+
+@query("inject_drift")
+def q_inject_drift(spark, sf):
+    return rounded(INJ.inject_drift(TB.tx_lineitem(spark, sf), DRIFT_STEP, 3.0).select("event_id", "step", "amount"))
+
+
+@query("amplify")
+def q_amplify(spark, sf):
+    a = AMP.amplify(TB.tx_lineitem(spark, sf), 3, 42, 0.1)
+    return rounded(a.select("event_id", "copy", "step", "nameOrig", "nameDest", "isFraud", "type", *AMP.MONEY_COLS))
+
+
+@query("amplify_class_rates")
+def q_amplify_class_rates(spark, sf):
+    a = AMP.amplify(TB.tx_lineitem(spark, sf), 4, 42, 0.1)
+    return rounded(a.groupBy("copy", "type").agg(F.count(F.lit(1)).alias("n"), F.avg("isFraud").alias("fraud_rate")))
+
+
+@query("sampled_class_rates")
+def q_sampled_class_rates(spark, sf):
+    return rounded(TB.tx_lineitem(spark, sf).groupBy("type").agg(F.avg("isFraud").alias("fraud_rate"),
+                                                                 F.count(F.lit(1)).alias("n")))
+
+
+# ---- 2.4 aggregations: partition reports ------------------------------------------------------
+
+@query("distinct_types")
+def q_distinct_types(spark, sf):
+    return TB.tx_lineitem(spark, sf).select("type").distinct()
+
+
+@query("class_balance")
+def q_class_balance(spark, sf):
+    return rounded(M.class_balance(_stx(spark, sf)))
+
+
+@query("partition_report")
+def q_partition_report(spark, sf):
+    from silolake.plans.reports import partition_report
+    return rounded(partition_report(_stx(spark, sf), P.DEFAULT_SHARES))
+
+
+@query("partition_chi2")
+def q_partition_chi2(spark, sf):
+    from silolake.plans.reports import type_mix_chi2
+    return rounded(type_mix_chi2(_stx(spark, sf)))
+
+
+# ---- 2.4 drift ---------------------------------------------------------------------------------
+
+def drift_long(spark, sf) -> DataFrame:
+    """Per-silo scalar features over drifted transactions, long form (silo_id, step, feature, value)."""
+    stx = INJ.inject_drift(_stx(spark, sf), DRIFT_STEP, 3.0)
+    f = stx.withColumns({k: clean(v) for k, v in scalar_feature_columns(stx).items() if k in PSI_FEATURES})
+    return DR.long_features(f, PSI_FEATURES, ["silo_id", "step"])
+
+
+def drift_ref_cur(spark, sf):
+    lf = drift_long(spark, sf)
+    ref = lf.filter(F.col("step") < REF_END)
+    cur = lf.filter(F.col("step") >= REF_END).withColumn("win", ((F.col("step") - REF_END) / WIN).cast("int"))
+    return ref, cur
+
+
+@query("quantile_edges")
+def q_quantile_edges(spark, sf):
+    ref, _ = drift_ref_cur(spark, sf)
+    q = exact_quantiles(ref, "value", ["silo_id", "feature"], [i / 20 for i in range(21)])
+    return rounded(q.select("silo_id", "feature", "p_idx", "q"))
+
+
+@query("histogram_counts")
+def q_histogram_counts(spark, sf):
+    ref, cur = drift_ref_cur(spark, sf)
+    edges = DR.psi_edges(ref, cur, "value", ["silo_id", "feature"], ["win"])
+    return DR.histogram_counts(cur, "value", ["silo_id", "feature", "win"], edges)
+
+
+@query("psi")
+def q_psi(spark, sf):
+    ref, cur = drift_ref_cur(spark, sf)
+    return rounded(DR.psi(ref, cur, "value", ["silo_id", "feature"], ["win"]))
+
+
+@query("drift_alerts")
+def q_drift_alerts(spark, sf):
+    ref, cur = drift_ref_cur(spark, sf)
+    return rounded(DR.drift_alerts(DR.psi(ref, cur, "value", ["silo_id", "feature"], ["win"])))
+
+
+@query("psi_events")
+def q_psi_events(spark, sf):
+    """PSI of log1p(amount) per sender-type over days: days 0–9 reference, later days current."""
+    tx = TB.tx_events(spark, sf).withColumn("value", F.log1p("amount")).withColumn("day", (F.col("step") / 24).cast("int"))
+    ref = tx.filter(F.col("day") < 10)
+    cur = tx.filter(F.col("day") >= 10)
+    return rounded(DR.psi(ref, cur, "value", ["type"], ["day"]))
+
+
+# ---- 2.4 classification metrics --------------------------------------------------------------
+
+def scored(spark, sf) -> DataFrame:
+    stx = _stx(spark, sf)
+    return stx.select("event_id", "silo_id", "isFraud", rule_score(stx).alias("score"),
+                      F.col("isFraud").cast("double").alias("label"))
+
+
+@query("auc_roc")
+def q_auc_roc(spark, sf):
+    return rounded(M.auc_roc(scored(spark, sf)))
+
+
+@query("auc_pr")
+def q_auc_pr(spark, sf):
+    return rounded(M.auc_pr(scored(spark, sf)))
+
+
+@query("silo_auc")
+def q_silo_auc(spark, sf):
+    s = scored(spark, sf)
+    return rounded(M.auc_roc(s, ["silo_id"]).join(M.auc_pr(s, ["silo_id"]), "silo_id"))
+
+
+@query("recall_at_fpr")
+def q_recall_at_fpr(spark, sf):
+    return rounded(M.recall_at_fpr(scored(spark, sf), ["silo_id"], 0.01))
+
+
+@query("classification_report")
+def q_classification_report(spark, sf):
+    return rounded(M.classification_report(scored(spark, sf), ["silo_id"]))
+
+
+@query("weighted_bce")
+def q_weighted_bce(spark, sf):
+    s = scored(spark, sf)
+    cb = M.class_balance(s)
+    return rounded(M.weighted_bce(s.join(F.broadcast(cb.select("silo_id", "pos_weight")), "silo_id")))
