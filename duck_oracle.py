@@ -385,3 +385,121 @@ def _batch2() -> dict[str, str]:
     q["weighted_bce"] = (f"{sc}, cb AS (SELECT silo_id, sum(1 - y) / greatest(sum(y), 1) AS pw FROM s GROUP BY silo_id) "
                          f"SELECT silo_id, {rnd(f'avg({bce})')} AS bce FROM s JOIN cb USING (silo_id) GROUP BY silo_id")
     return q
+
+
+# ---- batch 3: updates and rounds -------------------------------------------------------------
+
+def _ul(src_upd: str | None = None) -> str:
+    if src_upd is None:
+        return f"ul AS ({UPD_LONG})"
+    return (f"ul AS (SELECT round, silo_id, n_samples AS n, CAST(i - 1 AS INTEGER) AS pos, delta[i] AS v "
+            f"FROM {src_upd}, unnest(range(1, len(delta) + 1)) t(i))")
+
+
+TRIM_SQL = """tm_x AS (SELECT *, count(*) OVER (PARTITION BY round, pos) AS k,
+                 row_number() OVER (PARTITION BY round, pos ORDER BY v, silo_id) AS rk FROM ul),
+tm_y AS (SELECT *, greatest(1, CAST(floor(k * 0.2) AS INTEGER)) AS tr FROM tm_x),
+tm AS (SELECT round, pos, CASE WHEN max(k) <= 2 * max(tr) THEN median(v)
+                           ELSE avg(CASE WHEN rk > tr AND rk <= k - tr THEN v END) END * 1.0 AS v FROM tm_y GROUP BY round, pos)"""
+
+COS_SQL = """med AS (SELECT round, pos, median(v) AS m FROM ul GROUP BY round, pos),
+per AS (SELECT round, silo_id, sum(v * m) AS dot, sqrt(sum(v * v)) AS nrm FROM ul JOIN med USING (round, pos) GROUP BY round, silo_id),
+mn AS (SELECT round, sqrt(sum(m * m)) AS mnorm FROM med GROUP BY round),
+cs AS (SELECT round, silo_id, CASE WHEN mnorm < 1e-10 THEN 1.0 ELSE dot / (nrm * mnorm + 1e-10) END AS cos FROM per JOIN mn USING (round)),
+rj AS (SELECT *, cos < 0.0 AND max(CASE WHEN cos >= 0.0 THEN 1 ELSE 0 END) OVER (PARTITION BY round) = 1 AS rejected FROM cs)"""
+
+QWRA_SQL = """surv AS (SELECT ul.* FROM ul JOIN rj USING (round, silo_id) WHERE NOT rejected),
+su AS (SELECT round, sum(u) AS su FROM (SELECT DISTINCT round, silo_id, pow(n, 0.5) AS u FROM surv) GROUP BY round),
+dq AS (SELECT round, pos, sum(pow(n, 0.5) / (su + 1e-10) * v) * 1.0 AS d FROM surv JOIN su USING (round) GROUP BY round, pos),
+ra AS (SELECT round, sqrt(sum((d - tm.v) * (d - tm.v))) / (sqrt(sum(tm.v * tm.v)) + 1e-10) AS ratio
+       FROM dq JOIN tm USING (round, pos) GROUP BY round)"""
+
+QWRA_OUT = ("SELECT dq.round, dq.pos, round(CASE WHEN ratio > 5.0 THEN tm.v ELSE d END, 6) AS v, ratio > 5.0 AS fallback "
+            "FROM dq JOIN tm USING (round, pos) JOIN ra USING (round)")
+
+POISONED = ("pu AS (SELECT * REPLACE (CASE WHEN silo_id = 'silo-1' THEN list_transform(delta, lambda x: x * -5.0) "
+            "ELSE delta END AS delta) FROM upd)")
+
+WIN_JOIN = ("a AS (SELECT u.*, r.round AS window_round FROM upd u LEFT JOIN rounds_v r "
+            "ON u.arrived_at > r.start_ts AND u.arrived_at <= r.deadline)")
+
+RESUB = ("rs AS (SELECT * FROM upd UNION ALL SELECT * REPLACE (arrived_at + INTERVAL 30 SECOND AS arrived_at, "
+         "train_loss * 0.9 AS train_loss) FROM upd)")
+
+
+def _round_updates_sql(src: str) -> str:
+    return f"""reg AS (SELECT * FROM {src} WHERE silo_id IN (SELECT silo_id FROM silos_v)),
+lat AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY round, silo_id ORDER BY arrived_at DESC) AS rn
+        FROM reg) WHERE rn = 1),
+cal AS (SELECT round, start_ts, deadline,
+        deadline + to_microseconds(CAST((epoch_us(deadline) - epoch_us(start_ts)) / 2 AS BIGINT)) AS ext FROM rounds_v),
+own AS (SELECT lat.*, start_ts, deadline, ext FROM lat JOIN cal USING (round)),
+q AS (SELECT CAST(ceil(0.6 * count(DISTINCT silo_id)) AS INTEGER) AS q FROM silos_v),
+st AS (SELECT round, sum(CASE WHEN arrived_at > start_ts AND arrived_at <= deadline THEN 1 ELSE 0 END) AS n_on,
+              sum(CASE WHEN arrived_at > start_ts AND arrived_at <= ext THEN 1 ELSE 0 END) AS n_ext,
+              any_value(deadline) AS dl, any_value(ext) AS ex FROM own GROUP BY round),
+cl AS (SELECT round, CASE WHEN n_on >= q THEN dl WHEN n_ext >= q THEN ex END AS close_ts FROM st, q),
+acc AS (SELECT own.round AS agg_round, own.round AS src_round, silo_id, 0 AS staleness, own.* EXCLUDE (round, silo_id)
+        FROM own JOIN cl USING (round) WHERE close_ts IS NOT NULL AND arrived_at > start_ts AND arrived_at <= close_ts),
+lt AS (SELECT c2.round AS agg_round, own.round AS src_round, silo_id, 1 AS staleness, own.* EXCLUDE (round, silo_id)
+       FROM own JOIN cl c1 ON own.round = c1.round JOIN cl c2 ON c2.round = own.round + 1
+       WHERE c1.close_ts IS NOT NULL AND arrived_at > c1.close_ts AND c2.close_ts IS NOT NULL AND arrived_at <= c2.close_ts),
+ru AS (SELECT *, pow(0.5, staleness) AS weight FROM (SELECT * FROM acc UNION ALL SELECT * FROM lt))"""
+
+
+@register
+def _batch3() -> dict[str, str]:
+    q: dict[str, str] = {}
+    base = f"WITH upd AS ({UPDATES}), rounds_v AS ({ROUNDS}), silos_v AS ({SILOS}), {_ul()}"
+    q["fedavg"] = f"{base} SELECT round, pos, {rnd('sum(pow(n, 0.5) * v) / sum(pow(n, 0.5)) * 1.0')} AS v FROM ul GROUP BY round, pos"
+    q["fedavg_textbook"] = f"{base} SELECT round, pos, {rnd('sum(pow(n, 1.0) * v) / sum(pow(n, 1.0)) * 0.5')} AS v FROM ul GROUP BY round, pos"
+    q["trimmed_mean"] = f"{base}, {TRIM_SQL} SELECT round, pos, {rnd('v')} AS v FROM tm"
+    q["coordinate_median"] = f"{base} SELECT round, pos, {rnd('median(v)')} AS v FROM ul GROUP BY round, pos"
+    q["update_cosine"] = f"{base}, {COS_SQL} SELECT round, silo_id, {rnd('cos')} AS cos FROM cs"
+    q["qwra_reject"] = f"{base}, {COS_SQL} SELECT round, silo_id, {rnd('cos')} AS cos, rejected FROM rj"
+    q["qwra"] = f"{base}, {TRIM_SQL}, {COS_SQL}, {QWRA_SQL} {QWRA_OUT}"
+    pbase = f"WITH upd AS ({UPDATES}), {POISONED}, {_ul('pu')}"
+    q["qwra_poisoned"] = f"{pbase}, {TRIM_SQL}, {COS_SQL}, {QWRA_SQL} {QWRA_OUT}"
+    q["inject_model_poison"] = f"{pbase} SELECT round, silo_id, pos, {rnd('v')} AS v FROM ul"
+    clip = ("cl AS (SELECT *, least(1.0, 1.0 / greatest(sqrt(list_sum([x * x for x in delta])), 1e-10)) AS sc FROM upd)")
+    q["l2_clip"] = (f"{base}, {clip} SELECT round, silo_id, {rnd('sqrt(list_sum([(x * sc) * (x * sc) for x in delta]))')} AS norm, "
+                    f"{rnd('delta[1] * sc')} AS d0, {rnd('delta[64] * sc')} AS d63 FROM cl")
+    nkey = "concat(CAST(round AS VARCHAR), ':', silo_id, ':', CAST(pos AS VARCHAR))"
+    q["gaussian_noise"] = (f"{base} SELECT round, silo_id, pos, {rnd(f'v + 0.8 * {normal01('noise/run', nkey)}')} AS v FROM ul")
+    q["dp_release"] = (f"{base}, {clip}, cu AS (SELECT round, silo_id, CAST(i - 1 AS INTEGER) AS pos, delta[i] * sc AS v "
+                       f"FROM cl, unnest(range(1, len(delta) + 1)) t(i)) "
+                       f"SELECT round, silo_id, pos, {rnd(f'v + 0.8 * {normal01('noise/run', nkey)}')} AS v FROM cu")
+    q["staleness_decay"] = (f"{base}, {WIN_JOIN} SELECT round, silo_id, greatest(window_round - round, 0) AS staleness, "
+                            f"{rnd('sqrt(list_sum([(x * pow(0.5, greatest(window_round - round, 0))) * (x * pow(0.5, greatest(window_round - round, 0))) for x in delta]))')} AS norm "
+                            f"FROM a WHERE window_round IS NOT NULL")
+    fa = "fa AS (SELECT round, pos, sum(pow(n, 0.5) * v) / sum(pow(n, 0.5)) * 1.0 AS v FROM ul GROUP BY round, pos)"
+    mv = "mv AS (SELECT round + 2 AS version, round, pos, sum(v) OVER (PARTITION BY pos ORDER BY round ROWS UNBOUNDED PRECEDING) AS w FROM fa)"
+    q["apply_update"] = f"{base}, {fa}, {mv} SELECT version, pos, {rnd('w')} AS w FROM mv"
+    q["model_versions"] = (f"{base}, {fa}, {mv} SELECT version, round, CAST(count(*) AS INTEGER) AS n_params FROM mv "
+                           f"WHERE version = (SELECT max(version) FROM mv) GROUP BY version, round")
+    q["join_model_version"] = (f"{base}, {fa}, {mv}, nv AS (SELECT version, sqrt(sum(w * w)) AS nrm FROM mv GROUP BY version) "
+                               f"SELECT round, silo_id, base_version, {rnd('coalesce(nrm, 0.0)')} AS base_norm "
+                               f"FROM upd LEFT JOIN nv ON upd.base_version = nv.version")
+    q["updates_registered"] = f"{base} SELECT round, silo_id FROM upd WHERE silo_id IN (SELECT silo_id FROM silos_v)"
+    q["updates_rejected"] = f"{base} SELECT round, silo_id FROM upd WHERE silo_id NOT IN (SELECT silo_id FROM silos_v)"
+    q["join_update_sizes"] = (f"{base} SELECT round, upd.silo_id, coalesce(n_rows, 1) AS n_rows FROM upd "
+                              f"LEFT JOIN silos_v USING (silo_id)")
+    q["update_latest"] = (f"{base}, {RESUB} SELECT round, silo_id, arrived_at, {rnd('train_loss')} AS train_loss FROM "
+                          f"(SELECT *, row_number() OVER (PARTITION BY round, silo_id ORDER BY arrived_at DESC) AS rn FROM rs) "
+                          f"WHERE rn = 1")
+    q["join_round_window"] = f"{base}, {WIN_JOIN} SELECT round, silo_id, window_round FROM a"
+    q["update_staleness"] = (f"{base}, {WIN_JOIN} SELECT round, silo_id, window_round, "
+                             f"CASE WHEN window_round IS NULL THEN 0 ELSE greatest(window_round - round, 0) END AS staleness, "
+                             f"window_round = round AS accepted FROM a")
+    q["join_carry_late"] = (f"{base} SELECT u.round, u.silo_id, n.round AS next_round FROM upd u "
+                            f"JOIN rounds_v o ON u.round = o.round AND u.arrived_at > o.deadline "
+                            f"JOIN rounds_v n ON n.round = u.round + 1")
+    q["round_updates"] = (f"{base}, {RESUB}, {_round_updates_sql('rs')} SELECT agg_round, src_round, silo_id, staleness, "
+                          f"{rnd('weight')} AS weight, arrived_at FROM ru")
+    q["union_late_updates"] = (f"{base}, {_round_updates_sql('upd')} SELECT agg_round, silo_id, staleness, "
+                               f"{rnd('sqrt(list_sum([(x * pow(0.5, staleness)) * (x * pow(0.5, staleness)) for x in delta]))')} AS norm FROM ru")
+    q["round_aggregate"] = (f"{base}, {_round_updates_sql('upd')}, dl AS (SELECT agg_round AS round, n_samples AS n, "
+                            f"delta[i] * pow(0.5, staleness) AS v, CAST(i - 1 AS INTEGER) AS pos "
+                            f"FROM ru, unnest(range(1, len(delta) + 1)) t(i)) "
+                            f"SELECT round, pos, {rnd('sum(pow(n, 0.5) * v) / sum(pow(n, 0.5)) * 1.0')} AS v FROM dl GROUP BY round, pos")
+    return q

@@ -373,3 +373,184 @@ def q_weighted_bce(spark, sf):
     s = scored(spark, sf)
     cb = M.class_balance(s)
     return rounded(M.weighted_bce(s.join(F.broadcast(cb.select("silo_id", "pos_weight")), "silo_id")))
+
+
+# ---- 2.3 / 2.4 updates and rounds ------------------------------------------------------------
+
+from silolake.operators import rounds as RD  # noqa: E402
+from silolake.operators import updates as U  # noqa: E402
+
+
+def _long(spark, sf):
+    return TB.upd_long(spark, sf)
+
+
+@query("fedavg")
+def q_fedavg(spark, sf):
+    return rounded(U.fedavg(_long(spark, sf), 0.5, 1.0))
+
+
+@query("fedavg_textbook")
+def q_fedavg_textbook(spark, sf):
+    return rounded(U.fedavg(_long(spark, sf), 1.0, 0.5))
+
+
+@query("trimmed_mean")
+def q_trimmed_mean(spark, sf):
+    return rounded(U.trimmed_mean(_long(spark, sf), 0.2, 1.0))
+
+
+@query("coordinate_median")
+def q_coordinate_median(spark, sf):
+    return rounded(U.coordinate_median(_long(spark, sf)))
+
+
+@query("update_cosine")
+def q_update_cosine(spark, sf):
+    return rounded(U.update_cosine(_long(spark, sf)))
+
+
+@query("qwra_reject")
+def q_qwra_reject(spark, sf):
+    return rounded(U.qwra_reject(U.update_cosine(_long(spark, sf)), 0.0))
+
+
+@query("qwra")
+def q_qwra(spark, sf):
+    out, _ = U.qwra(_long(spark, sf))
+    return rounded(out)
+
+
+@query("qwra_poisoned")
+def q_qwra_poisoned(spark, sf):
+    upd = INJ.inject_model_poison(TB.updates(spark, sf), "silo-1", 5.0)
+    out, _ = U.qwra(U.to_long(upd))
+    return rounded(out)
+
+
+@query("inject_model_poison")
+def q_inject_model_poison(spark, sf):
+    upd = INJ.inject_model_poison(TB.updates(spark, sf), "silo-1", 5.0)
+    return rounded(U.to_long(upd).select("round", "silo_id", "pos", "v"))
+
+
+@query("l2_clip")
+def q_l2_clip(spark, sf):
+    c = U.l2_clip(TB.updates(spark, sf), 1.0)
+    return rounded(c.select("round", "silo_id", U.l2_norm(F.col("delta")).alias("norm"),
+                            F.col("delta")[0].alias("d0"), F.col("delta")[63].alias("d63")))
+
+
+@query("gaussian_noise")
+def q_gaussian_noise(spark, sf):
+    c = U.gaussian_noise(TB.updates(spark, sf), 0.8, 1.0, 42)
+    return rounded(U.to_long(c).select("round", "silo_id", "pos", "v"))
+
+
+@query("dp_release")
+def q_dp_release(spark, sf):
+    c = U.dp_release(TB.updates(spark, sf), 1.0, 0.8, 42)
+    return rounded(U.to_long(c).select("round", "silo_id", "pos", "v"))
+
+
+@query("staleness_decay")
+def q_staleness_decay(spark, sf):
+    a = RD.update_staleness(RD.join_round_window(TB.updates(spark, sf), TB.rounds(spark, sf)))
+    a = a.filter(F.col("window_round").isNotNull())
+    d = U.staleness_decay(a, 0.5)
+    return rounded(d.select("round", "silo_id", "staleness", U.l2_norm(F.col("delta")).alias("norm")))
+
+
+@query("apply_update")
+def q_apply_update(spark, sf):
+    """w_{v+1} = w_v + fedavg_v: model versions as a running sum of round aggregates."""
+    from silolake.plans.registry import versions_from_aggregates
+    models = versions_from_aggregates(U.fedavg(_long(spark, sf)))
+    return rounded(models.select("version", F.posexplode("weights").alias("pos", "w")))
+
+
+@query("model_versions")
+def q_model_versions(spark, sf):
+    from silolake.plans.registry import latest_version, versions_from_aggregates
+    models = versions_from_aggregates(U.fedavg(_long(spark, sf)))
+    lv = latest_version(models)
+    return lv.select("version", "round", F.size("weights").alias("n_params"))
+
+
+@query("join_model_version")
+def q_join_model_version(spark, sf):
+    from silolake.plans.registry import versions_from_aggregates
+    models = versions_from_aggregates(U.fedavg(_long(spark, sf)))
+    u = TB.updates(spark, sf)
+    j = u.join(F.broadcast(models.select(F.col("version").alias("base_version"), "weights")), "base_version", "left")
+    return rounded(j.select("round", "silo_id", "base_version",
+                            F.coalesce(U.l2_norm(F.col("weights")), F.lit(0.0)).alias("base_norm")))
+
+
+@query("updates_registered")
+def q_updates_registered(spark, sf):
+    return RD.updates_registered(TB.updates(spark, sf), TB.silos(spark, sf)).select("round", "silo_id")
+
+
+@query("updates_rejected")
+def q_updates_rejected(spark, sf):
+    return RD.updates_rejected(TB.updates(spark, sf), TB.silos(spark, sf)).select("round", "silo_id")
+
+
+@query("join_update_sizes")
+def q_join_update_sizes(spark, sf):
+    return RD.join_update_sizes(TB.updates(spark, sf), TB.silos(spark, sf)).select("round", "silo_id", "n_rows")
+
+
+def resubmitted(spark, sf):
+    """Every update plus a later resubmission of it (30 s after, loss × 0.9): the latest must win."""
+    u = TB.updates(spark, sf)
+    again = u.withColumn("arrived_at", F.col("arrived_at") + F.expr("INTERVAL 30 SECONDS")) \
+        .withColumn("train_loss", F.col("train_loss") * 0.9)
+    return u.unionByName(again)
+
+
+@query("update_latest")
+def q_update_latest(spark, sf):
+    return rounded(RD.update_latest(resubmitted(spark, sf)).select("round", "silo_id", "arrived_at", "train_loss"))
+
+
+@query("join_round_window")
+def q_join_round_window(spark, sf):
+    return RD.join_round_window(TB.updates(spark, sf), TB.rounds(spark, sf)).select("round", "silo_id", "window_round")
+
+
+@query("update_staleness")
+def q_update_staleness(spark, sf):
+    a = RD.update_staleness(RD.join_round_window(TB.updates(spark, sf), TB.rounds(spark, sf)))
+    return a.select("round", "silo_id", "window_round", "staleness", "accepted")
+
+
+@query("join_carry_late")
+def q_join_carry_late(spark, sf):
+    return RD.join_carry_late(TB.updates(spark, sf), TB.rounds(spark, sf)).select("round", "silo_id", "next_round")
+
+
+@query("round_updates")
+def q_round_updates(spark, sf):
+    r = RD.round_updates(resubmitted(spark, sf), TB.rounds(spark, sf), TB.silos(spark, sf))
+    return rounded(r.select("agg_round", "src_round", "silo_id", "staleness", "weight", "arrived_at"))
+
+
+@query("union_late_updates")
+def q_union_late_updates(spark, sf):
+    r = RD.round_updates(TB.updates(spark, sf), TB.rounds(spark, sf), TB.silos(spark, sf))
+    on = r.filter("staleness = 0").drop("staleness", "weight")
+    late = r.filter("staleness = 1").drop("staleness", "weight")
+    u = RD.union_late_updates(on, late, 0.5)
+    return rounded(u.select("agg_round", "silo_id", "staleness", U.l2_norm(F.col("delta")).alias("norm")))
+
+
+@query("round_aggregate")
+def q_round_aggregate(spark, sf):
+    """A round end to end: assembled (decayed) update set → FedAvg per aggregation round."""
+    r = RD.round_updates(TB.updates(spark, sf), TB.rounds(spark, sf), TB.silos(spark, sf))
+    r = U.staleness_decay(r, 0.5)
+    long = r.select(F.col("agg_round").alias("round"), F.concat("silo_id", F.lit("@"), F.col("src_round").cast("string"))
+                    .alias("silo_id"), F.col("n_samples").alias("n"), F.posexplode("delta").alias("pos", "v"))
+    return rounded(U.fedavg(long))
