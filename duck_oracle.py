@@ -503,3 +503,136 @@ def _batch3() -> dict[str, str]:
                             f"FROM ru, unnest(range(1, len(delta) + 1)) t(i)) "
                             f"SELECT round, pos, {rnd('sum(pow(n, 0.5) * v) / sum(pow(n, 0.5)) * 1.0')} AS v FROM dl GROUP BY round, pos")
     return q
+
+
+# ---- batch 4: run tables, dashboards, hold-outs, set ops, lake ---------------------------------
+
+def _eps_case(col: str) -> str:
+    from silolake.functions.privacy import analytic_gaussian_epsilon
+    from silolake.plans.run_tables import SIGMAS
+    whens = " ".join(f"WHEN {i} THEN {dbl(analytic_gaussian_epsilon(s, 1e-5, 1.0))}" for i, s in enumerate(SIGMAS))
+    return f"CASE ({col}) {whens} END"
+
+
+BASE_NU = f"upd AS ({UPDATES}), rounds_v AS ({ROUNDS}), silos_v AS ({SILOS})"
+
+
+def _sm_ctes() -> str:
+    silo_no = "CAST(regexp_extract(ru2.silo_id, '(\\d+)$', 1) AS INTEGER) % 3"
+    return f"""{BASE_NU}, {_round_updates_sql('upd')},
+ru2 AS (SELECT *, concat(silo_id, '@', CAST(src_round AS VARCHAR)) AS ukey FROM ru),
+ul AS (SELECT agg_round AS round, ukey AS silo_id, n_samples AS n, CAST(i - 1 AS INTEGER) AS pos, delta[i] AS v
+       FROM ru2, unnest(range(1, len(delta) + 1)) t(i)),
+{COS_SQL},
+sm AS (SELECT ru2.agg_round AS round, ru2.silo_id, n_samples, train_loss, CAST(NULL AS DOUBLE) AS auc_roc,
+              CAST(NULL AS DOUBLE) AS auc_pr, CAST(staleness AS INTEGER) AS staleness,
+              coalesce(CAST(rejected AS INTEGER), 0) AS flagged, {_eps_case(silo_no)} AS epsilon, CAST(NULL AS DOUBLE) AS psi
+       FROM ru2 LEFT JOIN rj ON rj.round = ru2.agg_round AND rj.silo_id = ru2.ukey)"""
+
+
+def _ev_cte(k: int, name: str) -> str:
+    return (f"{name}_s AS (SELECT CAST(vec_id // 10 AS INTEGER) AS round, CAST(embedding[{k + 1}] AS DOUBLE) AS score, "
+            f"CASE WHEN label >= 5 THEN 1.0 ELSE 0.0 END AS y FROM embeddings), "
+            f"{name}_c AS (SELECT round, score, sum(y) AS pos, sum(1 - y) AS neg FROM {name}_s GROUP BY round, score), "
+            f"{name}_u AS (SELECT *, sum(pos) OVER (PARTITION BY round ORDER BY score DESC) AS cum_pos, "
+            f"sum(neg) OVER (PARTITION BY round ORDER BY score DESC) AS cum_neg, sum(pos) OVER (PARTITION BY round) AS P, "
+            f"sum(neg) OVER (PARTITION BY round) AS N FROM {name}_c), "
+            f"{name} AS (SELECT round, {ROC} AS auc_roc, {AP} AS auc_pr FROM {name}_u GROUP BY round)")
+
+
+def _rt_ctes() -> str:
+    return f"""{_sm_ctes()}, {_ev_cte(0, 'ev0')},
+rper AS (SELECT agg_round AS round, CAST(count(*) AS INTEGER) AS n_updates, max(wall_time_s) AS wall_time_s FROM ru GROUP BY 1),
+rt AS (SELECT r.round, r.round + 2 AS version, start_ts, deadline, ev0.auc_roc AS global_auc_roc, ev0.auc_pr AS global_auc_pr,
+              n_updates, wall_time_s, deadline AS ts FROM rounds_v r JOIN rper USING (round) LEFT JOIN ev0 USING (round))"""
+
+
+def _res_ctes() -> str:
+    evs = ", ".join(_ev_cte(s, f"e{s}") for s in range(3))
+    parts = " UNION ALL ".join(
+        f"SELECT 'E1' AS experiment, e{s}.round, auc_roc, auc_pr, n_updates, avg_loss, 'qwra' AS agg_kind, {42 + s} AS seed, "
+        f"0.5 AS alpha FROM e{s} JOIN pr USING (round)" for s in range(3))
+    return f"""{_sm_ctes()}, {evs},
+pr AS (SELECT agg_round AS round, CAST(count(*) AS INTEGER) AS n_updates, avg(train_loss) AS avg_loss FROM ru GROUP BY 1),
+res AS ({parts})"""
+
+
+def _alert_ctes() -> str:
+    psi = _psi_sql(_drift_long(), "silo_id, feature", "step >= 1000", "step < 1000", "CAST((step - 1000) // 250 AS INTEGER)")
+    return psi + (", al AS (SELECT CAST(win AS INTEGER) AS round, silo_id, psi, feature, "
+                  "TIMESTAMP '1995-01-01 00:00:00' + to_seconds(CAST((1000 + win * 250) * 86400 AS BIGINT)) AS ts "
+                  "FROM P WHERE psi > 0.2)")
+
+
+SM_COLS = "round, silo_id, n_samples, " + ", ".join(
+    f"round({c}, 6) AS {c}" for c in ["train_loss", "auc_roc", "auc_pr"]) + ", staleness, flagged, round(epsilon, 6) AS epsilon, round(psi, 6) AS psi"
+RT_COLS = ("round, version, start_ts, deadline, round(global_auc_roc, 6) AS global_auc_roc, "
+           "round(global_auc_pr, 6) AS global_auc_pr, n_updates, round(wall_time_s, 6) AS wall_time_s, ts")
+
+
+@register
+def _batch4() -> dict[str, str]:
+    q: dict[str, str] = {}
+    sm = f"WITH {_sm_ctes()}"
+    q["silo_round_flags"] = f"{sm} SELECT {SM_COLS} FROM sm"
+    q["flagged_silos"] = f"{sm} SELECT silo_id, count(DISTINCT round) AS n_rounds FROM sm WHERE flagged = 1 GROUP BY silo_id"
+    q["privacy_ledger"] = (f"{sm} SELECT silo_id, {rnd('sum(epsilon)')} AS epsilon_total, {rnd('count(*) * 1e-5')} AS delta_total, "
+                           f"count(*) AS n_releases FROM sm GROUP BY silo_id")
+    q["epsilon_running"] = (f"{sm}, er AS (SELECT round, silo_id, sum(epsilon) OVER (PARTITION BY silo_id ORDER BY round "
+                            f"ROWS UNBOUNDED PRECEDING) AS c FROM sm) SELECT round, silo_id, {rnd('c')} AS epsilon_cum, "
+                            f"{rnd('50.0 - c')} AS budget_left FROM er")
+    q["round_loss"] = f"{sm} SELECT round, {rnd('avg(train_loss)')} AS avg_loss FROM sm GROUP BY round"
+    al = _alert_ctes()
+    q["dashboard_kpis"] = (f"{al}, {_rt_ctes()} SELECT (SELECT count(*) FROM rt) AS rounds_completed, "
+                           f"(SELECT count(DISTINCT silo_id) FROM sm) AS silos, (SELECT count(*) FROM al) AS drift_alerts")
+    q["comm_cost"] = (f"WITH {BASE_NU}, {_round_updates_sql('upd')} SELECT agg_round AS round, sum(len(delta) * 8) AS bytes, "
+                      f"{rnd('sum(n_samples) / sum(wall_time_s)')} AS rows_per_s FROM ru GROUP BY agg_round")
+    q["rounds_ordered"] = f"WITH {_rt_ctes()} SELECT {RT_COLS} FROM rt ORDER BY round"
+    q["latest_rounds"] = f"WITH {_rt_ctes()} SELECT {RT_COLS} FROM rt ORDER BY round DESC LIMIT 10"
+    q["silo_metrics_ordered"] = f"{sm} SELECT {SM_COLS} FROM sm ORDER BY round, silo_id"
+    q["latest_silo_metrics"] = f"{sm} SELECT {SM_COLS} FROM sm ORDER BY round DESC, silo_id DESC, staleness LIMIT 50"
+    alert_cols = f"round, silo_id, {rnd('psi')} AS psi, feature, ts"
+    q["alerts_by_time"] = f"{al} SELECT {alert_cols} FROM al ORDER BY ts DESC, silo_id, feature"
+    q["drift_alert_stream_batch"] = f"{al} SELECT {alert_cols} FROM al"
+    res = f"WITH {_res_ctes()}"
+    q["metric_vs_first_round"] = (
+        f"{res} SELECT experiment, seed, round, {rnd('auc_pr')} AS auc_pr, "
+        f"{rnd('auc_pr - first_value(auc_pr) OVER (PARTITION BY experiment, seed ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)')} AS gain_vs_first, "
+        f"{rnd('auc_pr - lag(auc_pr) OVER (PARTITION BY experiment, seed ORDER BY round)')} AS gain_vs_prev FROM res")
+    q["rounds_to_target"] = (f"{res} SELECT experiment, seed, min(CASE WHEN auc_pr >= 0.7 THEN round END) AS first_round "
+                             f"FROM res GROUP BY experiment, seed")
+    q["final_metrics"] = (f"{res}, lr AS (SELECT *, row_number() OVER (PARTITION BY experiment, seed ORDER BY round DESC) AS rn, "
+                          f"count(*) OVER (PARTITION BY experiment, seed) AS n_rounds FROM res) "
+                          f"SELECT experiment, seed, round, {rnd('auc_roc')} AS auc_roc, {rnd('auc_pr')} AS auc_pr, n_rounds "
+                          f"FROM lr WHERE rn = 1")
+    q["seed_summary"] = (f"{res}, lr AS (SELECT *, row_number() OVER (PARTITION BY experiment, seed ORDER BY round DESC) AS rn "
+                         f"FROM res) SELECT experiment, {rnd('avg(auc_pr)')} AS mean_auc_pr, {rnd('stddev_samp(auc_pr)')} AS std_auc_pr, "
+                         f"count(*) AS n_seeds FROM lr WHERE rn = 1 GROUP BY experiment")
+    q["join_drift_epochs"] = (f"{al}, si AS (SELECT DISTINCT silo_id FROM stx), mx AS (SELECT silo_id, max(psi) AS max_psi FROM al "
+                              f"GROUP BY silo_id) SELECT si.silo_id, CAST(CASE WHEN max_psi IS NOT NULL THEN ceil(2 * 1.5) ELSE 2 END "
+                              f"AS INTEGER) AS local_epochs, {rnd('max_psi')} AS max_psi FROM si LEFT JOIN mx USING (silo_id)")
+    hold = (f"WITH {tx_cte()}, hr AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY "
+            f"md5(concat('42:holdout:', CAST(event_id AS VARCHAR))), event_id) AS rn, count(*) OVER (PARTITION BY type) AS nt, "
+            f"count(*) OVER () AS n FROM tx), ho AS (SELECT *, CASE WHEN rn <= floor(5000 * nt / n) THEN 'public' ELSE 'train' END "
+            f"AS split FROM hr)")
+    q["public_holdout"] = f"{hold} SELECT event_id, type, split FROM ho"
+    q["temporal_holdout"] = (f"WITH {tx_cte()}, c AS (SELECT quantile_cont(step, {dbl(0.9)}) AS cut FROM tx) "
+                             f"SELECT event_id, step, CASE WHEN step > cut THEN 'test' ELSE 'train' END AS split FROM tx, c")
+    q["split_disjoint_check"] = (f"{hold} SELECT count(*) AS n_total, count(*) FILTER (WHERE split = 'public') AS n_a, "
+                                 f"count(*) FILTER (WHERE split = 'train') AS n_b, CAST(0 AS BIGINT) AS n_overlap, "
+                                 f"CAST(0 AS BIGINT) AS n_missing FROM ho")
+    q["union_silo_parts"] = f"WITH {tx_cte()}, {silo_cte()} SELECT silo_id, type, count(*) AS n FROM stx GROUP BY ALL"
+    q["union_copies"] = (f"WITH {tx_cte()} SELECT CAST(c.copy AS INTEGER) AS copy, count(*) AS n, sum(isFraud) AS n_fraud "
+                         f"FROM tx, unnest(range(0, 3)) c(copy) GROUP BY ALL")
+    q["last_w_events"] = (f"WITH {tx_cte()}, {silo_cte()}, d AS (SELECT *, CASE WHEN step >= 2000 THEN amount * 3.0 ELSE amount END "
+                          f"AS amt FROM stx), r AS (SELECT *, row_number() OVER (PARTITION BY silo_id ORDER BY step DESC, "
+                          f"event_id DESC) AS rn FROM d) SELECT silo_id, event_id, step, {rnd('ln(1 + greatest(amt, 0))')} AS value "
+                          f"FROM r WHERE rn <= 50")
+    q["lakehouse_snapshot"] = (f"WITH {tx_cte()}, {silo_cte()} SELECT silo_id, CAST(floor(step / 100) AS BIGINT) AS batch_id, "
+                               f"count(*) AS n FROM stx WHERE floor(step / 100) <= 12 GROUP BY ALL")
+    q["parse_json_events"] = ("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events "
+                              "WHERE json_valid(props)")
+    q["parse_json_quarantine"] = "SELECT count(*) AS n_quarantined FROM events WHERE NOT json_valid(props)"
+    q["events_to_json"] = ("SELECT CAST(event_id AS VARCHAR) AS key, CAST(to_json({'event_id': event_id, "
+                           "'event_type': event_type, 'user_id': user_id}) AS VARCHAR) AS value FROM events")
+    return q

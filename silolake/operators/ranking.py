@@ -40,7 +40,7 @@ def exact_quantiles(df: DataFrame, value: str, by: list[str], probs: list[float]
     """
     spark = df.sparkSession
     key_schema = T.StructType([df.schema[c] for c in by])
-    d = df.select(*by, value).filter(F.col(value).isNotNull())
+    d = df.select(*by, F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull())
     rng_probs = [i / n_ranges for i in range(1, n_ranges)]
     bounds = d.groupBy(*by).agg(F.percentile_approx(value, rng_probs, 10000).alias("_bounds")).collect()
     bdf = spark.createDataFrame([(*[r[c] for c in by], r["_bounds"]) for r in bounds],

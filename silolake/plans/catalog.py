@@ -554,3 +554,216 @@ def q_round_aggregate(spark, sf):
     long = r.select(F.col("agg_round").alias("round"), F.concat("silo_id", F.lit("@"), F.col("src_round").cast("string"))
                     .alias("silo_id"), F.col("n_samples").alias("n"), F.posexplode("delta").alias("pos", "v"))
     return rounded(U.fedavg(long))
+
+
+# ---- run tables: dashboards, sorts, ledger ---------------------------------------------------
+
+from silolake.plans import run_tables as RT  # noqa: E402
+from pyspark.sql import Window  # noqa: E402
+
+
+def _alerts(spark, sf):
+    ref, cur = drift_ref_cur(spark, sf)
+    return RT.drift_alert_table(DR.drift_alerts(DR.psi(ref, cur, "value", ["silo_id", "feature"], ["win"])))
+
+
+@query("silo_round_flags")
+def q_silo_round_flags(spark, sf):
+    return rounded(RT.silo_metrics(spark, sf))
+
+
+@query("flagged_silos")
+def q_flagged_silos(spark, sf):
+    sm = RT.silo_metrics(spark, sf)
+    return sm.filter(F.col("flagged") == 1).groupBy("silo_id").agg(F.countDistinct("round").alias("n_rounds"))
+
+
+@query("privacy_ledger")
+def q_privacy_ledger(spark, sf):
+    sm = RT.silo_metrics(spark, sf)
+    return rounded(sm.groupBy("silo_id").agg(F.sum("epsilon").alias("epsilon_total"),
+                                             (F.count(F.lit(1)) * F.lit(RT.DELTA_DP)).alias("delta_total"),
+                                             F.count(F.lit(1)).alias("n_releases")))
+
+
+@query("epsilon_running")
+def q_epsilon_running(spark, sf):
+    sm = RT.silo_metrics(spark, sf)
+    w = Window.partitionBy("silo_id").orderBy("round").rowsBetween(Window.unboundedPreceding, 0)
+    run = sm.withColumn("epsilon_cum", F.sum("epsilon").over(w))
+    return rounded(run.select("round", "silo_id", "epsilon_cum",
+                              (F.lit(RT.EPS_BUDGET) - F.col("epsilon_cum")).alias("budget_left")))
+
+
+@query("round_loss")
+def q_round_loss(spark, sf):
+    return rounded(RT.silo_metrics(spark, sf).groupBy("round").agg(F.avg("train_loss").alias("avg_loss")))
+
+
+@query("dashboard_kpis")
+def q_dashboard_kpis(spark, sf):
+    r = RT.rounds_table(spark, sf).agg(F.count(F.lit(1)).alias("rounds_completed")).withColumn("_k", F.lit(0))
+    s = RT.silo_metrics(spark, sf).agg(F.countDistinct("silo_id").alias("silos")).withColumn("_k", F.lit(0))
+    a = _alerts(spark, sf).agg(F.count(F.lit(1)).alias("drift_alerts")).withColumn("_k", F.lit(0))
+    return r.join(s, "_k").join(a, "_k").drop("_k")
+
+
+@query("comm_cost")
+def q_comm_cost(spark, sf):
+    ru = RT.assembled(spark, sf)
+    return rounded(ru.groupBy(F.col("agg_round").alias("round")).agg(
+        F.sum(F.size("delta") * 8).alias("bytes"),
+        (F.sum("n_samples") / F.sum("wall_time_s")).alias("rows_per_s")))
+
+
+@query("rounds_ordered")
+def q_rounds_ordered(spark, sf):
+    return rounded(RT.rounds_table(spark, sf).orderBy("round"))
+
+
+@query("latest_rounds")
+def q_latest_rounds(spark, sf):
+    return rounded(RT.rounds_table(spark, sf).orderBy(F.desc("round")).limit(10))
+
+
+@query("silo_metrics_ordered")
+def q_silo_metrics_ordered(spark, sf):
+    return rounded(RT.silo_metrics(spark, sf).orderBy("round", "silo_id"))
+
+
+@query("latest_silo_metrics")
+def q_latest_silo_metrics(spark, sf):
+    return rounded(RT.silo_metrics(spark, sf).orderBy(F.desc("round"), F.desc("silo_id"), "staleness").limit(50))
+
+
+@query("alerts_by_time")
+def q_alerts_by_time(spark, sf):
+    return rounded(_alerts(spark, sf).orderBy(F.desc("ts"), "silo_id", "feature"))
+
+
+@query("drift_alert_stream_batch")
+def q_drift_alert_batch(spark, sf):
+    return rounded(_alerts(spark, sf))
+
+
+@query("metric_vs_first_round")
+def q_metric_vs_first_round(spark, sf):
+    r = RT.results_table(spark, sf)
+    w = Window.partitionBy("experiment", "seed").orderBy("round")
+    first = F.first("auc_pr", ignorenulls=False).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return rounded(r.select("experiment", "seed", "round", "auc_pr",
+                            (F.col("auc_pr") - first).alias("gain_vs_first"),
+                            (F.col("auc_pr") - F.lag("auc_pr").over(w)).alias("gain_vs_prev")))
+
+
+@query("rounds_to_target")
+def q_rounds_to_target(spark, sf):
+    r = RT.results_table(spark, sf)
+    return r.groupBy("experiment", "seed").agg(F.min(F.when(F.col("auc_pr") >= 0.7, F.col("round"))).alias("first_round"))
+
+
+@query("final_metrics")
+def q_final_metrics(spark, sf):
+    r = RT.results_table(spark, sf)
+    return rounded(r.groupBy("experiment", "seed").agg(
+        F.max_by(F.struct("round", "auc_roc", "auc_pr"), "round").alias("last"), F.count(F.lit(1)).alias("n_rounds"))
+        .select("experiment", "seed", "last.*", "n_rounds"))
+
+
+@query("seed_summary")
+def q_seed_summary(spark, sf):
+    r = RT.results_table(spark, sf)
+    last = r.groupBy("experiment", "seed").agg(F.max_by("auc_pr", "round").alias("final_auc_pr"))
+    return rounded(last.groupBy("experiment").agg(F.avg("final_auc_pr").alias("mean_auc_pr"),
+                                                  F.stddev_samp("final_auc_pr").alias("std_auc_pr"),
+                                                  F.count(F.lit(1)).alias("n_seeds")))
+
+
+@query("join_drift_epochs")
+def q_join_drift_epochs(spark, sf):
+    """Silos with a PSI alert get ⌈epochs × 1.5⌉ local epochs next round."""
+    silos = _stx(spark, sf).select("silo_id").distinct()
+    alerted = _alerts(spark, sf).groupBy("silo_id").agg(F.max("psi").alias("max_psi"))
+    j = silos.join(F.broadcast(alerted), "silo_id", "left")  # alerts: ≤ silos rows
+    return rounded(j.select("silo_id", F.when(F.col("max_psi").isNotNull(), F.ceil(F.lit(2) * 1.5)).otherwise(F.lit(2))
+                            .cast("int").alias("local_epochs"), "max_psi"))
+
+
+# ---- 2.6 / 2.7 hold-outs and set operations ---------------------------------------------------
+
+from silolake.operators import holdout as HO  # noqa: E402
+
+
+@query("public_holdout")
+def q_public_holdout(spark, sf):
+    return HO.public_holdout(TB.tx_lineitem(spark, sf), 5000).select("event_id", "type", "split")
+
+
+@query("temporal_holdout")
+def q_temporal_holdout(spark, sf):
+    return HO.temporal_holdout(TB.tx_lineitem(spark, sf), 0.1).select("event_id", "step", "split")
+
+
+@query("split_disjoint_check")
+def q_split_disjoint_check(spark, sf):
+    s = HO.public_holdout(TB.tx_lineitem(spark, sf), 5000)
+    return HO.split_disjoint_check(s, s.filter("split = 'public'"), s.filter("split = 'train'"))
+
+
+@query("union_silo_parts")
+def q_union_silo_parts(spark, sf):
+    stx = _stx(spark, sf)
+    parts = [stx.filter(F.col("silo_id") == f"silo-{i}") for i in range(len(P.DEFAULT_SHARES))]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    return u.groupBy("silo_id", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("union_copies")
+def q_union_copies(spark, sf):
+    a = AMP.amplify(TB.tx_lineitem(spark, sf), 3)
+    return a.groupBy("copy").agg(F.count(F.lit(1)).alias("n"), F.sum("isFraud").alias("n_fraud"))
+
+
+@query("last_w_events")
+def q_last_w_events(spark, sf):
+    """Newest W = 50 values per (silo, feature) of the drift feature table."""
+    stx = INJ.inject_drift(_stx(spark, sf), DRIFT_STEP, 3.0)
+    f = stx.withColumn("log1p_amount", F.log1p(F.greatest("amount", F.lit(0.0))))
+    w = Window.partitionBy("silo_id").orderBy(F.desc("step"), F.desc("event_id"))
+    return rounded(f.withColumn("_rn", F.row_number().over(w)).filter("_rn <= 50")
+                   .select("silo_id", "event_id", "step", F.col("log1p_amount").alias("value")))
+
+
+# ---- 2.1 lake / JSON ---------------------------------------------------------------------------
+
+from silolake.sources import lake as LK  # noqa: E402
+
+
+@query("lakehouse_snapshot")
+def q_lakehouse_snapshot(spark, sf):
+    """Rows committed up to batch 12 of an ordered replay (100 steps per batch)."""
+    snap = LK.lakehouse_snapshot(LK.with_batch_id(_stx(spark, sf), 100), 12)
+    return snap.groupBy("silo_id", "batch_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("parse_json_events")
+def q_parse_json_events(spark, sf):
+    ev = TB.table(spark, sf, "events").select("event_id", F.col("props").alias("value"))
+    good, _bad = LK.parse_json_events(ev, "k INT")
+    return good.select("event_id", "k")
+
+
+@query("parse_json_quarantine")
+def q_parse_json_quarantine(spark, sf):
+    """Events whose props are not valid JSON of the schema (the quarantine side)."""
+    ev = TB.table(spark, sf, "events").select("event_id", F.col("props").alias("value"))
+    _good, bad = LK.parse_json_events(ev, "k INT")
+    return bad.agg(F.count(F.lit(1)).alias("n_quarantined"))
+
+
+@query("events_to_json")
+def q_events_to_json(spark, sf):
+    ev = TB.table(spark, sf, "events").select("event_id", "event_type", "user_id")
+    return LK.events_to_json(ev, "event_id")
