@@ -636,3 +636,21 @@ def _batch4() -> dict[str, str]:
     q["events_to_json"] = ("SELECT CAST(event_id AS VARCHAR) AS key, CAST(to_json({'event_id': event_id, "
                            "'event_type': event_type, 'user_id': user_id}) AS VARCHAR) AS value FROM events")
     return q
+
+
+@register
+def _batch5() -> dict[str, str]:
+    from silolake.functions import model as MLP
+    sizes = [len(FEATURE_COLS), 4, 1]
+    w = MLP.init_weights(sizes, 42)
+    (w0, b0), (w1, b1) = MLP.unflatten(w, sizes)
+    q = _base()["standardize"]
+    z = q[: q.index("SELECT event_id, feat.silo_id")]
+    zcols = ", ".join(f"({c} - m_{i}) / s_{i} AS {c}" for i, c in enumerate(FEATURE_COLS))
+    hidden = ", ".join(
+        "greatest(" + " + ".join(f"{c} * {dbl(w0[i, j])}" for i, c in enumerate(FEATURE_COLS)) + f" + {dbl(b0[j])}, 0) AS h{j}"
+        for j in range(4))
+    out = " + ".join(f"h{j} * {dbl(w1[j, 0])}" for j in range(4)) + f" + {dbl(b1[0])}"
+    sql = (f"{z}, zz AS (SELECT event_id, {zcols} FROM feat JOIN sw USING (silo_id)), "
+           f"hh AS (SELECT event_id, {hidden} FROM zz) SELECT event_id, {rnd(f'1 / (1 + exp(-({out})))')} AS score FROM hh")
+    return {"mlp_score": sql}

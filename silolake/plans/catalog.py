@@ -767,3 +767,154 @@ def q_parse_json_quarantine(spark, sf):
 def q_events_to_json(spark, sf):
     ev = TB.table(spark, sf, "events").select("event_id", "event_type", "user_id")
     return LK.events_to_json(ev, "event_id")
+
+
+# ---- 2.10 / 2.11 model scoring and training ---------------------------------------------------
+
+import numpy as np  # noqa: E402
+
+from silolake.functions import model as MLP  # noqa: E402
+from silolake.plans import federate as FED  # noqa: E402
+from silolake.plans import train as TR  # noqa: E402
+
+TINY = [len(FEATURE_COLS), 4, 1]
+
+
+@query("mlp_score")
+def q_mlp_score(spark, sf):
+    """A 22-4-1 MLP (seeded init) scoring the standardised features through the Arrow UDF."""
+    z = PL.standardized_features(spark, sf)
+    w = MLP.init_weights(TINY, 42)
+    x = F.array(*[F.col(c).cast("double") for c in FEATURE_COLS])
+    return rounded(z.select("event_id", TR.score_column(x, w, TINY).alias("score")))
+
+
+def _train_val(spark, sf):
+    """Training table (public hold-out removed) and validation table, standardised per silo."""
+    from silolake.operators.stats import silo_stats, standardize_vector
+    from silolake.session import cut_lineage
+    stx = HO.public_holdout(PL.siloed_transactions(spark, sf), 2000)
+    feat = PL.feature_columns(stx)
+    fv = feature_vector(feat.withColumn("split", F.col("split")))
+    fv = fv.join(feat.select("event_id", "split"), "event_id")
+    train = fv.filter("split = 'train'").drop("split")
+    stats = silo_stats(feat.filter("split = 'train'"))
+    train = cut_lineage(standardize_vector(train, stats))
+    val = fv.filter("split = 'public'").drop("split")
+    # the public set is standardised with its own statistics (it belongs to the coordinator)
+    vstats = silo_stats(feat.filter("split = 'public'").withColumn("silo_id", F.lit("public")))
+    val = cut_lineage(standardize_vector(val.withColumn("silo_id", F.lit("public")), vstats))
+    return train, val
+
+
+def _local_df(spark, pdf, mode):
+    rows = [(r.silo_id, int(r.n_samples), float(r.train_loss), float(np.linalg.norm(r.delta)), mode)
+            for r in pdf.itertuples()]
+    return spark.createDataFrame(rows, "silo_id string, n_samples long, train_loss double, delta_norm double, mode string")
+
+
+@query("train_mode_a")
+def q_train_mode_a(spark, sf):
+    train, _ = _train_val(spark, sf)
+    sizes = MLP.layer_sizes(len(FEATURE_COLS))
+    return _local_df(spark, TR.train_mode_a(train, MLP.init_weights(sizes), TR.TrainConfig(), steps=2), "A")
+
+
+@query("train_mode_b")
+def q_train_mode_b(spark, sf):
+    train, _ = _train_val(spark, sf)
+    sizes = MLP.layer_sizes(len(FEATURE_COLS))
+    return _local_df(spark, TR.train_mode_b(train, MLP.init_weights(sizes), TR.TrainConfig()), "B")
+
+
+@query("partition_function")
+def q_partition_function(spark, sf):
+    """The per-partition kernel: gradient sums of every silo in one mapInPandas job."""
+    train, _ = _train_val(spark, sf)
+    sizes = MLP.layer_sizes(len(FEATURE_COLS))
+    w = MLP.init_weights(sizes)
+    silos = [r[0] for r in train.select("silo_id").distinct().collect()]
+    g, n, loss = TR.mode_a_gradients(train, {s: w for s in silos}, {s: 1.0 for s in silos}, sizes)
+    rows = [(s, int(n[s]), float(loss[s]), float(np.linalg.norm(g[s]))) for s in silos]
+    return spark.createDataFrame(rows, "silo_id string, n long, loss_sum double, grad_norm double")
+
+
+def _fit(spark, sf, agg, rounds=2, **kw):
+    train, val = _train_val(spark, sf)
+    cfg = FED.FedConfig(rounds=rounds, agg=agg, experiment=f"fit-{agg}", **kw)
+    res, sm, _ = FED.federated_fit(train, val, cfg)
+    return res, sm
+
+
+@query("federated_fit")
+def q_federated_fit(spark, sf):
+    return _fit(spark, sf, "fedavg")[0]
+
+
+@query("federated_fit_qwra")
+def q_federated_fit_qwra(spark, sf):
+    return _fit(spark, sf, "qwra")[0]
+
+
+@query("federated_fit_trimmed")
+def q_federated_fit_trimmed(spark, sf):
+    return _fit(spark, sf, "trimmed_mean")[0]
+
+
+@query("federated_fit_dp")
+def q_federated_fit_dp(spark, sf):
+    return _fit(spark, sf, "fedavg", clip=1.0, sigma=0.8)[1]
+
+
+@query("centralized_fit")
+def q_centralized_fit(spark, sf):
+    train, val = _train_val(spark, sf)
+    return FED.centralized_fit(train, val, FED.FedConfig(rounds=2))[0]
+
+
+@query("local_only_fit")
+def q_local_only_fit(spark, sf):
+    train, val = _train_val(spark, sf)
+    m = FED.local_only_fit(train, val, FED.FedConfig(rounds=1))
+    return spark.createDataFrame([(s, v["auc_roc"], v["auc_pr"]) for s, v in m.items()],
+                                 "silo_id string, auc_roc double, auc_pr double")
+
+
+@query("evaluate")
+def q_evaluate(spark, sf):
+    _, val = _train_val(spark, sf)
+    sizes = MLP.layer_sizes(len(FEATURE_COLS))
+    s = val.select(TR.score_column(F.col("features"), MLP.init_weights(sizes), sizes).alias("score"), "label")
+    return rounded(M.classification_report(s))
+
+
+@query("candidates_x_validation")
+def q_candidates_x_validation(spark, sf):
+    train, val = _train_val(spark, sf)
+    sizes = MLP.layer_sizes(len(FEATURE_COLS))
+    w = MLP.init_weights(sizes)
+    local = TR.train_mode_b(train, w, TR.TrainConfig(local_epochs=1))
+    deltas = {r.silo_id: np.array(r.delta) for r in local.itertuples()}
+    c = FED.candidates_x_validation(val, w, deltas, sizes)
+    return c.groupBy("candidate").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"))
+
+
+@query("qwra_quality")
+def q_qwra_quality(spark, sf):
+    train, val = _train_val(spark, sf)
+    sizes = MLP.layer_sizes(len(FEATURE_COLS))
+    w = MLP.init_weights(sizes)
+    local = TR.train_mode_b(train, w, TR.TrainConfig(local_epochs=1))
+    deltas = {r.silo_id: np.array(r.delta) for r in local.itertuples()}
+    return FED.qwra_quality(val, w, deltas, sizes, 1)
+
+
+@query("round_epsilon")
+def q_round_epsilon(spark, sf):
+    from silolake.functions.privacy import with_round_epsilon
+    sm = RT.silo_metrics(spark, sf).select("silo_id", "round")
+    silo_no = F.regexp_extract("silo_id", r"(\d+)$", 1).cast("int")
+    x = sm.withColumn("sigma", F.element_at(F.array(*[F.lit(s) for s in RT.SIGMAS]), F.pmod(silo_no, F.lit(3)) + 1)) \
+        .withColumn("delta_dp", F.lit(1e-5)).withColumn("clip", F.lit(1.0))
+    return rounded(with_round_epsilon(x).groupBy("sigma").agg(F.first("epsilon").alias("epsilon"),
+                                                              F.count(F.lit(1)).alias("n")))

@@ -74,6 +74,7 @@ def mode_b_epoch(table: DataFrame, weights: dict[str, np.ndarray], w_global: dic
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         silo, shard = pdf["silo_id"].iat[0], int(pdf["shard"].iat[0])
+        pdf = pdf.sort_values("event_id")  # the seeded shuffle must not depend on arrival order
         state = bc.value
         x, y = _features(pdf)
         rng = np.random.default_rng([cfg.seed, round_, epoch, zlib.crc32(silo.encode()), shard])
