@@ -654,3 +654,15 @@ def _batch5() -> dict[str, str]:
     sql = (f"{z}, zz AS (SELECT event_id, {zcols} FROM feat JOIN sw USING (silo_id)), "
            f"hh AS (SELECT event_id, {hidden} FROM zz) SELECT event_id, {rnd(f'1 / (1 + exp(-({out})))')} AS score FROM hh")
     return {"mlp_score": sql}
+
+
+@register
+def _batch6() -> dict[str, str]:
+    cuts = dirichlet_cuts(TX_TYPES, 5, 0.5, None, SEED)
+    vals = []
+    for t, c in cuts.items():
+        props = [c[0]] + [c[i] - c[i - 1] for i in range(1, len(c))]
+        vals += [f"('{t}', {i}, {dbl(p)})" for i, p in enumerate(props)]
+    return {"join_type_shares": (f"WITH {tx_cte()}, sh(type, silo, share) AS (VALUES {', '.join(vals)}) "
+                                 f"SELECT event_id, tx.type, CAST(silo AS INTEGER) AS silo, {rnd('share')} AS share "
+                                 f"FROM tx JOIN sh ON tx.type = sh.type")}

@@ -58,6 +58,10 @@ def _epsilon_batch(sigma: pd.Series, delta: pd.Series, sens: pd.Series) -> pd.Se
 
 def round_epsilon(sigma: Column, delta: Column, sensitivity: Column) -> Column:
     """Vectorised ε column (Arrow-batched pandas UDF; apply to distinct (σ, δ, C) then join back)."""
+    from pyspark.sql import SparkSession
+
+    from silolake.session import ship_package
+    ship_package(SparkSession.getActiveSession())
     udf = F.pandas_udf(_epsilon_batch, "double")
     return udf(sigma.cast("double"), delta.cast("double"), sensitivity.cast("double"))
 

@@ -9,6 +9,8 @@ prefix count of all earlier buckets taken from a tiny count table.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,17 +22,35 @@ DEFAULT_SILOS = 5
 DEFAULT_SHARES = [0.25, 0.25, 0.2, 0.15, 0.15]
 
 
-def distributed_rank(df: DataFrame, group: list[str], order: Column, tie: str, bucket_hex: int = 3,
-                     name: str = "rn") -> DataFrame:
+def rank_bucket_hex(df: DataFrame, n_groups: int = 1) -> int:
+    """Hex digits of the rank bucket: ~4 buckets per shuffle partition per group, 16..65,536 buckets.
+
+    Tied to the configured parallelism, which a cluster sizes to its data.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    want = max(16, 4 * parts)
+    return max(1, min(4, math.ceil(math.log(want, 16))))
+
+
+def distributed_rank(df: DataFrame, group: list[str], order: Column, tie: str, bucket_hex: int | None = None,
+                     name: str = "rn", total: str | None = None) -> DataFrame:
     """Exact ``row_number() over (partition by group order by order, tie)`` for a hex-string ``order``.
 
     Work is spread over ``16**bucket_hex`` buckets per group; only the
     (group, bucket) count table — bounded by groups × buckets — is combined.
+    Rows are shuffled once on (group, bucket) — uniform, since the bucket is an
+    md5 prefix — and the count table and the ranking window both read that one
+    exchange. ``total`` optionally adds the group size as a column.
     """
-    d = df.withColumn("_ord", order).withColumn("_bkt", F.substring("_ord", 1, bucket_hex))
+    bucket_hex = bucket_hex or rank_bucket_hex(df)
+    d = df.withColumn("_ord", order).withColumn("_bkt", F.substring("_ord", 1, bucket_hex)) \
+        .repartition(*group, "_bkt")
     counts = d.groupBy(*group, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
     wcum = Window.partitionBy(*group).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(wcum), F.lit(0))).drop("_cnt")
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(wcum), F.lit(0)))
+    if total:
+        offsets = offsets.withColumn(total, F.sum("_cnt").over(Window.partitionBy(*group)))
+    offsets = offsets.drop("_cnt")
     w = Window.partitionBy(*group, "_bkt").orderBy("_ord", tie)
     ranked = d.withColumn("_local", F.row_number().over(w))
     return (ranked.join(offsets, [*group, "_bkt"])
@@ -89,20 +109,18 @@ def dirichlet_partition(tx: DataFrame, n_silos: int = DEFAULT_SILOS, alpha: floa
     cuts = dirichlet_cuts([t for t in types if t is not None], n_silos, alpha, size_shares, seed, mode)
     spark = tx.sparkSession
     cut_df = spark.createDataFrame([(t, c) for t, c in cuts.items()], f"{label_col} string, _cum array<double>")
-    ranked = distributed_rank(tx, [label_col], order_key(seed, "event_id"), "event_id")
-    n = tx.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))
-    # both small tables are bounded by the label vocabulary
-    ranked = ranked.join(F.broadcast(n), label_col).join(F.broadcast(cut_df), label_col)
+    ranked = distributed_rank(tx, [label_col], order_key(seed, "event_id"), "event_id", total="_n")
+    # the cut table is bounded by the label vocabulary
+    ranked = ranked.join(F.broadcast(cut_df), label_col)
     return _assign(ranked, [label_col], "_n", F.col("_cum"), n_silos).drop("rn", "_n", "_cum")
 
 
 def partition_by_size_shares(tx: DataFrame, size_shares: list[float] = DEFAULT_SHARES, seed: int = 42) -> DataFrame:
     """Same cut over the whole table (one group)."""
     g = tx.withColumn("_all", F.lit(0))
-    ranked = distributed_rank(g, ["_all"], order_key(seed, "event_id"), "event_id")
-    n = g.groupBy("_all").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = distributed_rank(g, ["_all"], order_key(seed, "event_id"), "event_id", total="_n")
     cum = F.array(*[F.lit(x) for x in share_fractions(size_shares)])
-    out = _assign(ranked.join(F.broadcast(n), "_all"), ["_all"], "_n", cum, len(size_shares))
+    out = _assign(ranked, ["_all"], "_n", cum, len(size_shares))
     return out.drop("rn", "_n", "_all")
 
 

@@ -109,6 +109,13 @@ def q_silo_stats(spark, sf):
     return rounded(silo_stats(PL.feature_table(spark, sf)))
 
 
+@query("training_table")
+def q_training_table(spark, sf):
+    """The persisted training input: standardised float vectors + label per silo."""
+    t = PL.training_table(spark, sf)
+    return t.groupBy("silo_id").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n_pos"))
+
+
 @query("standardize")
 def q_standardize(spark, sf):
     return rounded(PL.standardized_features(spark, sf).select("event_id", "silo_id", *FEATURE_COLS))
@@ -116,7 +123,8 @@ def q_standardize(spark, sf):
 
 @query("join_silo_stats")
 def q_join_silo_stats(spark, sf):
-    feat = PL.feature_table(spark, sf)
+    from silolake.session import cut_lineage
+    feat = cut_lineage(PL.feature_table(spark, sf))
     st = silo_stats(feat).filter(F.col("feature") == "log1p_amount")
     j = feat.select("event_id", "silo_id", "log1p_amount").join(F.broadcast(st.drop("feature")), "silo_id")
     return rounded(j)
@@ -293,7 +301,9 @@ def drift_long(spark, sf) -> DataFrame:
 
 
 def drift_ref_cur(spark, sf):
-    lf = drift_long(spark, sf)
+    from silolake.session import cut_lineage
+    # several small jobs (sketch, counts, order statistics, histograms) read it: write it once
+    lf = cut_lineage(drift_long(spark, sf))
     ref = lf.filter(F.col("step") < REF_END)
     cur = lf.filter(F.col("step") >= REF_END).withColumn("win", ((F.col("step") - REF_END) / WIN).cast("int"))
     return ref, cur
@@ -794,9 +804,8 @@ def _train_val(spark, sf):
     from silolake.operators.stats import silo_stats, standardize_vector
     from silolake.session import cut_lineage
     stx = HO.public_holdout(PL.siloed_transactions(spark, sf), 2000)
-    feat = PL.feature_columns(stx)
-    fv = feature_vector(feat.withColumn("split", F.col("split")))
-    fv = fv.join(feat.select("event_id", "split"), "event_id")
+    feat = cut_lineage(PL.feature_columns(stx))  # round-invariant, read by four branches below
+    fv = feature_vector(feat).join(feat.select("event_id", "split"), "event_id")
     train = fv.filter("split = 'train'").drop("split")
     stats = silo_stats(feat.filter("split = 'train'"))
     train = cut_lineage(standardize_vector(train, stats))
@@ -918,3 +927,14 @@ def q_round_epsilon(spark, sf):
         .withColumn("delta_dp", F.lit(1e-5)).withColumn("clip", F.lit(1.0))
     return rounded(with_round_epsilon(x).groupBy("sigma").agg(F.first("epsilon").alias("epsilon"),
                                                               F.count(F.lit(1)).alias("n")))
+
+
+@query("join_type_shares")
+def q_join_type_shares(spark, sf):
+    """Each row with its type's silo proportion vector (α-drawn, driver-side table of types × silos)."""
+    from silolake.schemas import TX_TYPES
+    cuts = P.dirichlet_cuts(TX_TYPES, 5, 0.5, None, 42)
+    props = [(t, [c[0]] + [c[i] - c[i - 1] for i in range(1, len(c))]) for t, c in cuts.items()]
+    shares = spark.createDataFrame(props, "type string, shares array<double>")
+    j = TB.tx_lineitem(spark, sf).select("event_id", "type").join(F.broadcast(shares), "type")
+    return rounded(j.select("event_id", "type", F.posexplode("shares").alias("silo", "share")))

@@ -23,6 +23,7 @@ from silolake.operators import metrics as M
 from silolake.operators import updates as U
 from silolake.plans.train import TrainConfig, score_column, train_mode_a, train_mode_b
 from silolake.schemas import RESULTS, SILO_METRICS
+from silolake.session import ship_package
 
 QUALITY_FLOOR = 1e-4
 
@@ -58,6 +59,7 @@ def candidates_x_validation(val: DataFrame, base: np.ndarray, deltas: dict[str,
     Candidates (≤ silos + 1 vectors) are broadcast; validation is streamed in Arrow batches.
     """
     cands = {"__base__": base, **{s: base + d for s, d in deltas.items()}}
+    ship_package(val.sparkSession)
     bc = val.sparkSession.sparkContext.broadcast(cands)
 
     def part(it):

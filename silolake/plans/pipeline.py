@@ -9,13 +9,23 @@ from silolake.operators.partition import DEFAULT_SHARES, DEFAULT_SILOS, dirichle
 from silolake.operators.stats import silo_stats, standardize, standardize_vector
 from silolake.operators.windows import with_window_features
 from silolake.schemas import TX_TYPES
+from silolake.session import cut_lineage
 from silolake.sources.tables import transactions
 
 
 def siloed_transactions(spark: SparkSession, sf_dir: str, source: str = "lineitem", n_silos: int = DEFAULT_SILOS,
-                        shares=DEFAULT_SHARES, alpha: float = 0.5, seed: int = 42, mode: str = "shares") -> DataFrame:
+                        shares=DEFAULT_SHARES, alpha: float = 0.5, seed: int = 42, mode: str = "shares",
+                        materialize: bool = True) -> DataFrame:
+    """The silo-partitioned transaction table — the lakehouse every silo reads.
+
+    Materialised once (reliable checkpoint in ``spark.checkpoint.dir``):
+    downstream plans branch into per-account tables, statistics and joins, and
+    differently pruned branches cannot share one exchange, so without this
+    each branch would re-run the joins and the partitioning.
+    """
     tx = transactions(spark, sf_dir, source)
-    return dirichlet_partition(tx, n_silos, alpha, shares, seed, mode=mode, types=TX_TYPES)
+    stx = dirichlet_partition(tx, n_silos, alpha, shares, seed, mode=mode, types=TX_TYPES)
+    return cut_lineage(stx) if materialize else stx
 
 
 def feature_columns(tx_with_silo: DataFrame) -> DataFrame:
@@ -28,11 +38,11 @@ def feature_table(spark: SparkSession, sf_dir: str, source: str = "lineitem", **
 
 
 def standardized_features(spark: SparkSession, sf_dir: str, source: str = "lineitem", **kw) -> DataFrame:
-    feat = feature_table(spark, sf_dir, source, **kw)
+    feat = cut_lineage(feature_table(spark, sf_dir, source, **kw))  # round-invariant: computed once
     return standardize(feat, silo_stats(feat))
 
 
 def training_table(spark: SparkSession, sf_dir: str, source: str = "lineitem", **kw) -> DataFrame:
     """``features`` schema, standardised per silo — the round-invariant input of training."""
-    feat = feature_table(spark, sf_dir, source, **kw)
+    feat = cut_lineage(feature_table(spark, sf_dir, source, **kw))
     return standardize_vector(feature_vector(feat), silo_stats(feat))

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silolake.functions import model as MLP
+from silolake.session import ship_package
+from pyspark.sql import SparkSession
 
 
 @dataclass
@@ -68,6 +70,7 @@ def mode_b_epoch(table: DataFrame, weights: dict[str, np.ndarray], w_global: dic
                  shards: dict[str, int], pw: dict[str, float], sizes: list[int], cfg: TrainConfig,
                  round_: int, epoch: int) -> tuple[dict[str, np.ndarray], dict[str, float]]:
     spark = table.sparkSession
+    ship_package(spark)
     bc = spark.sparkContext.broadcast({"w": weights, "g": w_global, "pw": pw})
     shard_map = F.create_map(*[x for s, k in shards.items() for x in (F.lit(s), F.lit(k))])
     keyed = table.withColumn("shard", F.pmod(F.xxhash64("event_id", F.lit(cfg.seed)), shard_map[F.col("silo_id")]))
@@ -130,6 +133,7 @@ def train_mode_b(table: DataFrame, w_global: np.ndarray | dict[str, np.ndarray],
 def mode_a_gradients(table: DataFrame, weights: dict[str, np.ndarray], pw: dict[str, float],
                      sizes: list[int]) -> tuple[dict[str, np.ndarray], dict[str, int], dict[str, float]]:
     """One job: per-silo gradient sums, row counts and loss sums over the whole table."""
+    ship_package(table.sparkSession)
     bc = table.sparkSession.sparkContext.broadcast({"w": weights, "pw": pw})
 
     def part(it):
@@ -186,6 +190,7 @@ def train_mode_a(table: DataFrame, w_global: np.ndarray | dict[str, np.ndarray],
 def score_column(features, weights: np.ndarray, sizes: list[int]):
     """``mlp_score``: Arrow-batched pandas UDF over the features array (weights captured, ~30 KB)."""
     w = np.asarray(weights)
+    ship_package(SparkSession.getActiveSession())
 
     def score(col: pd.Series) -> pd.Series:
         if len(col) == 0:
@@ -193,3 +198,16 @@ def score_column(features, weights: np.ndarray, sizes: list[int]):
         return pd.Series(MLP.forward(np.stack(col.to_numpy()).astype(np.float64), w, sizes))
 
     return F.pandas_udf(score, "double")(features)
+
+
+def register_fraud_score(spark: SparkSession, weights: np.ndarray, sizes: list[int], name: str = "fraud_score") -> None:
+    """SQL access to the model: ``SELECT fraud_score(features) FROM …`` (Arrow-batched)."""
+    w = np.asarray(weights)
+    ship_package(spark)
+
+    def score(col: pd.Series) -> pd.Series:
+        if len(col) == 0:
+            return pd.Series([], dtype=float)
+        return pd.Series(MLP.forward(np.stack(col.to_numpy()).astype(np.float64), w, sizes))
+
+    spark.udf.register(name, F.pandas_udf(score, "double"))
