@@ -74,7 +74,7 @@ SELECT CAST(vec_id // 10 AS INTEGER) AS round, concat('silo-', CAST(vec_id % 10
        CAST(100*(vec_id % 10 + 1) AS BIGINT) AS n_samples,
        label / 10.0 AS train_loss,
        ((vec_id * 13) % 50) / 10.0 AS wall_time_s,
-       TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST((vec_id // 10) * 600 + (vec_id * 7919) % 720 AS BIGINT)) AS arrived_at
+       TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST((vec_id // 10) * 600 + ((vec_id % 10) * 97 + (vec_id // 10) * 31) % 720 AS BIGINT)) AS arrived_at
 FROM embeddings"""
 
 ROUNDS = """
@@ -666,3 +666,31 @@ def _batch6() -> dict[str, str]:
     return {"join_type_shares": (f"WITH {tx_cte()}, sh(type, silo, share) AS (VALUES {', '.join(vals)}) "
                                  f"SELECT event_id, tx.type, CAST(silo AS INTEGER) AS silo, {rnd('share')} AS share "
                                  f"FROM tx JOIN sh ON tx.type = sh.type")}
+
+
+@register
+def _batch7() -> dict[str, str]:
+    q: dict[str, str] = {}
+    fx = feature_exprs()
+    for kind in ("count", "sum"):
+        for n in (1, 24, 168):
+            c = f"velocity_{n}h_{kind}"
+            q[f"velocity_{kind}_{n}h"] = f"WITH {tx_cte()}, {silo_cte()} SELECT event_id, {rnd(fx[c])} AS {c} FROM stx"
+    q["late_updates"] = (f"WITH {BASE_NU}, {_round_updates_sql('upd')} SELECT agg_round, src_round, silo_id, "
+                         f"{rnd('weight')} AS weight FROM ru WHERE staleness = 1")
+    txs = f"WITH {tx_cte('events')} SELECT {_sel_round(TX_COLS, DOUBLE_TX)} FROM tx"
+    for k in ("stream_ingest", "stream_dedup", "lakehouse_sink", "lakehouse_sink_foreach_batch"):
+        q[k] = txs
+    q["file_stream_source"] = "SELECT event_id FROM events"
+    q["stream_features"] = (f"WITH {tx_cte('events')} SELECT event_id, {rnd(fx['log1p_amount'])} AS log1p_amount, "
+                            f"{rnd(fx['balance_delta_orig'])} AS balance_delta_orig, {rnd(fx['hour_sin'])} AS hour_sin, "
+                            f"{rnd(fx['type_TRANSFER'])} AS type_TRANSFER FROM tx")
+    q["foreach_batch_hook"] = "SELECT count(*) AS n_rows FROM events"
+    res = f"WITH {_res_ctes()}"
+    q["results_sink"] = (f"{res} SELECT experiment, round, {rnd('auc_roc')} AS auc_roc, {rnd('auc_pr')} AS auc_pr, n_updates, "
+                         f"{rnd('avg_loss')} AS avg_loss, agg_kind, seed, alpha FROM res")
+    q["results_scan"] = f"{res} SELECT experiment, count(*) AS n FROM res GROUP BY experiment"
+    q["metrics_append"] = (f"WITH {_sm_ctes()} SELECT 'run-1' AS run_id, count(*) AS n FROM sm "
+                           f"UNION ALL SELECT 'run-2', count(*) FROM sm")
+    q["metrics_scan"] = f"WITH {_rt_ctes()} SELECT {RT_COLS} FROM rt"
+    return q

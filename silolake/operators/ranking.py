@@ -109,3 +109,19 @@ def global_rank(df: DataFrame, by: list[str], order: str, n_ranges: int = DEFAUL
         Window.partitionBy(*by).orderBy("_rg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
     return d.join(off, [*by, "_rg"]).withColumn(
         name, F.col("_o") + F.row_number().over(Window.partitionBy(*by, "_rg").orderBy(order))).drop("_rg", "_o")
+
+
+def top_k_per_group(df: DataFrame, by: list[str], order: list, k: int, key: str = "event_id",
+                    salts: int = 64) -> DataFrame:
+    """Exact top-k rows per group by ``order`` without sorting a whole group in one task.
+
+    Phase 1 keeps the top k inside each (group, salt) slice — a hot group is
+    spread over ``salts`` tasks by a hash of the unique ``key``; phase 2 ranks
+    the ≤ k·salts survivors per group. ``order`` must end with a unique
+    tie-breaker so the answer is deterministic.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)))
+    w1 = Window.partitionBy(*by, "_salt").orderBy(*order)
+    cand = salted.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k).drop("_r1", "_salt")
+    w2 = Window.partitionBy(*by).orderBy(*order)
+    return cand.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k)

@@ -23,9 +23,14 @@ def join_update_sizes(updates: DataFrame, silos: DataFrame) -> DataFrame:
 
 
 def update_latest(updates: DataFrame) -> DataFrame:
-    """One update per (round, silo): the last arrival wins."""
-    w = Window.partitionBy("round", "silo_id").orderBy(F.desc("arrived_at"))
-    return updates.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    """One update per (round, silo): the last arrival wins.
+
+    A ``max_by`` aggregate (partial per map task), so a silo that resubmits
+    many times never gathers its copies in one window partition.
+    """
+    cols = [c for c in updates.columns if c not in ("round", "silo_id")]
+    latest = updates.groupBy("round", "silo_id").agg(F.max_by(F.struct(*cols), "arrived_at").alias("_u"))
+    return latest.select("round", "silo_id", *[F.col(f"_u.{c}").alias(c) for c in cols]).select(*updates.columns)
 
 
 def join_round_window(updates: DataFrame, rounds: DataFrame) -> DataFrame:

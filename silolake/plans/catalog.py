@@ -741,9 +741,9 @@ def q_last_w_events(spark, sf):
     """Newest W = 50 values per (silo, feature) of the drift feature table."""
     stx = INJ.inject_drift(_stx(spark, sf), DRIFT_STEP, 3.0)
     f = stx.withColumn("log1p_amount", F.log1p(F.greatest("amount", F.lit(0.0))))
-    w = Window.partitionBy("silo_id").orderBy(F.desc("step"), F.desc("event_id"))
-    return rounded(f.withColumn("_rn", F.row_number().over(w)).filter("_rn <= 50")
-                   .select("silo_id", "event_id", "step", F.col("log1p_amount").alias("value")))
+    from silolake.operators.ranking import top_k_per_group
+    top = top_k_per_group(f, ["silo_id"], [F.desc("step"), F.desc("event_id")], 50)
+    return rounded(top.select("silo_id", "event_id", "step", F.col("log1p_amount").alias("value")))
 
 
 # ---- 2.1 lake / JSON ---------------------------------------------------------------------------
@@ -938,3 +938,234 @@ def q_join_type_shares(spark, sf):
     shares = spark.createDataFrame(props, "type string, shares array<double>")
     j = TB.tx_lineitem(spark, sf).select("event_id", "type").join(F.broadcast(shares), "type")
     return rounded(j.select("event_id", "type", F.posexplode("shares").alias("silo", "share")))
+
+
+# ---- per-frame velocity ids ------------------------------------------------------------------
+
+def _velocity_frame_query(kind: str, n: int):
+    def fn(spark, sf):
+        stx = _stx(spark, sf)
+        v = W.velocity_table(stx, frames=(n,), by=("silo_id",))
+        col = f"velocity_{n}h_{kind}"
+        return rounded(stx.select("event_id", "silo_id", "nameOrig", "step")
+                       .join(v.select("silo_id", "nameOrig", "step", col), ["silo_id", "nameOrig", "step"])
+                       .select("event_id", col))
+    return fn
+
+
+for _k in ("count", "sum"):
+    for _n in W.VELOCITY_FRAMES:
+        QUERIES[f"velocity_{_k}_{_n}h"] = _velocity_frame_query(_k, _n)
+
+
+@query("late_updates")
+def q_late_updates(spark, sf):
+    """Updates carried into the next round with staleness 1 and weight λ."""
+    r = RD.round_updates(TB.updates(spark, sf), TB.rounds(spark, sf), TB.silos(spark, sf))
+    return rounded(r.filter("staleness = 1").select("agg_round", "src_round", "silo_id", "weight"))
+
+
+# ---- streams and sinks, run to completion over the whole table -----------------------------------
+
+from silolake.streaming import drift as SD  # noqa: E402
+from silolake.streaming import ingest as SI  # noqa: E402
+
+STREAM_TIMEOUT = 600
+
+
+def _scratch(spark, name):
+    import uuid
+    from silolake.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/silolake-{name}-{uuid.uuid4().hex}"
+
+
+def _replay_dir(spark, sf, duplicates: bool = False):
+    """tx_events as event-time-ordered JSON files (+ ~5 % of events, hash-chosen, re-sent at the end)."""
+    tx = TB.tx_events(spark, sf)
+    path = _scratch(spark, "replay")
+    SI.write_json_replay(tx, path, files=8)
+    if duplicates:
+        from silolake.functions.rand import hash01
+        again = tx.filter(hash01(42, "resend", "event_id") < 0.05)
+        again.select(F.to_json(F.struct(*tx.columns), {"ignoreNullFields": "false"}).alias("value")) \
+            .coalesce(1).write.mode("append").text(path)
+    return path
+
+
+def _run(query):
+    query.awaitTermination(STREAM_TIMEOUT)
+    if query.exception() is not None:
+        raise query.exception()
+
+
+def _tx_cols():
+    from silolake.schemas import TRANSACTIONS
+    return [c.strip().split(" ")[0] for c in TRANSACTIONS.split(",")]
+
+
+@query("file_stream_source")
+def q_file_stream_source(spark, sf):
+    """Raw lines through the file source (one per event), parsed back to their ids."""
+    src = _replay_dir(spark, sf)
+    out = _scratch(spark, "raw")
+    raw = SI.file_stream_source(spark, src, 2)
+    _run(raw.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-ck")
+         .trigger(availableNow=True).start())
+    return spark.read.parquet(out).select(F.get_json_object("value", "$.event_id").cast("bigint").alias("event_id"))
+
+
+def _ingested(spark, sf, duplicates, sink):
+    src = _replay_dir(spark, sf, duplicates)
+    out = _scratch(spark, "lake")
+    good, _bad = SI.parse_transactions(SI.file_stream_source(spark, src, 2))
+    stream = SI.stream_dedup(good, "40 days").withColumn("silo_id", F.lit("silo-0"))
+    if sink == "parquet":
+        _run(SI.lakehouse_sink(stream, out, out + "-ck", trigger={"availableNow": True}))
+    else:
+        _run(SI.lakehouse_sink_foreach_batch(stream, out, out + "-ck", trigger={"availableNow": True}))
+    return spark.read.parquet(out)
+
+
+@query("stream_ingest")
+def q_stream_ingest(spark, sf):
+    return rounded(_ingested(spark, sf, False, "foreach").select(*_tx_cols()))
+
+
+@query("stream_dedup")
+def q_stream_dedup(spark, sf):
+    """Replay with re-sent events: the lake holds every event exactly once."""
+    return rounded(_ingested(spark, sf, True, "foreach").select(*_tx_cols()))
+
+
+@query("lakehouse_sink")
+def q_lakehouse_sink(spark, sf):
+    return rounded(_ingested(spark, sf, False, "parquet").select(*_tx_cols()))
+
+
+@query("lakehouse_sink_foreach_batch")
+def q_lakehouse_sink_foreach_batch(spark, sf):
+    return rounded(_ingested(spark, sf, True, "foreach").select(*_tx_cols()))
+
+
+@query("stream_features")
+def q_stream_features(spark, sf):
+    src = _replay_dir(spark, sf)
+    out = _scratch(spark, "sfeat")
+    good, _ = SI.parse_transactions(SI.file_stream_source(spark, src, 2))
+    feats = good.withColumns({k: clean(v) for k, v in scalar_feature_columns(good).items()})
+    _run(feats.select("event_id", "log1p_amount", "balance_delta_orig", "hour_sin", "type_TRANSFER")
+         .writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-ck")
+         .trigger(availableNow=True).start())
+    return rounded(spark.read.parquet(out))
+
+
+@query("foreach_batch_hook")
+def q_foreach_batch_hook(spark, sf):
+    """The per-batch hook sees every committed row once: its per-batch counts sum to the table."""
+    src = _replay_dir(spark, sf)
+    out, hook_out = _scratch(spark, "lake"), _scratch(spark, "hook")
+
+    def hook(batch, batch_id):
+        batch.groupBy().count().withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(hook_out)
+
+    good, _ = SI.parse_transactions(SI.file_stream_source(spark, src, 2))
+    _run(SI.lakehouse_sink_foreach_batch(good.withColumn("silo_id", F.lit("silo-0")), out, out + "-ck", hook,
+                                         trigger={"availableNow": True}))
+    return spark.read.parquet(hook_out).agg(F.sum("count").alias("n_rows"))
+
+
+def _stream_binned(spark, sf):
+    tx = TB.tx_events(spark, sf).withColumn("value", F.log1p("amount"))
+    ref = tx.filter("step < 240").withColumn("silo_id", F.lit("all")).withColumn("feature", F.lit("log1p_amount"))
+    edges = DR.quantile_edges(ref, "value", ["silo_id", "feature"])
+    src = _replay_dir(spark, sf)
+    good, _ = SI.parse_transactions(SI.file_stream_source(spark, src, 1))
+    s = SI.stream_dedup(good, "3 days").withColumn("value", F.log1p("amount") * F.when(F.col("step") >= 480, 3.0)
+                                                   .otherwise(1.0))
+    s = s.withColumn("silo_id", F.lit("all")).withColumn("feature", F.lit("log1p_amount"))
+    return ref, edges, SD.with_bins(s, edges, ["silo_id", "feature"])
+
+
+@query("drift_histogram_stream")
+def q_drift_histogram_stream(spark, sf):
+    _ref, _edges, binned = _stream_binned(spark, sf)
+    out = _scratch(spark, "dhist")
+    hist = SD.drift_histogram_stream(binned, ["silo_id", "feature"], "1 day")
+    _run(hist.select(F.col("window.start").alias("day"), "silo_id", "feature", "bin", "cnt").writeStream
+         .format("parquet").option("path", out).option("checkpointLocation", out + "-ck").outputMode("append")
+         .trigger(availableNow=True).start())
+    return spark.read.parquet(out)
+
+
+@query("drift_alert_stream")
+def q_drift_alert_stream(spark, sf):
+    """Daily windows' PSI against the reference, alerts appended per micro-batch by foreachBatch."""
+    ref, edges, binned = _stream_binned(spark, sf)
+    ref_counts = DR.histogram_counts(ref, "value", ["silo_id", "feature"], edges).withColumnRenamed("cnt", "rc")
+    out = _scratch(spark, "alerts")
+    hist = SD.drift_histogram_stream(binned, ["silo_id", "feature"], "1 day")
+    writer = SD.drift_alert_writer(out)
+
+    def fn(batch, batch_id):
+        alerts = DR.drift_alerts(SD.psi_from_counts(batch, ref_counts, ["silo_id", "feature"]))
+        writer(alerts.select(F.col("window.start").alias("day"), "silo_id", "feature", "psi"), batch_id)
+
+    _run(hist.writeStream.foreachBatch(fn).option("checkpointLocation", out + "-ck").outputMode("append")
+         .trigger(availableNow=True).start())
+    return rounded(spark.read.parquet(out).select("day", "silo_id", "feature", "psi"))
+
+
+@query("drift_monitor_stateful")
+def q_drift_monitor_stateful(spark, sf):
+    ref, edges, binned = _stream_binned(spark, sf)
+    rc = DR.histogram_counts(ref, "value", ["silo_id", "feature"], edges).orderBy("bin").collect()
+    tot = sum(r["cnt"] for r in rc)
+    shares = {("all", "log1p_amount"): [r["cnt"] / max(tot, 1) for r in rc]}
+    out = _scratch(spark, "monitor")
+    alerts = SD.drift_monitor_stateful(binned, ["silo_id", "feature"], shares, window_size=500)
+    _run(alerts.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-ck")
+         .outputMode("append").trigger(availableNow=True).start())
+    return rounded(spark.read.parquet(out))
+
+
+@query("velocity_stream")
+def q_velocity_stream(spark, sf):
+    src = _replay_dir(spark, sf)
+    out = _scratch(spark, "vel")
+    good, _ = SI.parse_transactions(SI.file_stream_source(spark, src, 2))
+    v = SD.velocity_stream(SI.stream_dedup(good, "3 days"))
+    _run(v.select(F.col("window.start").alias("start"), "nameOrig", "velocity_count", "velocity_sum").writeStream
+         .format("parquet").option("path", out).option("checkpointLocation", out + "-ck").outputMode("append")
+         .trigger(availableNow=True).start())
+    return rounded(spark.read.parquet(out))
+
+
+@query("results_sink")
+def q_results_sink(spark, sf):
+    out = _scratch(spark, "results")
+    LK.results_sink(RT.results_table(spark, sf), out, "csv")
+    return rounded(LK.results_scan(spark, out, "csv").drop("source_file"))
+
+
+@query("results_scan")
+def q_results_scan(spark, sf):
+    out = _scratch(spark, "results")
+    LK.results_sink(RT.results_table(spark, sf), out, "parquet")
+    return LK.results_scan(spark, out, "parquet").groupBy("experiment", "source_file").agg(
+        F.count(F.lit(1)).alias("n")).drop("source_file")
+
+
+@query("metrics_append")
+def q_metrics_append(spark, sf):
+    root = _scratch(spark, "metrics")
+    sm = RT.silo_metrics(spark, sf)
+    LK.metrics_append(sm, root, "silo_metrics", "run-1")
+    LK.metrics_append(sm, root, "silo_metrics", "run-2")
+    return LK.metrics_scan(spark, root, "silo_metrics").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("metrics_scan")
+def q_metrics_scan(spark, sf):
+    root = _scratch(spark, "metrics")
+    LK.metrics_append(RT.rounds_table(spark, sf), root, "rounds", "run-1")
+    return rounded(LK.metrics_scan(spark, root, "rounds", "run-1").drop("run_id"))

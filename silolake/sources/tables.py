@@ -123,12 +123,13 @@ def upd_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Update records (``updates`` schema) from ``embeddings``: one per (round, silo).
 
-    Arrivals spread over 720 s after the round opens; the deadline is 480 s,
-    so some updates are late and some land in the next round's window.
+    Arrivals spread over 720 s after the round opens (97 s apart per silo,
+    shifted 31 s per round); the deadline is 480 s, so some rounds close on
+    time with stragglers carried over, others need the deadline extension.
     """
     e = table(spark, sf_dir, "embeddings")
     rnd = (F.col("vec_id") / UPDATES_PER_ROUND).cast("int")
-    offset = (F.col("vec_id") * 7919) % ARRIVAL_SPREAD_SECONDS
+    offset = ((F.col("vec_id") % UPDATES_PER_ROUND) * 97 + rnd * 31) % ARRIVAL_SPREAD_SECONDS
     return e.select(
         rnd.alias("round"),
         F.concat(F.lit("silo-"), (F.col("vec_id") % UPDATES_PER_ROUND).cast("string")).alias("silo_id"),
