@@ -983,13 +983,13 @@ def _replay_dir(spark, sf, duplicates: bool = False):
     """tx_events as event-time-ordered JSON files (+ ~5 % of events, hash-chosen, re-sent at the end)."""
     tx = TB.tx_events(spark, sf)
     path = _scratch(spark, "replay")
-    SI.write_json_replay(tx, path, files=8)
+    glob = SI.write_json_replay(tx, path, files=8)
     if duplicates:
         from silolake.functions.rand import hash01
         again = tx.filter(hash01(42, "resend", "event_id") < 0.05)
         again.select(F.to_json(F.struct(*tx.columns), {"ignoreNullFields": "false"}).alias("value")) \
-            .coalesce(1).write.mode("append").text(path)
-    return path
+            .coalesce(1).write.mode("overwrite").text(f"{path}/zz-resent")
+    return glob
 
 
 def _run(query):

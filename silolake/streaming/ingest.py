@@ -86,8 +86,21 @@ def lakehouse_sink_foreach_batch(df: DataFrame, path: str, checkpoint: str, hook
             .trigger(**(trigger or {"processingTime": "10 seconds"})).start())
 
 
-def write_json_replay(df: DataFrame, path: str, order_by: str = "step", files: int = 4) -> None:
-    """Write a table as event-time-ordered JSON-lines files (the replay input of the file source)."""
-    (df.repartitionByRange(files, order_by).sortWithinPartitions(order_by, "event_id")
-     .select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
-     .write.mode("overwrite").text(path))
+def write_json_replay(df: DataFrame, path: str, order_by: str = "step", files: int = 4) -> str:
+    """Write a table as event-time-ordered JSON-lines files (the replay input of the file source).
+
+    The file source processes files in modification-time order, so blocks of
+    ``order_by`` are written one after another (block k strictly before k+1);
+    files written in parallel would reach the source in arbitrary order and a
+    watermark would drop the earlier blocks. Returns the glob to read.
+    """
+    lo, hi = df.agg(F.min(order_by), F.max(order_by)).first()
+    if lo is None:
+        return f"{path}/*"
+    width = (hi - lo + 1) / files
+    blk = F.least(F.floor((F.col(order_by) - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(files - 1))
+    value = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")
+    for b in range(files):
+        (df.filter(blk == b).sort(order_by, "event_id").select(value).coalesce(1)
+         .write.mode("overwrite").text(f"{path}/blk{b:05d}"))
+    return f"{path}/*"

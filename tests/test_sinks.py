@@ -61,8 +61,7 @@ def test_lake_snapshot_and_sink(spark, tmp_path):
 
 def test_parquet_stream_sink_and_alert_writer(spark, tmp_path):
     tx = tx_events(spark, SF_SMALL)
-    src = str(tmp_path / "src")
-    SI.write_json_replay(tx, src, files=3)
+    src = SI.write_json_replay(tx, str(tmp_path / "src"), files=3)
     good, _ = SI.parse_transactions(SI.file_stream_source(spark, src, 1))
     q = SI.lakehouse_sink(good.withColumn("silo_id", F.lit("silo-0")), str(tmp_path / "lake"), str(tmp_path / "ck"),
                           trigger={"availableNow": True})

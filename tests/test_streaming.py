@@ -19,15 +19,17 @@ def _replay(spark, tmp_path):
     """Ordered JSON files of tx_events + one extra file: 5 % re-sent ids, a malformed line, a late new row."""
     tx = tx_events(spark, SF_SMALL)
     src = str(tmp_path / "src")
-    SI.write_json_replay(tx, src, files=4)
+    glob = SI.write_json_replay(tx, src, files=4)
     rows = [r.asDict() for r in tx.orderBy("event_id").collect()]
     extra = [json.dumps(r) for r in rows[:: 20]]
     extra.append("{not json")
     late = dict(rows[0], event_id=10 ** 9, step=0)
     extra.append(json.dumps(late))
-    with open(f"{src}/zz-extra.txt", "w") as f:
+    import os
+    os.makedirs(f"{src}/zz-extra")
+    with open(f"{src}/zz-extra/extra.txt", "w") as f:
         f.write("\n".join(extra) + "\n")
-    return tx, rows, src, len(extra)
+    return tx, rows, glob, len(extra)
 
 
 def test_stream_ingest_accounts_for_every_row(spark, tmp_path):
