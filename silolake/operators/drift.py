@@ -46,8 +46,13 @@ def psi_edges(ref: DataFrame, cur: DataFrame, value: str, by: list[str], cur_by:
 
 
 def bin_index(value, edges, n_bins: int = N_BINS):
-    """np.histogram bin: [e_i, e_{i+1}), last bin closed; duplicate edges leave empty bins."""
-    return F.least(F.greatest(F.size(F.filter(edges, lambda e: e <= value)) - 1, F.lit(0)), F.lit(n_bins - 1))
+    """np.histogram bin: [e_i, e_{i+1}), last bin closed; duplicate edges leave empty bins.
+
+    (number of edges ≤ value) − 1, clamped — a fixed sum of comparisons, so it
+    stays inside whole-stage codegen (no lambda per row).
+    """
+    below = sum((edges[i] <= value).cast("int") for i in range(n_bins + 1))
+    return F.least(F.greatest(below - 1, F.lit(0)), F.lit(n_bins - 1))
 
 
 def histogram_counts(df: DataFrame, value: str, keys: list[str], edges: DataFrame, n_bins: int = N_BINS) -> DataFrame:

@@ -90,9 +90,8 @@ def dirichlet_cuts(types: list[str], n_silos: int, alpha: float, size_shares: li
 
 def _assign(ranked: DataFrame, group: list[str], n_col: str, cum_expr: Column, n_silos: int) -> DataFrame:
     """silo = number of cuts strictly below the row number (first silo whose cut covers it)."""
-    cuts = F.transform(cum_expr, lambda f: F.floor(f * F.col(n_col)))
-    cuts = F.concat(F.slice(cuts, 1, n_silos - 1), F.array(F.col(n_col).cast("bigint")))
-    idx = F.size(F.filter(cuts, lambda c: c < F.col("rn")))
+    # the last cut is n itself, so only the first n_silos − 1 cuts can lie below a row number
+    idx = sum((F.floor(cum_expr[i] * F.col(n_col)) < F.col("rn")).cast("int") for i in range(n_silos - 1))
     return ranked.withColumn("silo_id", F.concat(F.lit("silo-"), idx.cast("string")))
 
 

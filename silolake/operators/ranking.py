@@ -24,7 +24,8 @@ def _with_range(df: DataFrame, by: list[str], value: str, n_ranges: int) -> Data
     bounds = df.groupBy(*by).agg(F.percentile_approx(value, probs, 1000).alias("_bounds"))
     j = df.join(F.broadcast(bounds), by)  # groups × ranges doubles: ``by`` must be a bounded grouping
     # ties share a range: strictly-below count is monotone in value
-    return j.withColumn("_rg", F.size(F.filter("_bounds", lambda b: b < F.col(value)))).drop("_bounds")
+    below = sum((F.col("_bounds")[i] < F.col(value)).cast("int") for i in range(n_ranges - 1))
+    return j.withColumn("_rg", below).drop("_bounds")
 
 
 def exact_quantiles(df: DataFrame, value: str, by: list[str], probs: list[float], n_ranges: int = DEFAULT_RANGES,
@@ -45,8 +46,8 @@ def exact_quantiles(df: DataFrame, value: str, by: list[str], probs: list[float]
     bounds = d.groupBy(*by).agg(F.percentile_approx(value, rng_probs, 10000).alias("_bounds")).collect()
     bdf = spark.createDataFrame([(*[r[c] for c in by], r["_bounds"]) for r in bounds],
                                 T.StructType([*key_schema.fields, T.StructField("_bounds", T.ArrayType(T.DoubleType()))]))
-    d2 = d.join(F.broadcast(bdf), by).withColumn(
-        "_rg", F.size(F.filter("_bounds", lambda b: b < F.col(value).cast("double")))).drop("_bounds")
+    below = sum((F.col("_bounds")[i] < F.col(value)).cast("int") for i in range(n_ranges - 1))
+    d2 = d.join(F.broadcast(bdf), by).withColumn("_rg", below).drop("_bounds")
     counts: dict[tuple, dict[int, int]] = {}
     for r in d2.groupBy(*by, "_rg").agg(F.count(F.lit(1)).alias("_c")).collect():
         counts.setdefault(tuple(r[c] for c in by), {})[r["_rg"]] = r["_c"]

@@ -94,7 +94,7 @@ def q_feature_vector(spark, sf):
 
 @query("feature_table")
 def q_feature_table(spark, sf):
-    return rounded(PL.feature_table(spark, sf).select("event_id", "silo_id", *FEATURE_COLS))
+    return rounded(PL.materialized_features(spark, sf).select("event_id", "silo_id", *FEATURE_COLS))
 
 
 @query("filter_by_type")
@@ -801,18 +801,15 @@ def q_mlp_score(spark, sf):
 
 def _train_val(spark, sf):
     """Training table (public hold-out removed) and validation table, standardised per silo."""
-    from silolake.operators.stats import silo_stats, standardize_vector
     from silolake.session import cut_lineage
-    stx = HO.public_holdout(PL.siloed_transactions(spark, sf), 2000)
-    feat = cut_lineage(PL.feature_columns(stx))  # round-invariant, read by four branches below
-    fv = feature_vector(feat).join(feat.select("event_id", "split"), "event_id")
-    train = fv.filter("split = 'train'").drop("split")
-    stats = silo_stats(feat.filter("split = 'train'"))
-    train = cut_lineage(standardize_vector(train, stats))
-    val = fv.filter("split = 'public'").drop("split")
+    # the public slice is drawn from the silo lake; features are the round-invariant table
+    split = HO.public_holdout(PL.siloed_transactions(spark, sf), 2000).select("event_id", "split")
+    feat = cut_lineage(PL.materialized_features(spark, sf).join(split, "event_id"))
+    tr = feat.filter("split = 'train'")
+    train = cut_lineage(feature_vector(standardize(tr, silo_stats(tr))))
     # the public set is standardised with its own statistics (it belongs to the coordinator)
-    vstats = silo_stats(feat.filter("split = 'public'").withColumn("silo_id", F.lit("public")))
-    val = cut_lineage(standardize_vector(val.withColumn("silo_id", F.lit("public")), vstats))
+    va = feat.filter("split = 'public'").withColumn("silo_id", F.lit("public"))
+    val = cut_lineage(feature_vector(standardize(va, silo_stats(va))))
     return train, val
 
 

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from silolake.functions.features import feature_vector, with_scalar_features
 from silolake.operators.partition import DEFAULT_SHARES, DEFAULT_SILOS, dirichlet_partition
-from silolake.operators.stats import silo_stats, standardize, standardize_vector
+from silolake.operators.stats import silo_stats, standardize
 from silolake.operators.windows import with_window_features
 from silolake.schemas import TX_TYPES
-from silolake.session import cut_lineage
+from silolake.session import materialized
 from silolake.sources.tables import transactions
 
 
@@ -23,9 +23,14 @@ def siloed_transactions(spark: SparkSession, sf_dir: str, source: str = "lineite
     differently pruned branches cannot share one exchange, so without this
     each branch would re-run the joins and the partitioning.
     """
-    tx = transactions(spark, sf_dir, source)
-    stx = dirichlet_partition(tx, n_silos, alpha, shares, seed, mode=mode, types=TX_TYPES)
-    return cut_lineage(stx) if materialize else stx
+    def build():
+        tx = transactions(spark, sf_dir, source)
+        return dirichlet_partition(tx, n_silos, alpha, shares, seed, mode=mode, types=TX_TYPES)
+
+    if not materialize:
+        return build()
+    key = ("silo_tx", sf_dir, source, n_silos, tuple(shares) if shares else None, alpha, seed, mode)
+    return materialized(spark, key, build)
 
 
 def feature_columns(tx_with_silo: DataFrame) -> DataFrame:
@@ -37,12 +42,18 @@ def feature_table(spark: SparkSession, sf_dir: str, source: str = "lineitem", **
     return feature_columns(siloed_transactions(spark, sf_dir, source, **kw))
 
 
+def materialized_features(spark: SparkSession, sf_dir: str, source: str = "lineitem", **kw) -> DataFrame:
+    """The round-invariant feature table, written once per application."""
+    key = ("features", sf_dir, source, tuple(sorted((k, str(v)) for k, v in kw.items())))
+    return materialized(spark, key, lambda: feature_table(spark, sf_dir, source, **kw))
+
+
 def standardized_features(spark: SparkSession, sf_dir: str, source: str = "lineitem", **kw) -> DataFrame:
-    feat = cut_lineage(feature_table(spark, sf_dir, source, **kw))  # round-invariant: computed once
+    feat = materialized_features(spark, sf_dir, source, **kw)
     return standardize(feat, silo_stats(feat))
 
 
 def training_table(spark: SparkSession, sf_dir: str, source: str = "lineitem", **kw) -> DataFrame:
     """``features`` schema, standardised per silo — the round-invariant input of training."""
-    feat = cut_lineage(feature_table(spark, sf_dir, source, **kw))
-    return standardize_vector(feature_vector(feat), silo_stats(feat))
+    feat = materialized_features(spark, sf_dir, source, **kw)
+    return feature_vector(standardize(feat, silo_stats(feat)))

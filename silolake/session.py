@@ -49,6 +49,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def write_table(df: DataFrame, name: str = "table") -> str:
+    """Write ``df`` as Parquet under the shared checkpoint folder; returns the path."""
+    import uuid
+
+    base = checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/silolake-{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return path
+
+
 def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back.
 
@@ -56,13 +66,7 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     executor loss); the read-back is columnar, so later plans get column
     pruning and filter pushdown on it.
     """
-    import uuid
-
-    spark = df.sparkSession
-    base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/silolake-{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(write_table(df, name))
 
 
 _SHIPPED: set[int] = set()
@@ -91,3 +95,19 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(path)
     _SHIPPED.add(key)
+
+
+_TABLES: dict[tuple, str] = {}
+
+
+def materialized(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """A table written once per application under the checkpoint folder, keyed by ``key``.
+
+    Round-invariant inputs (the silo-partitioned lake, the feature table) are
+    read by many jobs; the first caller writes them (``build()`` → Parquet),
+    later callers read the files.
+    """
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _TABLES:
+        _TABLES[full] = write_table(build(), name=str(key[0]))
+    return spark.read.parquet(_TABLES[full])
