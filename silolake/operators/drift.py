@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from silolake.operators.ranking import exact_quantiles
+from silolake.operators.ranking import count_below, exact_quantiles
 
 N_BINS = 20
 EPS = 1e-6
@@ -48,10 +48,10 @@ def psi_edges(ref: DataFrame, cur: DataFrame, value: str, by: list[str], cur_by:
 def bin_index(value, edges, n_bins: int = N_BINS):
     """np.histogram bin: [e_i, e_{i+1}), last bin closed; duplicate edges leave empty bins.
 
-    (number of edges ≤ value) − 1, clamped — a fixed sum of comparisons, so it
-    stays inside whole-stage codegen (no lambda per row).
+    (number of edges ≤ value) − 1, clamped; the count is a binary search
+    unrolled into a CASE tree, so it stays inside whole-stage codegen.
     """
-    below = sum((edges[i] <= value).cast("int") for i in range(n_bins + 1))
+    below = count_below(value, edges, n_bins + 1, inclusive=True)
     return F.least(F.greatest(below - 1, F.lit(0)), F.lit(n_bins - 1))
 
 
