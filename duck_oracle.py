@@ -694,3 +694,21 @@ def _batch7() -> dict[str, str]:
                            f"UNION ALL SELECT 'run-2', count(*) FROM sm")
     q["metrics_scan"] = f"WITH {_rt_ctes()} SELECT {RT_COLS} FROM rt"
     return q
+
+
+@register
+def _batch8() -> dict[str, str]:
+    key = "concat(CAST(event_id AS VARCHAR), ':', CAST(copy AS VARCHAR))"
+    money = ", ".join(
+        f"CASE WHEN copy > 0 THEN {c} * exp(0.1 * {normal01(f'amp/{c}', key)}) ELSE {c} END AS {c}" for c in MONEY)
+    off = f"CAST(floor({hash01('amp/step', 'CAST(copy AS VARCHAR)')} * 99) + 1 AS INTEGER)"
+    amp = (f"a0 AS (SELECT tx.*, CAST(c.copy AS INTEGER) AS copy FROM tx, unnest(range(0, 10)) c(copy)), "
+           f"atx AS (SELECT event_id * 16 + copy AS event_id, CASE WHEN copy > 0 THEN step + {off} ELSE step END AS step, type, "
+           f"CASE WHEN copy > 0 THEN concat(nameOrig, '_amp', CAST(copy AS VARCHAR)) ELSE nameOrig END AS nameOrig, "
+           f"CASE WHEN copy > 0 THEN concat(nameDest, '_amp', CAST(copy AS VARCHAR)) ELSE nameDest END AS nameDest, "
+           f"isFraud, isFlaggedFraud, {money} FROM a0)")
+    sql = (f"WITH {tx_cte('events')}, {amp}, {silo_cte(src='atx')}, {feat_cte()} "
+           f"SELECT silo_id, count(*) AS n, round(avg(velocity_24h_count), 4) AS avg_velocity_24h_count, "
+           f"round(avg(velocity_168h_sum), 4) AS avg_velocity_168h_sum, round(sum(in_degree_24h), 4) AS sum_in_degree_24h, "
+           f"round(avg(log1p_amount), 4) AS avg_log1p_amount FROM feat GROUP BY silo_id")
+    return {"amplify_features_x10": sql}

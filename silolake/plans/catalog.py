@@ -1166,3 +1166,16 @@ def q_metrics_scan(spark, sf):
     root = _scratch(spark, "metrics")
     LK.metrics_append(RT.rounds_table(spark, sf), root, "rounds", "run-1")
     return rounded(LK.metrics_scan(spark, root, "rounds", "run-1").drop("run_id"))
+
+
+@query("amplify_features_x10")
+def q_amplify_features_x10(spark, sf):
+    """Scale-up run: events ×10 (amplify) → silo split → windowed features → per-silo summary."""
+    a = AMP.amplify(TB.tx_events(spark, sf), 10, 42, 0.1)
+    a = a.withColumn("event_id", F.col("event_id") * 16 + F.col("copy")).drop("copy")
+    stx = P.dirichlet_partition(a, types=list(P_TYPES()))
+    feat = PL.feature_columns(stx)
+    return rounded(feat.groupBy("silo_id").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("velocity_24h_count").alias("avg_velocity_24h_count"),
+        F.avg("velocity_168h_sum").alias("avg_velocity_168h_sum"), F.sum("in_degree_24h").alias("sum_in_degree_24h"),
+        F.avg("log1p_amount").alias("avg_log1p_amount")), 4)
