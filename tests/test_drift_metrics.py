@@ -79,3 +79,29 @@ def test_ap_auc_against_brute_force(spark):
     one = spark.createDataFrame([(0.3, 0.0), (0.4, 0.0)], "score double, label double")
     r1 = M.classification_report(one).first()
     assert r1["auc_roc"] is None and r1["auc_pr"] is None
+
+
+def test_count_below_matches_searchsorted(spark):
+    from silolake.operators.ranking import count_below
+    rng = np.random.default_rng(9)
+    arr = sorted(np.round(rng.normal(size=21), 1).tolist())  # duplicates included
+    vals = np.round(rng.normal(size=300), 1).tolist() + arr
+    df = spark.createDataFrame([(float(v), arr) for v in vals], "v double, a array<double>")
+    out = df.select("v", count_below(F.col("v"), F.col("a"), 21).alias("lt"),
+                    count_below(F.col("v"), F.col("a"), 21, inclusive=True).alias("le")).collect()
+    for r in out:
+        assert r["lt"] == np.searchsorted(arr, r["v"], side="left")
+        assert r["le"] == np.searchsorted(arr, r["v"], side="right")
+
+
+def test_top_k_per_group_brute_force(spark):
+    from silolake.operators.ranking import top_k_per_group
+    rng = np.random.default_rng(4)
+    rows = [(int(i), "hot" if i % 3 else f"g{i % 5}", int(rng.integers(0, 50))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "event_id long, g string, step int")
+    got = {(r["g"], r["event_id"]) for r in top_k_per_group(df, ["g"], [F.desc("step"), F.desc("event_id")], 7, salts=8).collect()}
+    exp = set()
+    for g in {r[1] for r in rows}:
+        grp = sorted((r for r in rows if r[1] == g), key=lambda r: (-r[2], -r[0]))[:7]
+        exp |= {(g, r[0]) for r in grp}
+    assert got == exp
