@@ -70,12 +70,11 @@ def distinct_in_degree_table(tx: DataFrame, key: str = "nameDest", other: str =
 def with_window_features(tx: DataFrame, by: tuple[str, ...] = (), distinct_in_degree: bool = False) -> DataFrame:
     """Attach the six velocity columns and ``in_degree_24h`` (optionally the distinct variant).
 
-    The input feeds three branches (two per-step tables and the join back);
-    one exchange on the unique ``event_id`` — never on a possibly hot account
-    — is shared by all of them, so the upstream plan runs once.
+    The input feeds three branches (two per-step tables and the join back), so
+    pass a materialised table (the pipeline reads the written silo lake): each
+    branch then re-reads Parquet instead of re-running the upstream plan, with
+    no extra shuffle of the full table.
     """
-    if "event_id" in tx.columns:
-        tx = tx.repartition("event_id")
     out = tx.join(velocity_table(tx, by=by), [*by, "nameOrig", "step"], "left")
     out = out.join(in_degree_table(tx, by=by), [*by, "nameDest", "step"], "left")
     if distinct_in_degree:

@@ -1173,7 +1173,8 @@ def q_amplify_features_x10(spark, sf):
     """Scale-up run: events ×10 (amplify) → silo split → windowed features → per-silo summary."""
     a = AMP.amplify(TB.tx_events(spark, sf), 10, 42, 0.1)
     a = a.withColumn("event_id", F.col("event_id") * 16 + F.col("copy")).drop("copy")
-    stx = P.dirichlet_partition(a, types=list(P_TYPES()))
+    from silolake.session import cut_lineage
+    stx = cut_lineage(P.dirichlet_partition(a, types=list(P_TYPES())), "amplified")
     feat = PL.feature_columns(stx)
     return rounded(feat.groupBy("silo_id").agg(
         F.count(F.lit(1)).alias("n"), F.avg("velocity_24h_count").alias("avg_velocity_24h_count"),
