@@ -51,3 +51,17 @@ def test_clip_and_noise(spark):
     assert any(x != 0 for x in noisy)
     again = U.gaussian_noise(z.repartition(3), 0.5, 1.0).first()["delta"]
     assert noisy == again
+
+
+def test_qwra_falls_back_to_trimmed_mean(spark):
+    # a huge update aligned with the others survives the cosine filter but dominates the weighted mean
+    rng = np.random.default_rng(1)
+    u = np.ones(8)
+    vecs = np.vstack([0.01 * u + 0.001 * rng.normal(size=(4, 8)), 100 * u])
+    long = _long(spark, vecs.tolist(), [100, 100, 100, 100, 10000])
+    agg, flags = U.qwra(long)
+    rows = agg.orderBy("pos").collect()
+    assert all(r["fallback"] for r in rows)
+    s = np.sort(vecs, axis=0)
+    assert np.allclose([r["v"] for r in rows], s[1:4].mean(axis=0))
+    assert not any(r["rejected"] for r in flags.collect())
