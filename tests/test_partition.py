@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -59,3 +60,18 @@ def test_amplify(spark):
     assert sorted(r["amount"] for r in c0) == [10.0, 20.0]
     assert all(r["nameOrig"].endswith(f"_amp{r['copy']}") for r in a if r["copy"] > 0)
     assert sum(r["isFraud"] for r in a) == 3
+
+
+def test_amplify_noise_statistics(spark):
+    tx = tx_events(spark, SF_SMALL)
+    a = amplify(tx, 5, 42, 0.1).alias("a").join(tx.alias("t"), "event_id").filter("a.copy > 0")
+    rows = a.select(F.log(F.col("a.amount") / F.col("t.amount")).alias("la"),
+                    F.log(F.col("a.newbalanceDest") / F.col("t.newbalanceDest")).alias("lb"),
+                    (F.col("a.step") - F.col("t.step")).alias("off"), F.col("a.copy").alias("copy")).collect()
+    la, lb = np.array([r["la"] for r in rows]), np.array([r["lb"] for r in rows])
+    assert abs(la.mean()) < 0.01 and abs(la.std() - 0.1) < 0.01
+    assert abs(np.corrcoef(la, lb)[0, 1]) < 0.1  # each column draws its own noise
+    offs = {}
+    for r in rows:
+        offs.setdefault(r["copy"], set()).add(r["off"])
+    assert all(len(v) == 1 and 1 <= next(iter(v)) < 100 for v in offs.values())  # one offset per copy
