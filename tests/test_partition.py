@@ -75,3 +75,16 @@ def test_amplify_noise_statistics(spark):
     for r in rows:
         offs.setdefault(r["copy"], set()).add(r["off"])
     assert all(len(v) == 1 and 1 <= next(iter(v)) < 100 for v in offs.values())  # one offset per copy
+
+
+def test_type_mix_chi2_brute_force(spark):
+    from silolake.plans.reports import type_mix_chi2
+    rows = [(i, t, s) for i, (t, s) in enumerate(
+        [("A", "s0")] * 30 + [("B", "s0")] * 5 + [("A", "s1")] * 10 + [("C", "s1")] * 20 + [("B", "s2")] * 7)]
+    df = spark.createDataFrame(rows, "event_id long, type string, silo_id string")
+    got = {r["silo_id"]: r["chi2"] for r in type_mix_chi2(df).collect()}
+    types, silos = ["A", "B", "C"], ["s0", "s1", "s2"]
+    o = np.array([[sum(1 for _, t, s in rows if t == ty and s == si) for ty in types] for si in silos], dtype=float)
+    e = o.sum(axis=1, keepdims=True) * o.sum(axis=0, keepdims=True) / o.sum()
+    exp = ((o - e) ** 2 / e).sum(axis=1)
+    assert np.allclose([got[s] for s in silos], exp)
