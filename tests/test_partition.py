@@ -88,3 +88,13 @@ def test_type_mix_chi2_brute_force(spark):
     e = o.sum(axis=1, keepdims=True) * o.sum(axis=0, keepdims=True) / o.sum()
     exp = ((o - e) ** 2 / e).sum(axis=1)
     assert np.allclose([got[s] for s in silos], exp)
+
+
+def test_label_flip_one_silo(spark):
+    tx = dirichlet_partition(tx_events(spark, SF_SMALL))
+    flipped = inject_label_flip(tx, 0.5, 42, silo="silo-1")
+    j = flipped.alias("f").join(tx.alias("t"), "event_id").select(
+        F.col("t.silo_id").alias("silo_id"), (F.col("f.isFraud") != F.col("t.isFraud")).cast("int").alias("flip"))
+    rates = {r["silo_id"]: r["rate"] for r in j.groupBy("silo_id").agg(F.avg("flip").alias("rate")).collect()}
+    assert 0.4 < rates["silo-1"] < 0.6
+    assert all(v == 0 for k, v in rates.items() if k != "silo-1")
