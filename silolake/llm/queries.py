@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest_dedup, sentencepiece_stream, token_count, token_store
+from . import digest_dedup, sentencepiece_stream, token_count, token_store, toxicity
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op4_digest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("member")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_stream.encode_documents(table(spark, sf_dir, "documents"), ids=False, digest=True)
 
@@ -35,6 +39,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op4_digest_dedup": op4_digest_dedup,
+    "op5_toxicity": op5_toxicity,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_token_count": op10_token_count,
 }
