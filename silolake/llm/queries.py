@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest_dedup, sentencepiece_stream, token_count, token_store, toxicity
+from . import digest_dedup, jaccard_join, sentencepiece_stream, token_count, token_store, toxicity
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_stream.encode_documents(table(spark, sf_dir, "documents"), ids=False, digest=True)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_digest_dedup": op4_digest_dedup,
     "op5_toxicity": op5_toxicity,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_token_count": op10_token_count,
 }
 
