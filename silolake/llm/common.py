@@ -44,7 +44,7 @@ def open_output(uri: str):
     """A binary stream into the shared folder (file, hdfs, s3, gs); parents are created."""
     store, path = _filesystem(uri)
     store.create_dir(os.path.dirname(path), recursive=True)
-    return store.open_output_stream(path)
+    return store.open_output_stream(path, compression=None)
 
 
 def open_input(uri: str):

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest_dedup, jaccard_join, sentencepiece_stream, token_count, token_store, toxicity
-from .common import table
+from . import digest_dedup, jaccard_join, pivot_dedup, sentencepiece_stream, token_count, token_store, toxicity, warc
+from .common import stored, table
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_ids(store, store.manifest.select("doc_id", "nth"), digest=True).drop("nth")
 
 
+def op3_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_digest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("member")
 
@@ -28,6 +32,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    captures = stored(warc.assemble(warc.read_records(spark, folder, manifest)), "captures")
+    return warc.page_captures(captures)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_stream.encode_documents(table(spark, sf_dir, "documents"), ids=False, digest=True)
 
@@ -42,8 +52,10 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op3_pivot_dedup": op3_pivot_dedup,
     "op4_digest_dedup": op4_digest_dedup,
     "op5_toxicity": op5_toxicity,
+    "op7_warc": op7_warc,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_token_count": op10_token_count,
