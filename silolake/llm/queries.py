@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest_dedup, jaccard_join, pivot_dedup, sentencepiece_stream, token_count, token_store, toxicity, warc
+from . import chat_preference, digest_dedup, jaccard_join, pivot_dedup, sentencepiece_stream, soft_mixing, token_count, token_store, toxicity, warc
 from .common import stored, table
 
 
@@ -20,6 +20,12 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_ids(store, store.manifest.select("doc_id", "nth"), digest=True).drop("nth")
 
 
+def op2_chat_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = chat_preference.preference_pairs(*chat_preference.swapped_replies(table(spark, sf_dir, "conversations")))
+    sides = [f(s).alias(n) for s in ("chosen", "rejected") for f, n in ((chat_preference.completion, s), (chat_preference.mask, f"{s}_mask"))]
+    return pairs.select("pair_id", "prompt_turns", "prompt", *sides)
+
+
 def op3_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -32,6 +38,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = soft_mixing.labelled_domains(docs, table(spark, sf_dir, "labels"))
+    mixed, domains = soft_mixing.mix(docs, labelled, soft_mixing.WEIGHTS)
+    return mixed.select("doc_id", "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], "rate", "copies")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, manifest = warc.write_archives(table(spark, sf_dir, "pages"))
     captures = stored(warc.assemble(warc.read_records(spark, folder, manifest)), "captures")
@@ -52,9 +65,11 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_chat_preference": op2_chat_preference,
     "op3_pivot_dedup": op3_pivot_dedup,
     "op4_digest_dedup": op4_digest_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_soft_mixing": op6_soft_mixing,
     "op7_warc": op7_warc,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_jaccard_join": op9_jaccard_join,
@@ -62,6 +77,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_chat_preference": """
+        WITH c AS (SELECT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+             l AS (SELECT pair_id, max(turn) AS last FROM c WHERE role = 'assistant' GROUP BY 1),
+             r AS (SELECT c.pair_id, max(c.text) AS reply FROM c JOIN l ON c.pair_id = l.pair_id AND c.turn = l.last AND role = 'assistant' GROUP BY 1),
+             k AS (SELECT c.*, l.last, CASE WHEN c.role = 'assistant' AND c.turn = l.last THEN coalesce(o.reply, '') ELSE c.text END AS swap
+                   FROM c LEFT JOIN l USING (pair_id) LEFT JOIN r AS o ON o.pair_id = xor(c.pair_id, 1)
+                   WHERE l.last IS NULL OR c.turn <= l.last),
+             s AS (SELECT pair_id, min(turn) FILTER (text <> swap) AS split FROM k GROUP BY 1),
+             j AS (SELECT k.*, s.split IS NULL OR k.turn < s.split AS common, '<|' || role || '|>' || chr(10) AS head, '<|end|>' || chr(10) AS tail,
+                          CASE WHEN role = 'assistant' THEN '1' ELSE '0' END AS loss FROM k JOIN s USING (pair_id))
+        SELECT pair_id, count(DISTINCT turn) FILTER (common) AS prompt_turns,
+               coalesce(string_agg(head || text || tail, '' ORDER BY turn, role, text) FILTER (common), '') AS prompt,
+               coalesce(string_agg(head || text || tail, '' ORDER BY turn, role, text) FILTER (NOT common), '') AS chosen,
+               coalesce(string_agg(length(head) || ':0,' || length(text || tail) || ':' || loss, ',' ORDER BY turn, role, text) FILTER (NOT common), '') AS chosen_mask,
+               coalesce(string_agg(head || swap || tail, '' ORDER BY turn, role, swap) FILTER (NOT common), '') AS rejected,
+               coalesce(string_agg(length(head) || ':0,' || length(swap || tail) || ':' || loss, ',' ORDER BY turn, role, swap) FILTER (NOT common), '') AS rejected_mask
+        FROM j GROUP BY pair_id""",
     "op4_digest_dedup": """
         WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM documents),
              n AS (SELECT coalesce(text, '') AS t, count(*) AS group_size FROM documents GROUP BY 1),
