@@ -15,7 +15,7 @@ whatever counts it is made from, no link is lost.
 
 Candidates come from the lists in two steps, so that a large group of copies
 never turns into all its pairs. First each set meets one hub of each of its
-lists (a linear number of pairs; three choices of hub), and the verified links
+lists (a linear number of pairs; two choices of hub), and the verified links
 give components. Then the lists that still hold several components are scanned
 in blocks, and only pairs of different components are left. Before a pair is
 verified on its whole sets it must pass the size bound and a 512-bit parity
@@ -48,6 +48,8 @@ FREQUENT = 1 << 19
 #: Entries of an inverted list that are compared in one block.
 BLOCK = 512
 SKETCH_WORDS = 8
+#: Cells of the map that keeps texts without a candidate out of verification: at most so many numbers reach the driver.
+CELLS = 1 << 22
 
 _U = np.uint64
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -229,12 +231,21 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> D
     pairs = stored(pairs, "pairs")
     named = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pair-ids")
 
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).alias("cell")
+    cells = np.zeros(CELLS, bool)
+    cells[named.select(cell).distinct().toPandas()["cell"].to_numpy("int64")] = True
+    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(cells))
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(packed.value).astype(bool)
         for batch in batches_of(batches):
+            batch = batch.filter(pa.array(wanted[batch.column("cell").to_numpy()]))
             out = [shingles(t, size).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "elements"])
 
-    whole = stored(docs.join(named, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, elements binary"), "pair-sets")
+    # texts never shuffle: the map lets all named documents through and few others, which the join drops
+    whole = docs.select("doc_id", "text", cell).mapInArrow(sets, "doc_id long, elements binary")
+    whole = stored(whole.join(named, "doc_id", "left_semi"), "pair-sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches):
@@ -352,7 +363,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, threshold: int = 90) -> D
             return lists.withColumn("component", F.col("doc_id"))
         return lists.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
-    for salt in (0, 1, 2, None):
+    for salt in (0, 1, None):
         pairs = _block_pairs(labelled(), marks, threshold) if salt is None else _hub_pairs(labelled(), marks, threshold, salt)
         new = _verified(pairs, texts, size, threshold)
         links = new if links is None else links.unionByName(new)
