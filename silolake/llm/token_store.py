@@ -23,6 +23,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -32,12 +33,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, open_input, open_output, shared_folder, ship_package, stored, text_or_empty, tokenizer_path
+from .common import MEMO_ENTRIES, batches_of, open_input, open_output, shared_folder, ship_package, stored, text_or_empty, tokenizer_path
 from .mphf import Mphf
+from .viterbi import WordMemo
 
 MAGIC = b"SILOTOK1"
 HEADER = 32
 BUCKET_KEYS = 4096
+#: Longer pieces are encoded each time.
+MEMO_PIECE = 40
 
 _MANIFEST = "doc_id long, nth long, shard int, file string, at long, n_tokens long"
 _SLOT = np.dtype([("fingerprint", "<u8"), ("shard", "<i4"), ("at", "<i8"), ("n_tokens", "<i8")])
@@ -57,6 +61,16 @@ def header(width: int, ids: int) -> bytes:
     return (MAGIC + np.array([width, 0, ids], "<i8").tobytes())[:HEADER]
 
 
+_ENCODERS: dict[str, tuple] = {}
+
+
+def encoder(path: str) -> tuple[Callable[[list[str]], list[bytes]], int]:
+    """One encoder, with its memo, per worker process and vocabulary."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = byte_bpe_encoder(path)
+    return _ENCODERS[path]
+
+
 def byte_bpe_encoder(path: str) -> tuple[Callable[[list[str]], list[bytes]], int]:
     """A function from texts to raw ids with the ``tokenizers`` library, and the id width in bytes.
 
@@ -72,39 +86,37 @@ def byte_bpe_encoder(path: str) -> tuple[Callable[[list[str]], list[bytes]], int
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     lib = Tokenizer.from_file(path)
-    kind = "<u2" if lib.get_vocab_size() <= 1 << 16 else "<u4"
+    code = "H" if lib.get_vocab_size() <= 1 << 16 else "I"
     spec = json.loads(lib.to_str())
     splits = spec.get("normalizer") is None and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" \
         and not spec["pre_tokenizer"].get("add_prefix_space") and spec.get("truncation") is None
     added = [t["content"] for t in spec.get("added_tokens", [])]
 
+    def library(texts: list[str]) -> list[bytes]:
+        return [array(code, e.ids).tobytes() for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
+
     def whole(text: str) -> bytes:
-        return np.array(lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, kind).tobytes()
+        return library([text])[0]
 
-    memo = Memo(whole)
-    known = memo.__getitem__
+    # pieces of a batch by what stands after their space; a text's first piece has none before it
+    memo = WordMemo(lambda words: library([" " + w for w in words]), lambda word: whole(" " + word), MEMO_PIECE, MEMO_ENTRIES)
 
-    def one(text: str) -> bytes:
-        if not splits or "  " in text or any(a in text for a in added):
-            return whole(text)
-        head, *rest = text.split(" ")
-        if rest and rest[-1] == "":  # a last space is a piece of its own
-            rest[-1:] = []
-            return known(head) + b"".join(map(known, map(" ".__add__, rest))) + known(" ")
-        return (known(head) if head else b"") + b"".join(map(known, map(" ".__add__, rest)))
+    def encode(texts: list[str]) -> list[bytes]:
+        plain = [splits and "  " not in t and not any(a in t for a in added) for t in texts]
+        cut = [t.split(" ") if p else [t] for t, p in zip(texts, plain, strict=True)]
+        known = memo.learn(c[1:] for c in cut)  # a last space is an empty piece after its space
+        return [whole(c[0]) + b"".join(map(known, c[1:])) for c in cut]
 
-    return lambda texts: [one(t) for t in texts], np.dtype(kind).itemsize
+    return encode, array(code).itemsize
 
 
 def _writer(folder: str, vocabulary: str, end_id: int | None):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = width = out = None
         at, nth, last = 0, 0, object()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in batches_of(batches):
             if out is None:
-                encode, width = byte_bpe_encoder(vocabulary)
+                encode, width = encoder(vocabulary)
                 shard = batch.column("shard")[0].as_py()
                 file = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.bin"
                 out = open_output(file)
