@@ -19,8 +19,8 @@ lists (a linear number of pairs; two choices of hub), and the verified links
 give components. Then the lists that still hold several components are scanned
 in blocks, and only pairs of different components are left. Before a pair is
 verified on its whole sets it must pass the size bound and a 512-bit parity
-sketch, whose distance never exceeds the size of the symmetric difference: both
-tests are lossless. Verification counts the common elements of 64-bit hashed
+sketch, whose distance never exceeds the size of the symmetric difference, and
+then a wider one of two bits per element: these tests are lossless. Verification counts the common elements of 64-bit hashed
 n-grams.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; with
@@ -115,6 +115,22 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view("<i8")
 
 
+def wide_sketch(s: np.ndarray) -> bytes:
+    """Parities in 2**k cells, at least two for each element; a shorter one of the same set is its halves' xor."""
+    bits = max(512, 1 << int(2 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def distance_bound(x: bytes, y: bytes) -> int:
+    """Least size of the symmetric difference of two sets, from their wide sketches."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) != len(b):
+        if len(a) > len(b):
+            a, b = b, a
+        b = b[:len(b) // 2] ^ b[len(b) // 2:]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+
+
 def choose_boundary(histogram: dict[int, int], repetition: float, threshold: int) -> int:
     """The set size from which lists of single elements are cheaper than 2-element subsets.
 
@@ -207,7 +223,7 @@ def _signatures(docs: DataFrame, size: int, threshold: int, boundary: int, frequ
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = frequent.value
         for batch in batches_of(batches):
-            ids, ns, marks, keys = [], [], [], []
+            ids, ns, marks, wide, keys = [], [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 s = shingles(text, size)
                 k = keys_of(s, boundary, threshold, often, rank)
@@ -215,15 +231,29 @@ def _signatures(docs: DataFrame, size: int, threshold: int, boundary: int, frequ
                     ids.append(doc_id)
                     ns.append(len(s))
                     marks.append(sketch(s))
+                    wide.append(wide_sketch(s))
                     keys.append(k.view("i8"))
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype("i4")
             marks = np.array(marks, "i8").reshape(-1, SKETCH_WORDS)
             flat = np.concatenate(keys) if keys else np.zeros(0, "i8")
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), *(pa.array(marks[:, i]) for i in range(SKETCH_WORDS)),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "n", *_SKETCH, "keys"])
+                 pa.array(wide, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "n", *_SKETCH, "wide", "keys"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, " + ", ".join(f"{c} long" for c in _SKETCH) + ", wide binary, keys array<long>")
+
+
+def _likely(pairs: DataFrame, signed: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) that pass the test of their wide sketches, a sixteenth of the sets in size."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True)
+            mask = pa.array([distance_bound(x, y) * (100 + threshold) <= (n + m) * (100 - threshold) for n, m, x, y in rows], pa.bool_())
+            yield batch.select(["a", "b"]).filter(mask)
 
-    return docs.mapInArrow(run, "doc_id long, n long, " + ", ".join(f"{c} long" for c in _SKETCH) + ", keys array<long>")
+    left = signed.select(F.col("doc_id").alias("a"), "n", F.col("wide").alias("x"))
+    right = signed.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("wide").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
@@ -365,7 +395,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, threshold: int = 90) -> D
 
     for salt in (0, 1, None):
         pairs = _block_pairs(labelled(), marks, threshold) if salt is None else _hub_pairs(labelled(), marks, threshold, salt)
-        new = _verified(pairs, texts, size, threshold)
+        new = _verified(_likely(pairs, signed, threshold), texts, size, threshold)
         links = new if links is None else links.unionByName(new)
         found = stored(components(links), "components")
     labels = first.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("n", "x", "y", F.coalesce("component", "rep").alias("component_id"))
