@@ -17,7 +17,7 @@ __all__ = ["Memo", "batches_of", "open_input", "open_output", "shared_folder", "
            "text_or_empty", "tokenizer_path"]
 
 #: Entries of a :class:`Memo` generation; two generations live at a time, in each Python worker.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 150_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
