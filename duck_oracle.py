@@ -429,21 +429,21 @@ RESUB = ("rs AS (SELECT * FROM upd UNION ALL SELECT * REPLACE (arrived_at + INTE
 
 def _round_updates_sql(src: str) -> str:
     return f"""reg AS (SELECT * FROM {src} WHERE silo_id IN (SELECT silo_id FROM silos_v)),
-lat AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY round, silo_id ORDER BY arrived_at DESC) AS rn
-        FROM reg) WHERE rn = 1),
 cal AS (SELECT round, start_ts, deadline,
         deadline + to_microseconds(CAST((epoch_us(deadline) - epoch_us(start_ts)) / 2 AS BIGINT)) AS ext FROM rounds_v),
-own AS (SELECT lat.*, start_ts, deadline, ext FROM lat JOIN cal USING (round)),
+own AS (SELECT reg.*, start_ts, deadline, ext FROM reg JOIN cal USING (round) WHERE arrived_at > start_ts),
 q AS (SELECT CAST(ceil(0.6 * count(DISTINCT silo_id)) AS INTEGER) AS q FROM silos_v),
-st AS (SELECT round, sum(CASE WHEN arrived_at > start_ts AND arrived_at <= deadline THEN 1 ELSE 0 END) AS n_on,
-              sum(CASE WHEN arrived_at > start_ts AND arrived_at <= ext THEN 1 ELSE 0 END) AS n_ext,
+st AS (SELECT round, count(DISTINCT silo_id) FILTER (arrived_at <= deadline) AS n_on,
+              count(DISTINCT silo_id) FILTER (arrived_at <= ext) AS n_ext,
               any_value(deadline) AS dl, any_value(ext) AS ex FROM own GROUP BY round),
 cl AS (SELECT round, CASE WHEN n_on >= q THEN dl WHEN n_ext >= q THEN ex END AS close_ts FROM st, q),
 acc AS (SELECT own.round AS agg_round, own.round AS src_round, silo_id, 0 AS staleness, own.* EXCLUDE (round, silo_id)
-        FROM own JOIN cl USING (round) WHERE close_ts IS NOT NULL AND arrived_at > start_ts AND arrived_at <= close_ts),
+        FROM own JOIN cl USING (round) WHERE close_ts IS NOT NULL AND arrived_at <= close_ts
+        QUALIFY row_number() OVER (PARTITION BY own.round, silo_id ORDER BY arrived_at DESC) = 1),
 lt AS (SELECT c2.round AS agg_round, own.round AS src_round, silo_id, 1 AS staleness, own.* EXCLUDE (round, silo_id)
        FROM own JOIN cl c1 ON own.round = c1.round JOIN cl c2 ON c2.round = own.round + 1
-       WHERE c1.close_ts IS NOT NULL AND arrived_at > c1.close_ts AND c2.close_ts IS NOT NULL AND arrived_at <= c2.close_ts),
+       WHERE c1.close_ts IS NOT NULL AND arrived_at > c1.close_ts AND c2.close_ts IS NOT NULL AND arrived_at <= c2.close_ts
+       QUALIFY row_number() OVER (PARTITION BY own.round, silo_id ORDER BY arrived_at DESC) = 1),
 ru AS (SELECT *, pow(0.5, staleness) AS weight FROM (SELECT * FROM acc UNION ALL SELECT * FROM lt))"""
 
 
@@ -613,8 +613,11 @@ def _batch4() -> dict[str, str]:
                               f"AS INTEGER) AS local_epochs, {rnd('max_psi')} AS max_psi FROM si LEFT JOIN mx USING (silo_id)")
     hold = (f"WITH {tx_cte()}, hr AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY "
             f"md5(concat('42:holdout:', CAST(event_id AS VARCHAR))), event_id) AS rn, count(*) OVER (PARTITION BY type) AS nt, "
-            f"count(*) OVER () AS n FROM tx), ho AS (SELECT *, CASE WHEN rn <= floor(5000 * nt / n) THEN 'public' ELSE 'train' END "
-            f"AS split FROM hr)")
+            f"count(*) OVER () AS n FROM tx), "
+            f"hq AS (SELECT type, nt, n, least(5000, n) * nt // n AS base, least(5000, n) * nt % n AS left_over FROM (SELECT DISTINCT type, nt, n FROM hr)), "
+            f"hs AS (SELECT type, base + CASE WHEN row_number() OVER (ORDER BY left_over DESC, type) <= least(5000, n) - sum(base) OVER () "
+            f"THEN 1 ELSE 0 END AS quota FROM hq), "
+            f"ho AS (SELECT hr.*, CASE WHEN rn <= quota THEN 'public' ELSE 'train' END AS split FROM hr JOIN hs USING (type))")
     q["public_holdout"] = f"{hold} SELECT event_id, type, split FROM ho"
     q["temporal_holdout"] = (f"WITH {tx_cte()}, c AS (SELECT quantile_cont(step, {dbl(0.9)}) AS cut FROM tx) "
                              f"SELECT event_id, step, CASE WHEN step > cut THEN 'test' ELSE 'train' END AS split FROM tx, c")
@@ -685,6 +688,9 @@ def _batch7() -> dict[str, str]:
     q["stream_features"] = (f"WITH {tx_cte('events')} SELECT event_id, {rnd(fx['log1p_amount'])} AS log1p_amount, "
                             f"{rnd(fx['balance_delta_orig'])} AS balance_delta_orig, {rnd(fx['hour_sin'])} AS hour_sin, "
                             f"{rnd(fx['type_TRANSFER'])} AS type_TRANSFER FROM tx")
+    q["velocity_stream"] = (f"WITH {tx_cte('events')}, w AS (SELECT TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(step - k AS BIGINT)) AS start, "
+                            f"nameOrig, amount FROM tx, range(24) AS r(k)) SELECT start, nameOrig, count(*) AS velocity_count, "
+                            f"{rnd('sum(amount)')} AS velocity_sum FROM w GROUP BY start, nameOrig")
     q["foreach_batch_hook"] = "SELECT count(*) AS n_rows FROM events"
     res = f"WITH {_res_ctes()}"
     q["results_sink"] = (f"{res} SELECT experiment, round, {rnd('auc_roc')} AS auc_roc, {rnd('auc_pr')} AS auc_pr, n_updates, "

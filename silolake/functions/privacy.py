@@ -67,7 +67,10 @@ def round_epsilon(sigma: Column, delta: Column, sensitivity: Column) -> Column:
 
 
 def with_round_epsilon(df: DataFrame, sigma: str = "sigma", delta: str = "delta_dp", clip: str = "clip") -> DataFrame:
-    """ε per row, computed once per distinct (σ, δ, C) — a handful of rows — and joined back."""
+    """ε per row, computed once per distinct (σ, δ, C) and joined back.
+
+    ``sigma`` is the noise multiplier: the noise added to a sum of sensitivity C is σ·C.
+    """
     keys = df.select(sigma, delta, clip).distinct()
-    eps = keys.withColumn("epsilon", round_epsilon(F.col(sigma), F.col(delta), F.col(clip)))
-    return df.join(F.broadcast(eps), [sigma, delta, clip], "left")
+    eps = keys.withColumn("epsilon", round_epsilon(F.col(sigma) * F.col(clip), F.col(delta), F.col(clip)))
+    return df.join(eps, [sigma, delta, clip], "left")

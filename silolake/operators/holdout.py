@@ -11,10 +11,16 @@ from silolake.operators.ranking import exact_quantiles
 
 
 def public_holdout(tx: DataFrame, n_rows: int, seed: int = 42, strat: str = "type") -> DataFrame:
-    """Stratified public validation slice: per stratum floor(n_rows · n_t / N) rows in md5 order."""
+    """Stratified public validation slice: quotas n_rows · n_t / N by largest remainder (ties: smaller stratum
+    name), so exactly min(n_rows, N) rows, the first of each stratum in md5 order."""
     ranked = distributed_rank(tx, [strat], order_key(seed, F.lit("holdout"), "event_id"), "event_id")
     n = tx.groupBy(strat).agg(F.count(F.lit(1)).alias("_nt"))
-    n = n.withColumn("_quota", F.floor(F.lit(n_rows) * F.col("_nt") / F.sum("_nt").over(Window.partitionBy())))
+    everything = Window.partitionBy()  # one row per stratum
+    total = F.sum("_nt").over(everything)
+    wanted = F.least(F.lit(n_rows).cast("long"), total)
+    n = n.withColumn("_left", (wanted * F.col("_nt")) % total).withColumn("_quota", F.floor(wanted * F.col("_nt") / total))
+    place = F.row_number().over(Window.orderBy(F.desc("_left"), strat))
+    n = n.withColumn("_quota", F.col("_quota") + (place <= wanted - F.sum("_quota").over(everything)).cast("long")).drop("_left")
     j = ranked.join(F.broadcast(n), strat)  # one row per stratum
     return j.withColumn("split", F.when(F.col("rn") <= F.col("_quota"), "public").otherwise("train")) \
         .drop("rn", "_nt", "_quota")

@@ -62,32 +62,29 @@ def round_updates(updates: DataFrame, rounds: DataFrame, silos: DataFrame, quoru
                   lam: float = 0.5) -> DataFrame:
     """The update set of every round.
 
-    registered ∧ latest per (round, silo); a round closes at its deadline if
-    ⌈q·K⌉ updates arrived, else at deadline + (deadline − start)/2 if that
-    reaches quorum, else it is skipped. An update arriving after its round
-    closed (but within the next round's close) joins round r+1 with staleness
-    1 and weight λ; older ones are dropped. Each update is used at most once.
+    A round closes at its deadline if ⌈q·K⌉ registered silos sent an update by
+    then, else at deadline + (deadline − start)/2 if that reaches quorum, else
+    it is skipped. Each silo counts with its latest arrival up to the close, so
+    a resubmission after it cannot displace an update that was in time. What
+    arrives after the close, but within the next round's, joins round r+1 with
+    staleness 1 and weight λ (the latest per silo); older ones are dropped.
     """
     k = silos.select("silo_id").distinct().count()  # registered silos: a small table
     quorum = int(math.ceil(quorum_frac * k))
-    u = update_latest(updates_registered(updates, silos))
     cal = rounds.select("round", "start_ts", "deadline",
                         (F.col("deadline") + (F.col("deadline") - F.col("start_ts")) / 2).alias("ext"))
-    own = u.join(F.broadcast(cal), "round")
-    w = Window.partitionBy("round")
-    on_time = ((F.col("arrived_at") > F.col("start_ts")) & (F.col("arrived_at") <= F.col("deadline"))).cast("int")
-    in_ext = ((F.col("arrived_at") > F.col("start_ts")) & (F.col("arrived_at") <= F.col("ext"))).cast("int")
-    own = own.withColumn("_n_on", F.sum(on_time).over(w)).withColumn("_n_ext", F.sum(in_ext).over(w))
-    close = (F.when(F.col("_n_on") >= quorum, F.col("deadline"))
-             .when(F.col("_n_ext") >= quorum, F.col("ext")))
-    own = own.withColumn("close_ts", close)
-    closes = own.select("round", "close_ts").distinct()
-    accepted = own.filter(F.col("close_ts").isNotNull() & (F.col("arrived_at") > F.col("start_ts"))
-                          & (F.col("arrived_at") <= F.col("close_ts")))
-    late = own.filter(F.col("close_ts").isNotNull() & (F.col("arrived_at") > F.col("close_ts")))
+    own = updates_registered(updates, silos).join(cal, "round")
+    began = own.filter(F.col("arrived_at") > F.col("start_ts"))
+    first = began.groupBy("round", "silo_id", "deadline", "ext").agg(F.min("arrived_at").alias("first"))
+    closes = first.groupBy("round", "deadline", "ext").agg(
+        F.count_if(F.col("first") <= F.col("deadline")).alias("n_on"), F.count_if(F.col("first") <= F.col("ext")).alias("n_ext"))
+    close = F.when(F.col("n_on") >= quorum, F.col("deadline")).when(F.col("n_ext") >= quorum, F.col("ext"))
+    closes = closes.select("round", close.alias("close_ts")).filter(F.col("close_ts").isNotNull())
+    timed = began.join(closes, "round")
+    accepted = update_latest(timed.filter(F.col("arrived_at") <= F.col("close_ts")))
     nxt = closes.select(F.col("round").alias("agg_round"), F.col("close_ts").alias("_next_close"))
-    late = (late.join(F.broadcast(nxt), F.col("round") + 1 == F.col("agg_round"))
-            .filter(F.col("_next_close").isNotNull() & (F.col("arrived_at") <= F.col("_next_close"))))
+    late = timed.filter(F.col("arrived_at") > F.col("close_ts")).join(nxt, F.col("round") + 1 == F.col("agg_round"))
+    late = update_latest(late.filter(F.col("arrived_at") <= F.col("_next_close")))
     cols = ["silo_id", "base_version", "delta", "n_samples", "train_loss", "wall_time_s", "arrived_at"]
     on = accepted.select(F.col("round").alias("agg_round"), F.col("round").alias("src_round"), *cols,
                          F.lit(0).alias("staleness"))

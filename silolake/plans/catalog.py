@@ -976,11 +976,11 @@ def _scratch(spark, name):
     return f"{checkpoint_dir(spark).rstrip('/')}/silolake-{name}-{uuid.uuid4().hex}"
 
 
-def _replay_dir(spark, sf, duplicates: bool = False):
+def _replay_dir(spark, sf, duplicates: bool = False, closed: bool = False):
     """tx_events as event-time-ordered JSON files (+ ~5 % of events, hash-chosen, re-sent at the end)."""
     tx = TB.tx_events(spark, sf)
     path = _scratch(spark, "replay")
-    glob = SI.write_json_replay(tx, path, files=8)
+    glob = SI.write_json_replay(tx, path, files=8, close_after=10 * 24 if closed else None)
     if duplicates:
         from silolake.functions.rand import hash01
         again = tx.filter(hash01(42, "resend", "event_id") < 0.05)
@@ -1075,7 +1075,7 @@ def _stream_binned(spark, sf):
     tx = TB.tx_events(spark, sf).withColumn("value", F.log1p("amount"))
     ref = tx.filter("step < 240").withColumn("silo_id", F.lit("all")).withColumn("feature", F.lit("log1p_amount"))
     edges = DR.quantile_edges(ref, "value", ["silo_id", "feature"])
-    src = _replay_dir(spark, sf)
+    src = _replay_dir(spark, sf, closed=True)
     good, _ = SI.parse_transactions(SI.file_stream_source(spark, src, 1))
     s = SI.stream_dedup(good, "3 days").withColumn("value", F.log1p("amount") * F.when(F.col("step") >= 480, 3.0)
                                                    .otherwise(1.0))
@@ -1127,7 +1127,7 @@ def q_drift_monitor_stateful(spark, sf):
 
 @query("velocity_stream")
 def q_velocity_stream(spark, sf):
-    src = _replay_dir(spark, sf)
+    src = _replay_dir(spark, sf, closed=True)
     out = _scratch(spark, "vel")
     good, _ = SI.parse_transactions(SI.file_stream_source(spark, src, 2))
     v = SD.velocity_stream(SI.stream_dedup(good, "3 days"))

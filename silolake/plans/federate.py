@@ -93,6 +93,8 @@ def evaluate(val: DataFrame, weights: np.ndarray, sizes: list[int]) -> dict:
 def federated_fit(train: DataFrame, val: DataFrame | None, cfg: FedConfig, w0: np.ndarray | None = None,
                   epochs: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """Returns (results, silo_metrics, final weights). ``train``/``val`` should be persisted by the caller."""
+    if cfg.sigma and not cfg.clip:
+        raise ValueError("noise needs a clip norm: without one nothing is released through the mechanism")
     spark = train.sparkSession
     n_features = len(train.select("features").first()[0])
     sizes = MLP.layer_sizes(n_features, list(cfg.train.hidden))

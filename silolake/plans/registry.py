@@ -39,10 +39,14 @@ def load_version(models: DataFrame, version: int) -> DataFrame:
 
 def save_version(spark: SparkSession, path: str, weights: list[float], round_: int, metadata: dict | None = None) -> int:
     """Append weights as the next version; returns the version number."""
+    from pyspark.errors import AnalysisException
     try:
-        cur = spark.read.schema(MODELS).parquet(path).agg(F.max("version")).first()[0] or 0
-    except Exception:  # noqa: BLE001 - no table yet
-        cur = 0
+        models = spark.read.schema(MODELS).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # any other failure must not restart the numbering
+            raise
+        models = None
+    cur = 0 if models is None else models.agg(F.max("version")).first()[0] or 0
     md = {k: (v if isinstance(v, str) else json.dumps(v)) for k, v in (metadata or {}).items()}
     row = [(cur + 1, round_, [float(x) for x in weights], md)]
     spark.createDataFrame(row, MODELS).write.mode("append").parquet(path)

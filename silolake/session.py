@@ -38,10 +38,12 @@ def get_spark(app: str = "silolake", master: str | None = None, shuffle_partitio
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting comes from the deployment; only when it is unset
-    (local tests) is a scratch folder created and registered.
+    On a cluster the setting comes from the deployment and must be there; only a
+    local master may go without, and then gets a scratch folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not d and not (spark.sparkContext.master or "").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="silolake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)

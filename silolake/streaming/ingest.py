@@ -86,13 +86,18 @@ def lakehouse_sink_foreach_batch(df: DataFrame, path: str, checkpoint: str, hook
             .trigger(**(trigger or {"processingTime": "10 seconds"})).start())
 
 
-def write_json_replay(df: DataFrame, path: str, order_by: str = "step", files: int = 4) -> str:
+def write_json_replay(df: DataFrame, path: str, order_by: str = "step", files: int = 4,
+                      close_after: int | None = None) -> str:
     """Write a table as event-time-ordered JSON-lines files (the replay input of the file source).
 
     The file source processes files in modification-time order, so blocks of
     ``order_by`` are written one after another (block k strictly before k+1);
     files written in parallel would reach the source in arbitrary order and a
-    watermark would drop the earlier blocks. Returns the glob to read.
+    watermark would drop the earlier blocks. ``close_after`` ends the replay
+    with one closing record (event_id −1, all else null) that many ``order_by``
+    units after the last row: it moves the watermark past every window, so
+    append mode emits the last ones too; its own window stays open. Returns the
+    glob to read.
     """
     lo, hi = df.agg(F.min(order_by), F.max(order_by)).first()
     if lo is None:
@@ -103,4 +108,8 @@ def write_json_replay(df: DataFrame, path: str, order_by: str = "step", files: i
     for b in range(files):
         (df.filter(blk == b).sort(order_by, "event_id").select(value).coalesce(1)
          .write.mode("overwrite").text(f"{path}/blk{b:05d}"))
+    if close_after is not None:
+        names = df.columns
+        last = df.sparkSession.range(1).select(*[F.lit({"event_id": -1, order_by: hi + close_after}.get(c)).alias(c) for c in names])
+        last.select(F.to_json(F.struct(*names)).alias("value")).write.mode("overwrite").text(f"{path}/close")
     return f"{path}/*"

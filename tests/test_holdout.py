@@ -13,7 +13,8 @@ def test_public_holdout_quotas_and_disjoint(spark):
     n = {r["type"]: r["count"] for r in tx.groupBy("type").count().collect()}
     total = sum(n.values())
     got = {r["type"]: r["count"] for r in s.filter("split = 'public'").groupBy("type").count().collect()}
-    assert got == {t: int(np.floor(100 * c / total)) for t, c in n.items() if np.floor(100 * c / total) > 0}
+    assert sum(got.values()) == 100
+    assert all(0 <= got.get(t, 0) - int(100 * c // total) <= 1 for t, c in n.items())
     chk = split_disjoint_check(s, s.filter("split = 'public'"), s.filter("split = 'train'")).first()
     assert chk["n_overlap"] == 0 and chk["n_missing"] == 0 and chk["n_a"] + chk["n_b"] == chk["n_total"] == total
     again = {r["event_id"] for r in public_holdout(tx.repartition(5), 100).filter("split = 'public'").collect()}

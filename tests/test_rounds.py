@@ -33,3 +33,18 @@ def test_round_updates_hand_computed(spark):
         (0, "s0", 0, 0, 1.0, 150), (0, "s1", 0, 0, 1.0, 200),
         (1, "s0", 1, 0, 1.0, 700), (1, "s1", 1, 0, 1.0, 1150), (1, "s2", 0, 1, 0.5, 500),
     }
+
+
+def test_late_resubmission_keeps_the_update_in_time(spark):
+    """A silo that resubmits after the close still counts with what it sent in time; the copy goes to the next round."""
+    import datetime as dt
+
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rounds = spark.createDataFrame([(1, at(0), at(480)), (2, at(600), at(1080))], "round int, start_ts timestamp, deadline timestamp")
+    silos = spark.createDataFrame([("a", 10), ("b", 10)], "silo_id string, n_rows long")
+    row = lambda r, s, t: (r, s, 0, [float(t)], 1, 0.0, 0.0, at(t))
+    updates = spark.createDataFrame([row(1, "a", 100), row(1, "a", 500), row(1, "b", 200), row(2, "a", 700), row(2, "b", 800)],
+                                    "round int, silo_id string, base_version int, delta array<double>, n_samples int, train_loss double, "
+                                    "wall_time_s double, arrived_at timestamp")
+    got = {(r["agg_round"], r["src_round"], r["silo_id"], r["delta"][0], r["weight"]) for r in round_updates(updates, rounds, silos).collect()}
+    assert got == {(1, 1, "a", 100.0, 1.0), (1, 1, "b", 200.0, 1.0), (2, 1, "a", 500.0, 0.5), (2, 2, "a", 700.0, 1.0), (2, 2, "b", 800.0, 1.0)}

@@ -68,3 +68,13 @@ def test_epsilon_values():
     assert np.allclose(got, [9.9973, 5.6796, 3.5487], atol=1e-4)
     assert compose_epsilons([1.0, 2.0], 1e-5) == (3.0, 2e-5)
     assert analytic_gaussian_epsilon(0.0, 1e-5) == float("inf")
+
+
+def test_ledger_scales_the_noise_with_the_clip(spark):
+    """The noise is sigma * C, so epsilon depends on sigma alone: literals of the analytic Gaussian mechanism."""
+    from silolake.functions.privacy import analytic_gaussian_epsilon, with_round_epsilon
+
+    rows = spark.createDataFrame([(0.8, 1e-5, c) for c in (0.5, 1.0, 2.0)], "sigma double, delta_dp double, clip double")
+    got = [r["epsilon"] for r in with_round_epsilon(rows).collect()]
+    assert all(abs(e - 5.68) < 0.01 for e in got)
+    assert abs(analytic_gaussian_epsilon(1.6, 1e-5, 2.0) - got[0]) < 1e-8
