@@ -34,7 +34,7 @@ from .components import components
 #: Reference points: the bound of the sample that the index is fitted on.
 PIVOTS = 128
 #: Length of a description, and the common pivots that make a candidate.
-NEAREST, SHARED = 8, 2
+NEAREST, SHARED = 10, 2
 BLOCK = 512
 
 
