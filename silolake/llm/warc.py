@@ -79,7 +79,10 @@ def capture(page_id: int | None, keep_id: int | None, url: str | None, payload:
 
 
 def write_archives(pages: DataFrame, least: int = 0, archives: int | None = None) -> tuple[str, DataFrame]:
-    """Writes a capture per row of ``pages`` (page_id, url, html); the folder, and the stored manifest (file, records)."""
+    """Writes a capture per row of ``pages`` (page_id, url, html); the folder, and the stored manifest (file, records).
+
+    Each task that finds the owners of payloads writes an archive; ``archives`` deals the rows out anew.
+    """
     spark = pages.sparkSession
     ship_package(spark)
     folder = shared_folder(spark, "warc")
@@ -90,7 +93,6 @@ def write_archives(pages: DataFrame, least: int = 0, archives: int | None = None
     marked = rows.join(keep, "sha", "left").select(
         "page_id", F.when(F.length("payload") >= least, F.col("keep_id")).otherwise(F.col("page_id")).alias("keep_id"), "url", "payload")
     marked = marked.withColumn("keep_id", F.when(F.col("page_id").isNotNull(), F.col("keep_id")))
-    archives = archives or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, n = None, 0
@@ -105,8 +107,9 @@ def write_archives(pages: DataFrame, least: int = 0, archives: int | None = None
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([3 * n], pa.int64())], names=["file", "records"])
 
-    dealt = marked.repartition(archives, F.xxhash64("page_id", "url", "payload"))
-    return folder, stored(dealt.mapInArrow(write, "file string, records long"), "warc-manifest")
+    if archives:
+        marked = marked.repartition(archives, F.xxhash64("page_id", "url", "payload"))
+    return folder, stored(marked.mapInArrow(write, "file string, records long"), "warc-manifest")
 
 
 def members(data: bytes, chunk: int = 1 << 16) -> Iterator[bytes]:
