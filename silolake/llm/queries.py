@@ -47,8 +47,10 @@ def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, manifest = warc.write_archives(table(spark, sf_dir, "pages"))
-    # lengths and digests are taken from the payloads as they are parsed; the bytes need not go through the joins
-    captures = stored(warc.assemble(warc.read_records(spark, folder, manifest)).drop("payload"), "captures")
+    # lengths and digests are taken from the payloads as they are parsed, once; their bytes need not go through the joins
+    records = warc.read_records(spark, folder, manifest)
+    small = F.when(F.col("type").isin("request", "metadata"), F.col("payload"))
+    captures = stored(warc.assemble(stored(records.withColumn("payload", small), "records")).drop("payload"), "captures")
     return warc.page_captures(captures)
 
 
