@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, batches_of, open_input, open_output, shared_folder, ship_package, stored, text_or_empty, tokenizer_path
+from .common import batches_of, open_input, open_output, shared_folder, ship_package, stored, text_or_empty, tokenizer_path
 from .mphf import Mphf
 from .viterbi import WordMemo
 
@@ -42,6 +42,10 @@ HEADER = 32
 BUCKET_KEYS = 4096
 #: Longer pieces are encoded each time.
 MEMO_PIECE = 40
+#: Pieces of a memo generation: ids are short, so more fit than in other memos.
+MEMO_PIECES = 400_000
+#: Missing pieces that the library encodes as one text.
+JOINED_PIECES = 512
 
 _MANIFEST = "doc_id long, nth long, shard int, file string, at long, n_tokens long"
 _SLOT = np.dtype([("fingerprint", "<u8"), ("shard", "<i4"), ("at", "<i8"), ("n_tokens", "<i8")])
@@ -76,7 +80,9 @@ def byte_bpe_encoder(path: str) -> tuple[Callable[[list[str]], list[bytes]], int
 
     The byte-level pre-tokenizer always ends a pre-token where a space follows
     a non-space, so a text is cut there and each distinct piece is encoded by
-    the library once per worker (a bounded memo). A vocabulary with another
+    the library once per worker (a bounded memo). Missing pieces go through the
+    library joined to one text; tokens are spelled in one character per byte,
+    so the bytes they cover tell where each piece ends. A vocabulary with another
     pre-tokenizer or a normalizer, and a text with a run of spaces or an added
     token in it, go through the library whole.
     """
@@ -98,8 +104,29 @@ def byte_bpe_encoder(path: str) -> tuple[Callable[[list[str]], list[bytes]], int
     def whole(text: str) -> bytes:
         return library([text])[0]
 
+    covers = np.zeros(max(lib.get_vocab().values(), default=0) + 1, np.int64)  # bytes of each token
+    for token, i in lib.get_vocab().items():
+        covers[i] = len(token)
+    width = array(code).itemsize
+
+    def together(words: list[str]) -> list[bytes]:
+        ids = np.array(lib.encode_batch_fast(["".join(" " + w for w in words)], add_special_tokens=False)[0].ids, f"<u{width}")
+        ends, asked = np.cumsum(covers[ids]), np.cumsum([len(w.encode()) + 1 for w in words])
+        at = np.searchsorted(ends, asked)
+        if len(ends) == 0 or ends[-1] != asked[-1] or (ends[at] != asked).any():
+            return library([" " + w for w in words])
+        raw, cuts = ids.tobytes(), [0, *(width * (at + 1)).tolist()]
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def pieces(words: list[str]) -> list[bytes]:
+        empty = words[:1] == [""]  # sorted and distinct; joined to others it would make a run of spaces
+        out = library([" "]) if empty else []
+        for k in range(len(out), len(words), JOINED_PIECES):
+            out += together(words[k:k + JOINED_PIECES])
+        return out
+
     # pieces of a batch by what stands after their space; a text's first piece has none before it
-    memo = WordMemo(lambda words: library([" " + w for w in words]), lambda word: whole(" " + word), MEMO_PIECE, MEMO_ENTRIES)
+    memo = WordMemo(pieces, lambda word: whole(" " + word), MEMO_PIECE, MEMO_PIECES)
 
     def encode(texts: list[str]) -> list[bytes]:
         plain = [splits and "  " not in t and not any(a in t for a in added) for t in texts]
@@ -107,7 +134,7 @@ def byte_bpe_encoder(path: str) -> tuple[Callable[[list[str]], list[bytes]], int
         known = memo.learn(c[1:] for c in cut)  # a last space is an empty piece after its space
         return [whole(c[0]) + b"".join(map(known, c[1:])) for c in cut]
 
-    return encode, array(code).itemsize
+    return encode, width
 
 
 def _writer(folder: str, vocabulary: str, end_id: int | None):
