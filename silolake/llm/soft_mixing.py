@@ -46,9 +46,9 @@ GRID = 100
 STEPS, TOLERANCE = 200, 1e-3
 
 
-def _words(docs: DataFrame, *keep: str) -> DataFrame:
-    """A row for each word (cut at spaces and line ends, in lower case) of each text."""
-    return docs.select(*keep, F.explode(F.split(F.lower(F.translate(text_or_empty(), "\n\t", "  ")), " ")).alias("word")).where("word <> ''")
+def _words() -> Column:
+    """The words (cut at spaces, tabs and line ends, in lower case) of each text."""
+    return F.array_remove(F.split(F.lower(F.translate(text_or_empty(), "\n\t", "  ")), " "), "")
 
 
 def markers(labelled: DataFrame, count: int = MARKERS) -> tuple[list[str], list[tuple[str, list[float]]], list[float]]:
@@ -59,7 +59,8 @@ def markers(labelled: DataFrame, count: int = MARKERS) -> tuple[list[str], list[
     if not domains:
         return [], [], []
     total = sum(sizes.values())
-    seen = _words(labelled, "domain").groupBy("word").pivot("domain", domains).count().fillna(0)
+    words = labelled.select("domain", F.explode(_words()).alias("word"))
+    seen = stored(words.groupBy("word").pivot("domain", domains).count().fillna(0), "marker-counts")  # read twice below
     sums = seen.agg(*[F.sum(F.col(f"`{d}`")).alias(f"n{i}") for i, d in enumerate(domains)]).first()
     sums = [max(1, sums[i] or 0) for i in range(len(domains))]
     rates = [(F.col(f"`{d}`") + 0.5) / F.lit(float(sums[i])) for i, d in enumerate(domains)]
@@ -74,16 +75,18 @@ def posteriors(docs: DataFrame, labelled: DataFrame) -> tuple[DataFrame, list[st
     spark = docs.sparkSession
     domains, words, priors = markers(labelled)
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    cut = lean.select("doc_id", _words().alias("words"))
     if not domains:
-        return _words(lean, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens")).withColumn("p", F.array().cast("array<double>")), []
+        return cut.groupBy("doc_id").agg(F.sum(F.size("words")).alias("tokens")).withColumn("p", F.array().cast("array<double>")), []
     k = range(len(domains))
     model = spark.createDataFrame([(w, *ls) for w, ls in words], "marker string, " + ", ".join(f"l{i} double" for i in k))
-    found = (_words(lean, "doc_id").join(F.broadcast(model), F.col("word") == F.col("marker"), "left")  # at most MARKERS rows
-             .groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.count("marker").alias("hits"), *[F.sum(f"l{i}").alias(f"l{i}") for i in k]))
-    ids = lean.select("doc_id").distinct()
-    every = (ids.withColumnRenamed("doc_id", "id").join(found, F.col("id").eqNullSafe(F.col("doc_id")), "left")
-             .select(F.col("id").alias("doc_id"), F.coalesce("tokens", F.lit(0)).alias("tokens"), "hits", *[f"l{i}" for i in k]))
-    logit = F.array(*[F.lit(priors[i]) + F.when(F.coalesce("hits", F.lit(0)) > 0, F.least(F.col("hits").cast("double"), F.lit(EVIDENCE)) * F.col(f"l{i}") / F.col("hits")).otherwise(0.0) for i in k])
+    # only markers become rows of their own (a set lookup within the text's row); a text without one keeps its row
+    known = [w for w, _ in words]
+    cut = cut.select("doc_id", F.size("words").alias("size"), F.posexplode_outer(F.filter("words", lambda w: w.isin(known))).alias("pos", "word"))
+    tokens = F.sum(F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("size")))  # of each text once
+    every = (cut.join(F.broadcast(model), F.col("word") == F.col("marker"), "left")  # at most MARKERS rows
+             .groupBy("doc_id").agg(tokens.alias("tokens"), F.count("marker").alias("hits"), *[F.sum(f"l{i}").alias(f"l{i}") for i in k]))
+    logit = F.array(*[F.lit(priors[i]) + F.when(F.col("hits") > 0, F.least(F.col("hits").cast("double"), F.lit(EVIDENCE)) * F.col(f"l{i}") / F.col("hits")).otherwise(0.0) for i in k])
     every = every.withColumn("z", logit).withColumn("e", F.transform("z", lambda z: F.exp(z - F.array_max("z"))))
     every = every.withColumn("s", sum((F.col("e")[i] for i in k), F.lit(0.0)))
     every = every.withColumn("q", F.transform("e", lambda e: F.round(e / F.col("s") * GRID)))
