@@ -4,10 +4,12 @@ Only DataFrame functions. A classifier learned from a labelled table gives every
 document a posterior over domains; rates r >= 0 are chosen so that for each
 domain k the expected tokens sum(r * tokens * p[k]) match weight[k] * budget.
 
-* Classifier: naive Bayes over marker words. The markers are the words of the
-  labelled documents whose document frequencies differ most between domains
-  (``MARKERS``, a bound on the model). A document's evidence is the mean log
-  likelihood of its markers, times ``EVIDENCE``, so long documents stay soft.
+* Classifier: naive Bayes over marker words, fitted on at most ``FIT_ROWS``
+  labelled documents (those first by a hash of doc_id; all, where there are
+  fewer). The markers are the words of these documents whose document
+  frequencies differ most between domains (``MARKERS``, a bound on the model).
+  A document's evidence is the mean log likelihood of its markers, times
+  ``EVIDENCE``, so long documents stay soft.
   Posteriors are rounded to ``GRID`` and renormalised.
 * Rates: projected gradient on sum_k (A_k - T_k)^2 / T_k from r = 1. A step
   moves a rate by its posterior times the domains' relative residuals, so
@@ -40,6 +42,8 @@ from pyspark.sql import functions as F
 
 from .common import stored, text_or_empty
 
+#: Most labelled documents that the classifier is fitted on.
+FIT_ROWS = 20_000
 MARKERS = 200
 EVIDENCE = 12.0
 GRID = 100
@@ -148,12 +152,12 @@ def repeat(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).where("_copies > 0").select(*columns)
 
 
-def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, domain) of the labelled rows: junk where quality is 0, else the language."""
+def labelled_domains(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """(doc_id, text, domain) of at most ``rows`` labelled documents: junk where quality is 0, else the language."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
-    marks = marks.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    marks = marks.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    return lean.join(marks, "doc_id").select("doc_id", "text", F.when(F.col("quality") == 0, F.lit("junk")).otherwise(F.col("lang")).alias("domain"))
+    return lean.join(F.broadcast(marks), "doc_id").select("doc_id", "text", F.when(F.col("quality") == 0, F.lit("junk")).otherwise(F.col("lang")).alias("domain"))
 
 
 #: Target weights of the registered query and of the pipeline.
