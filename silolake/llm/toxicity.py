@@ -233,7 +233,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = stored(usable.where(share < F.when(F.col("toxic") == 1, per_class / max(1, sizes.get(1, 0))).otherwise(per_class / max(1, sizes.get(0, 0)))), "toxic-sample")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return stored(texts.join(picked, "doc_id").select("toxic", "text"), "toxic-texts")
+    return stored(texts.join(F.broadcast(picked), "doc_id").select("toxic", "text"), "toxic-texts")  # two classes of about per_class ids
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
