@@ -11,13 +11,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silolake.session import checkpoint_dir, cut_lineage, ship_package
+from silolake import session
+from silolake.session import checkpoint_dir, cut_lineage
 
-__all__ = ["Memo", "batches_of", "open_input", "open_output", "shared_folder", "ship_package", "stored", "table",
+__all__ = ["TEXT_BYTES", "Memo", "batches_of", "open_input", "open_output", "shared_folder", "ship_package", "stored", "table",
            "text_or_empty", "tokenizer_path"]
 
 #: Entries of a :class:`Memo` generation; two generations live at a time, in each Python worker.
 MEMO_ENTRIES = 150_000
+#: Arrow batches of this size go to the Python workers: by rows alone, long texts would fill memory on both sides.
+ARROW_BYTES = 8 << 20
+#: Texts that are cut into words at once.
+TEXT_BYTES = 1 << 20
+
+
+def ship_package(spark: SparkSession) -> None:
+    """The package on the workers, and Arrow batches of a bounded size for them."""
+    session.ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, batches_of, ship_package, text_or_empty, tokenizer_path
+from .common import MEMO_ENTRIES, TEXT_BYTES, batches_of, ship_package, text_or_empty, tokenizer_path
 from .viterbi import WordMemo, WordSearch
 
 MARK = "▁"
@@ -212,7 +212,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, ids: bool = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(model)
-        for batch in batches_of(batches):
+        for batch in batches_of(batches, TEXT_BYTES):
             texts = batch.column("text").to_pylist()
             coded = made.encode_all(texts)
             out = [batch.column("doc_id"), pa.array([len(c) for c in coded], pa.int64())]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, batches_of, ship_package, text_or_empty, tokenizer_path
+from .common import MEMO_ENTRIES, TEXT_BYTES, batches_of, ship_package, text_or_empty, tokenizer_path
 from .sentencepiece_stream import MARK, MEMO_WORD, Vocabulary, plain_words, segments
 from .viterbi import WordMemo, WordSearch
 
@@ -93,7 +93,7 @@ def count_tokens(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = counter(model)
-        for batch in batches_of(batches):
+        for batch in batches_of(batches, TEXT_BYTES):
             counts = made.count_all(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
 

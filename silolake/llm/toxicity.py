@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batches_of, ship_package, stored, text_or_empty
+from .common import TEXT_BYTES, Memo, batches_of, ship_package, stored, text_or_empty
 
 #: Labelled rows of each class that the lexicon and the model are fitted on, about (a hash of doc_id picks them).
 SAMPLE_PER_CLASS = 4000
@@ -255,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
                 c.clear()
             return pa.RecordBatch.from_arrays(out, names=["mark", "toxic", "clean"])
 
-        for batch in batches_of(batches):
+        for batch in batches_of(batches, TEXT_BYTES):
             for label, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 seen[label].update(marks(text))
                 if len(seen[0]) + len(seen[1]) > 300_000:
@@ -270,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbol = symbols_of(words, stems)
-        for batch in batches_of(batches):
+        for batch in batches_of(batches, TEXT_BYTES):
             rows = [features(t, symbol) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.float64()))], names=["toxic", "x"])
 
@@ -287,7 +287,7 @@ def scored(docs: DataFrame, model: Model, column: str = "score", kept: tuple | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         symbol = symbols_of(model.words, model.stems)
-        for batch in batches_of(batches):
+        for batch in batches_of(batches, TEXT_BYTES):
             scores = [score_of(features(t or "", symbol), model.coefficients) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*kept, column])
 
