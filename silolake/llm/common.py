@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import sys
 import uuid
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from silolake import session
 from silolake.session import checkpoint_dir, cut_lineage
 
-__all__ = ["TEXT_BYTES", "Memo", "batches_of", "open_input", "open_output", "shared_folder", "ship_package", "stored", "table",
+__all__ = ["TEXT_BYTES", "Memo", "batches_of", "give_back", "open_input", "open_output", "shared_folder", "ship_package", "stored", "table",
            "text_or_empty", "tokenizer_path"]
 
 #: Entries of a :class:`Memo` generation; two generations live at a time, in each Python worker.
@@ -100,6 +101,14 @@ class Memo(dict):
         return value
 
 
+def give_back() -> None:
+    """Returns free memory of Arrow and of the C library to the system: idle Python workers would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def batches_of(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20, max_rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of bounded size, so that a batch of very long texts is not expanded at once."""
     for batch in batches:
@@ -108,6 +117,7 @@ def batches_of(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20, max_
         while at < batch.num_rows:
             yield batch.slice(at, step)
             at += step
+    give_back()
 
 
 if sys.byteorder != "little":  # the file formats and digests below are little-endian

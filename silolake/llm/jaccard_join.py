@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, ship_package, stored
+from .common import TEXT_BYTES, batches_of, give_back, ship_package, stored
 from .components import components
 from .mphf import mix
 
@@ -222,7 +222,7 @@ def _signatures(docs: DataFrame, size: int, threshold: int, boundary: int, frequ
     """doc_id, n, sketch words, keys of each text that can link to a different set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = frequent.value
-        for batch in batches_of(batches):
+        for batch in batches_of(batches, TEXT_BYTES):
             ids, ns, marks, wide, keys = [], [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 s = shingles(text, size)
@@ -268,7 +268,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> D
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(packed.value).astype(bool)
-        for batch in batches_of(batches):
+        for batch in batches_of(batches, TEXT_BYTES):
             batch = batch.filter(pa.array(wanted[batch.column("cell").to_numpy()]))
             out = [shingles(t, size).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "elements"])
@@ -357,6 +357,7 @@ def _block_pairs(lists: DataFrame, marks: DataFrame, threshold: int) -> DataFram
         if held:
             rows = held[0]
             yield pairs(rows, np.array([0, len(rows["key"])]))
+        give_back()
 
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(run, "a long, b long").distinct()

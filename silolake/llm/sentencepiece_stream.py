@@ -33,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, TEXT_BYTES, batches_of, ship_package, text_or_empty, tokenizer_path
+from .common import TEXT_BYTES, batches_of, ship_package, text_or_empty, tokenizer_path
 from .viterbi import WordMemo, WordSearch
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Longer words go through the stream each time.
 MEMO_WORD = 40
+#: Words that an encoder remembers, in each of two generations.
+MEMO_ENTRIES = 50_000
 
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 

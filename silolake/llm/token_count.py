@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, TEXT_BYTES, batches_of, ship_package, text_or_empty, tokenizer_path
-from .sentencepiece_stream import MARK, MEMO_WORD, Vocabulary, plain_words, segments
+from .common import TEXT_BYTES, batches_of, ship_package, text_or_empty, tokenizer_path
+from .sentencepiece_stream import MARK, MEMO_ENTRIES, MEMO_WORD, Vocabulary, plain_words, segments
 from .viterbi import WordMemo, WordSearch
 
 
