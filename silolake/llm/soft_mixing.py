@@ -11,15 +11,24 @@ domain k the expected tokens sum(r * tokens * p[k]) match weight[k] * budget.
   A document's evidence is the mean log likelihood of its markers, times
   ``EVIDENCE``, so long documents stay soft.
   Posteriors are rounded to ``GRID`` and renormalised.
-* Rates: projected gradient on sum_k (A_k - T_k)^2 / T_k from r = 1. A step
-  moves a rate by its posterior times the domains' relative residuals, so
-  documents with equal posteriors keep equal rates: the table is summed once to
-  one row per distinct posterior (its size is bounded by the grid), and every
-  step is one aggregation of that table. The step size is the inverse of the
-  largest row sum of the scaled Gram matrix, which guarantees descent.
-* Budget: by default the total at which the most over-represented domain needs
-  no down-sampling ("cover"), so no document must go; copies are then at least
-  one. With a given ``budget`` (tokens) copies may be zero.
+* Rates: a step moves a rate by its posterior times one number per domain, and
+  projects it onto its bound, so documents with equal posteriors keep equal
+  rates: the table is summed once to one row per distinct posterior (its size is
+  bounded by the grid), and every step is one aggregation of that table.
+* With a given ``budget`` (tokens), rates are 0 or more and copies may be zero:
+  projected gradient on sum_k (A_k - T_k)^2 / T_k from r = 1, its step size the
+  inverse of the largest row sum of the scaled Gram matrix, which guarantees
+  descent. Where ``STEPS`` of them do not reach ``TOLERANCE`` (the residual of a
+  rare domain shrinks slowly), active-set steps take over: the domains'
+  residuals go through the inverse Gram matrix of the rates above their bound.
+* By default no document must go: rates are 1 or more, and the total is free.
+  Active-set steps find the rates that meet the weights with the least change
+  (token-weighted squares of r - 1). With certain memberships their total is the
+  one at which the most over-represented domain is kept as it is; where no total
+  can be met, the projected gradient goes as near to that one as it can.
+* Targets that no rates can meet (a domain without weight whose documents must
+  stay; a domain found only mixed with others) are reported by a warning that
+  gives each domain's expected tokens and target; :func:`rates` returns them.
 
 Copies are the rate's whole part, and one more for the documents whose hash
 falls below its fraction, so totals hold in expectation and runs agree.
@@ -35,8 +44,10 @@ columns are ignored by the operator; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +59,8 @@ MARKERS = 200
 EVIDENCE = 12.0
 GRID = 100
 STEPS, TOLERANCE = 200, 1e-3
+#: Most active-set steps; they end at TOLERANCE, as a rule after about ten, or where a rate beyond FARTHEST shows that no rates meet the targets.
+ACTIVE_STEPS, FARTHEST = 60, 1e9
 
 
 def _words() -> Column:
@@ -98,39 +111,106 @@ def posteriors(docs: DataFrame, labelled: DataFrame) -> tuple[DataFrame, list[st
     return every.select("doc_id", "tokens", F.transform("q", lambda q: q / F.col("s")).alias("p")), domains
 
 
-def _stepped(rate: Column, gradient: list[float]) -> Column:
-    move = sum((F.col("p")[i] * F.lit(g) for i, g in enumerate(gradient)), F.lit(0.0))
-    return F.greatest(F.lit(0.0), rate - move)
+def _moved(rate: Column, move: list[float], least: float) -> Column:
+    """``rate`` moved by the posterior times ``move``, at least ``least``."""
+    return F.greatest(F.lit(least), rate + sum((F.col("p")[i] * F.lit(float(x)) for i, x in enumerate(move)), F.lit(0.0)))
+
+
+def _off(now: np.ndarray, target: np.ndarray, scale: np.ndarray) -> float:
+    return float(np.abs((now - target) / scale).max())
+
+
+def _active_set(cells: DataFrame, share: np.ndarray, weight: np.ndarray, target: np.ndarray | None, tolerance: float) -> np.ndarray | None:
+    """The m for which rates max(least, 1 + p.m) meet ``target`` (least 0), or else any multiple of ``weight`` (least 1); None where there is none.
+
+    The rates that meet it with the least token-weighted squares of r - 1 have
+    this form. m minimises a convex function whose gradient is the domains'
+    residuals: Newton steps, damped (as by Levenberg) until the function falls.
+    """
+    n, free = len(share), target is None
+    least = 1.0 if free else 0.0
+    held = np.flatnonzero(weight) if free else np.flatnonzero(share)  # nothing reduces a domain whose documents must stay
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+
+    def at(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The function, the expected totals and the Gram matrix of the rates above their bound."""
+        z = sum((F.col("p")[i] * F.lit(float(x)) for i, x in enumerate(m)), F.lit(0.0))
+        table = cells.withColumn("z", z).withColumn("r", F.greatest(F.lit(least), F.lit(1.0) + F.col("z")))
+        above = F.when(F.col("z") + 1.0 >= least, F.col("tokens")).otherwise(0.0)
+        row = table.agg(F.sum(F.col("tokens") * (F.col("z") * F.col("r") - (F.col("r") - 1.0) * (F.col("r") - 1.0) / 2.0)),
+                        *[F.sum(F.col("tokens") * F.col("r") * F.col("p")[i]) for i in range(n)],
+                        *[F.sum(above * F.col("p")[i] * F.col("p")[j]) for i, j in pairs]).first()
+        gram = np.zeros((n, n))
+        for (i, j), x in zip(pairs, row[n + 1:], strict=True):
+            gram[i, j] = gram[j, i] = x
+        return float(row[0]) - (0.0 if free else float(target @ m)), np.array(row[1:n + 1], dtype=float), gram
+
+    m, damping = np.zeros(n), 1e-9
+    value, now, gram = at(m)
+    for _ in range(ACTIVE_STEPS):
+        aim = now[held].sum() * weight if free else target
+        if _off(now[held], aim[held], np.where(aim[held] > 0, aim[held], aim.sum() * 1e-3)) <= tolerance:
+            return m
+        if np.abs(m).max() > FARTHEST:
+            return None
+        h = gram[np.ix_(held, held)] + np.diag(damping * share[held])
+        step = np.zeros(n)
+        if free:  # now + h.step is a multiple of the weights, and the step keeps weight.m at 0
+            w = weight[held]
+            system = np.block([[h / share[held].sum(), -w[:, None]], [w[None, :], np.zeros((1, 1))]])
+            step[held] = np.linalg.lstsq(system, np.append(-now[held] / share[held].sum(), 0.0), rcond=None)[0][:-1]
+        else:
+            step[held] = np.linalg.lstsq(h, (target - now)[held], rcond=None)[0]
+        slope = float(((now if free else now - target) * step).sum())
+        trial = at(m + step)
+        if trial[0] <= value + 1e-4 * min(slope, 0.0) + 1e-12 * abs(value):
+            m, (value, now, gram), damping = m + step, trial, max(damping / 16, 1e-9)
+        else:
+            damping = max(damping * 16, 1e-4)
+    return None
 
 
 def rates(table: DataFrame, domains: list[str], weights: Mapping[str, float], budget: float | None = None,
           steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
     """(p, rate) of each distinct posterior of ``table`` (tokens, p), and {domain: (expected tokens, target)}."""
     k = range(len(domains))
-    cells = stored(table.groupBy("p").agg(F.sum("tokens").alias("tokens")).withColumn("rate", F.lit(1.0)), "cells")
-    gram = [F.sum(F.col("tokens") * F.col("p")[i]) for i in k]
-    sums = cells.agg(*gram).first() if domains else []
-    share = [float(sums[i] or 0.0) for i in k]
-    weight = [float(weights.get(d, 0.0)) if share[i] > 0 else 0.0 for i, d in enumerate(domains)]
-    if not sum(weight):
-        return cells.select("p", "rate"), {}
-    weight = [w / sum(weight) for w in weight]
-    total = budget if budget is not None else max(share[i] / weight[i] for i in k if weight[i])
-    target = [total * w for w in weight]
-    scale = [t if t else total * 1e-3 for t in target]  # a domain that should vanish
-    size = 1.0 / max(max(share[i] / scale[i] for i in k), 1e-12)
+    start = stored(table.groupBy("p").agg(F.sum("tokens").alias("tokens")).withColumn("rate", F.lit(1.0)), "cells")
     expected = [F.sum(F.col("tokens") * F.col("rate") * F.col("p")[i]) for i in k]
-    for step in range(steps):
-        now = cells.agg(*expected).first()
-        off = [(now[i] - target[i]) / scale[i] for i in k]
-        if max(map(abs, off)) <= tolerance:
-            break
-        cells = cells.withColumn("rate", _stepped(F.col("rate"), [size * x for x in off]))
-        if step % 8 == 7:  # keeps the plan short
-            cells = stored(cells, "cells")
+    sums = start.agg(*expected).first() if domains else []
+    share = np.array([float(sums[i] or 0.0) for i in k])
+    weight = np.array([float(weights.get(d, 0.0)) if share[i] > 0 else 0.0 for i, d in enumerate(domains)])
+    if not weight.sum():
+        return start.select("p", "rate"), {}
+    weight = weight / weight.sum()
+    least = 1.0 if budget is None else 0.0
+    # where even free totals do not help: the closest to the total at which the most over-represented domain needs no down-sampling
+    total = budget if budget is not None else max(share[i] / weight[i] for i in k if weight[i])
+    target, moves, cells = total * weight, None, start
+    scale = np.where(target > 0, target, total * 1e-3)  # a domain that should vanish
+    if budget is None:
+        moves = _active_set(start, share, weight, None, tolerance)
+    if moves is None:
+        size = 1.0 / max(max(share / scale), 1e-12)
+        for step in range(steps):
+            off = (np.array(cells.agg(*expected).first(), dtype=float) - target) / scale
+            if max(abs(off)) <= tolerance:
+                break
+            cells = cells.withColumn("rate", _moved(F.col("rate"), list(-size * off), least))
+            if step % 8 == 7:  # keeps the plan short
+                cells = stored(cells, "cells")
+        else:
+            moves = None if budget is None else _active_set(start, share, weight, target, tolerance)
+    if moves is not None:
+        cells = start.withColumn("rate", _moved(F.lit(1.0), list(moves), least))
     cells = stored(cells, "cells")
-    now = cells.agg(*expected).first()
-    return cells.select("p", "rate"), {d: (float(now[i]), target[i]) for i, d in enumerate(domains)}
+    now = np.array(cells.agg(*expected).first(), dtype=float)
+    if budget is None and moves is not None:
+        target = now[weight > 0].sum() * weight
+        scale = np.where(target > 0, target, target.sum() * 1e-3)
+    totals = {d: (float(now[i]), float(target[i])) for i, d in enumerate(domains)}
+    if _off(now, target, scale) > tolerance * 1.001:
+        warnings.warn("mixing misses its targets: " + ", ".join(f"{d} {a:.0f} of {t:.0f} tokens" for d, (a, t) in totals.items()), stacklevel=2)
+    return cells.select("p", "rate"), totals
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], budget: float | None = None) -> tuple[DataFrame, list[str]]:
@@ -140,8 +220,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], budg
     found, _ = rates(table, domains, weights, budget)
     out = table.join(found, "p")
     draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies = F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")
-    return out.withColumn("copies", F.greatest(F.lit(1).cast("long"), copies) if budget is None else copies), domains
+    return out.withColumn("copies", F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")), domains
 
 
 def repeat(docs: DataFrame, mixed: DataFrame) -> DataFrame:

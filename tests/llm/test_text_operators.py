@@ -89,6 +89,32 @@ def test_rates_match_plain_projected_gradient(spark):
     assert all(abs(got[tuple(row)] - r) < 1e-6 for row, r in zip(p.tolist(), rate, strict=True)) and rate.min() >= 0
 
 
+def test_rates_reach_rare_domains_without_dropping(spark):
+    rnd = np.random.default_rng(7)
+    p = np.round(np.concatenate([rnd.dirichlet([9, 0.3, 0.01], 400), rnd.dirichlet([0.4, 6, 0.02], 300), rnd.dirichlet([0.05, 0.1, 3], 6)]), 2)
+    p /= p.sum(1, keepdims=True)
+    tokens = rnd.integers(1, 500, len(p))
+    table = spark.createDataFrame([(int(t), [float(x) for x in row]) for t, row in zip(tokens, p, strict=True)], "tokens long, p array<double>")
+    for budget, least in ((None, 1.0), (90000.0, 0.0)):
+        found, totals = soft_mixing.rates(table, ["en", "de", "es"], {"en": 0.5, "de": 0.3, "es": 0.2}, budget=budget, steps=8)
+        rate = {tuple(r["p"]): r["rate"] for r in found.collect()}
+        assert min(rate.values()) >= least
+        got = sum(t * rate[tuple(row)] * np.array(row) for t, row in zip(tokens.tolist(), p.tolist(), strict=True))
+        assert abs(got / got.sum() / [0.5, 0.3, 0.2] - 1).max() <= 2e-3
+        assert abs(got - [now for now, _ in totals.values()]).max() < 1 and (budget is None or abs(got.sum() / budget - 1) <= 2e-3)
+
+
+def test_rates_keep_the_largest_domain_and_report_misses(spark):
+    table = spark.createDataFrame([(900, [1.0, 0.0]), (100, [0.0, 1.0])], "tokens long, p array<double>")
+    found, totals = soft_mixing.rates(table, ["en", "es"], {"en": 0.5, "es": 0.5})
+    assert {tuple(r["p"]): round(r["rate"], 2) for r in found.collect()} == {(1.0, 0.0): 1.0, (0.0, 1.0): 9.0}
+    with pytest.warns(UserWarning, match="en 900 of 0 tokens"):
+        soft_mixing.rates(table, ["en", "es"], {"es": 1.0}, steps=8)
+    mixed = spark.createDataFrame([(900, [1.0, 0.0]), (100, [0.5, 0.5])], "tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="misses its targets"):
+        soft_mixing.rates(mixed, ["en", "es"], {"en": 0.2, "es": 0.8}, steps=8)
+
+
 def test_mix_keeps_every_document_and_handles_odd_rows(spark):
     rows = [(i, "le chat et la souris " * (1 + i % 3) if i % 4 == 0 else "the cat and the mouse " * (1 + i % 5), "x") for i in range(80)]
     docs = spark.createDataFrame([*rows, (90, None, "x"), (91, "", "x"), (None, "the end", "x"), (1, rows[1][1], "x")], "doc_id long, text string, rate string")
