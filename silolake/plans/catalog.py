@@ -1112,14 +1112,35 @@ def q_drift_alert_stream(spark, sf):
     return rounded(spark.read.parquet(out).select("day", "silo_id", "feature", "psi"))
 
 
+def _stream_binned_by_silo(spark, sf):
+    """Reference, edges and binned stream of the drift features of every silo; each event's silo comes from the batch split."""
+    keys = ["silo_id", "feature"]
+    stx = PL.siloed_transactions(spark, sf, "events")
+
+    def values(tx):
+        cols = scalar_feature_columns(tx)
+        f = tx.withColumns({k: clean(cols[k]) for k in PSI_FEATURES})
+        return DR.long_features(f, PSI_FEATURES, [c for c in ("silo_id", "event_id", "event_time", "step") if c in tx.columns])
+
+    ref = values(stx.filter("step < 240"))
+    edges = DR.quantile_edges(ref, "value", keys)
+    good, _ = SI.parse_transactions(SI.file_stream_source(spark, _replay_dir(spark, sf, closed=True), 1))
+    s = values(SI.stream_dedup(good, "3 days").join(stx.select("event_id", "silo_id"), "event_id"))
+    s = s.withColumn("value", F.col("value") * F.when(F.col("step") >= 480, 3.0).otherwise(1.0))
+    return ref, edges, SD.with_bins(s, edges, keys)
+
+
 @query("drift_monitor_stateful")
 def q_drift_monitor_stateful(spark, sf):
-    ref, edges, binned = _stream_binned(spark, sf)
-    rc = DR.histogram_counts(ref, "value", ["silo_id", "feature"], edges).orderBy("bin").collect()
-    tot = sum(r["cnt"] for r in rc)
-    shares = {("all", "log1p_amount"): [r["cnt"] / max(tot, 1) for r in rc]}
+    """The last W = 50,000 values of each (silo, feature), as in the survey."""
+    keys = ["silo_id", "feature"]
+    ref, edges, binned = _stream_binned_by_silo(spark, sf)
+    counts: dict[tuple, dict[int, int]] = {}
+    for r in DR.histogram_counts(ref, "value", keys, edges).collect():  # silos × features × 20 bins
+        counts.setdefault((r["silo_id"], r["feature"]), {})[r["bin"]] = r["cnt"]
+    shares = {k: [c.get(i, 0) / max(sum(c.values()), 1) for i in range(DR.N_BINS)] for k, c in counts.items()}
     out = _scratch(spark, "monitor")
-    alerts = SD.drift_monitor_stateful(binned, ["silo_id", "feature"], shares, window_size=500)
+    alerts = SD.drift_monitor_stateful(binned, keys, shares, window_size=50_000)
     _run(alerts.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-ck")
          .outputMode("append").trigger(availableNow=True).start())
     return rounded(spark.read.parquet(out))

@@ -114,6 +114,22 @@ def test_stateful_monitor_matches_numpy(spark, tmp_path):
     assert len(e) == 21
 
 
+def test_registered_monitor_windows_every_silo_and_feature(spark, monkeypatch):
+    """W is 50,000 as registered; with a small one the same plan alerts for several silos and features."""
+    from silolake.plans.catalog import PSI_FEATURES, QUERIES
+    real, seen = SD.drift_monitor_stateful, {}
+
+    def small(binned, keys, shares, window_size):
+        seen.update(shares=shares, window_size=window_size)
+        return real(binned, keys, shares, window_size=40)
+
+    monkeypatch.setattr(SD, "drift_monitor_stateful", small)
+    got = QUERIES["drift_monitor_stateful"](spark, SF_SMALL).collect()
+    assert seen["window_size"] == 50_000
+    assert {f for _, f in seen["shares"]} == set(PSI_FEATURES) and all(abs(sum(v) - 1) < 1e-9 and len(v) == 20 for v in seen["shares"].values())
+    assert len({s for s, _ in seen["shares"]}) > 1 and len({r["silo_id"] for r in got}) > 1 and all(20 <= r["n"] <= 40 for r in got)
+
+
 def test_kafka_options():
     o = SI.kafka_options("bank-1.tx", "broker:9092", max_offsets_per_trigger=1000)
     assert o["subscribe"] == "bank-1.tx" and o["startingOffsets"] == "earliest" and o["failOnDataLoss"] == "false"
