@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_preference, digest_dedup, jaccard_join, pivot_dedup, sentencepiece_stream, soft_mixing, token_count, token_store, toxicity, warc
+from . import (best_two_fit, chat_preference, conversation_repair, digest_dedup, jaccard_join, periodic_runs, pivot_dedup, sentencepiece_stream,
+               soft_mixing, token_count, token_store, toxicity, warc)
+from . import planted
 from .common import stored, table
 
 
@@ -66,6 +68,34 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic_runs.periodic_runs(planted.with_periods(table(spark, sf_dir, "documents")))
+    # the greatest length, then the smallest start, then the smallest period
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    rows = rows.withColumn("_top", F.when(F.size("runs") > 0, longest)).withColumns({
+        "start": -F.col("_top.col2"), "length": F.col("_top.length"), "period": -F.col("_top.col3")})
+    return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period",
+                       F.expr("1000 * length div period").alias("exponent_milli"),
+                       F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+                       F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = best_two_fit.pack(table(spark, sf_dir, "documents"))
+    return packed.places.select("doc_id", "piece", "start", F.col("length").cast("long"), "ids_crc32", "sequence_id", F.col("offset").cast("long"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = conversation_repair.summary(conversation_repair.edits(planted.with_faults(turns)))
+    every = turns.select("conv_id").distinct()  # a conversation may lose all its rows
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return (every.join(found, F.col("conv_id").cast("string").eqNullSafe(F.col("conv")), "left")
+            .select("conv_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in numbers], F.coalesce("audit", F.lit("")).alias("audit"),
+                    F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_chat_preference": op2_chat_preference,
@@ -77,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_token_count": op10_token_count,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_best_two_fit": op12_best_two_fit,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
@@ -103,4 +136,5 @@ ORACLES: dict[str, str] = {
              k AS (SELECT t, max(doc_id) AS keep_id FROM d GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256
         FROM d JOIN k USING (t) JOIN n USING (t)""",
+    "op13_conversation_repair": planted.repair_sql(),
 }
