@@ -25,33 +25,32 @@ Defined results: null text is empty, its ids are the end id alone; a null or
 repeated doc_id is packed like any other, row by row; a document longer than
 the capacity is cut into full pieces and a last one that may be shorter, and no
 other is cut; which of several equally long pieces goes where is left open;
-other columns are ignored; an empty table gives no rows. Texts are cut into
-words 1 MB at a time; the ids of one document are held as a whole.
+other columns are ignored; an empty table gives no rows. The words and ids of
+8 MB of text, or of one longer document, are held as a whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TEXT_BYTES, batches_of, ship_package, stored, text_or_empty, tokenizer_path
+from .common import batches_of, ship_package, stored, text_or_empty, tokenizer_path
 
-#: Longer words (in bytes) are encoded each time.
-MEMO_WORD = 48
-#: Words of a memo generation.
-MEMO_WORDS = 400_000
+#: The memo of words starts anew beyond this many.
+MEMO_WORDS = 1_000_000
+#: Missing words that the library encodes as one text.
+JOINED_WORDS = 512
 
-_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _PIECES = "doc_id long, piece int, start long, length int, ids binary, ids_crc32 long, task int, nth long"
 _PLACES = "doc_id long, piece int, start long, length int, ids_crc32 long, task int, nth long, sequence_id long, offset int"
 
@@ -64,55 +63,68 @@ class Packed:
     places: DataFrame
 
 
-def _cuts(text: bytes) -> Iterator[bytes]:
-    """``text`` in stretches of about TEXT_BYTES that end at white space."""
-    at = 0
-    while at < len(text):
-        found = _SPACE.search(text, at + TEXT_BYTES)
-        end = found.start() if found else len(text)
-        yield text[at:end]
-        at = end
+def word_encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """A function from texts to their ids, as the ``tokenizers`` library gives them, laid end to end, and where each text ends.
 
-
-def word_encoder(path: str) -> Callable[[list[bytes]], list[np.ndarray]]:
-    """A function from UTF-8 texts to their ids, as the ``tokenizers`` library gives them.
-
-    This vocabulary drops white space and ends pieces there, so a text's ids are
-    those of its words; each distinct word is encoded once per worker, in a memo
-    of two generations.
+    This vocabulary drops white space and ends words there, so a text's ids are
+    those of its words; it also writes A-Z small and starts a word where
+    punctuation follows a letter and white space or the end follows that. Arrow
+    cuts and numbers the distinct words of a batch; the library encodes each
+    once per worker, until the memo is full and starts anew. Missing words of
+    letters alone are encoded as one text and cut at the tokens that end words.
     """
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     lib = Tokenizer.from_file(path)
-    a, b = (lib.encode(t, add_special_tokens=False).ids for t in ("a", "a\n a"))
-    if a + a != b:
+
+    def library(words: list[str]) -> list[list[int]]:
+        return [e.ids for e in lib.encode_batch_fast(words, add_special_tokens=False)]
+
+    whole, cut = library(["Ab cde.\n\u00e4b?! c", "ab"]), library(["ab", "cde", ".", "\u00e4b", "?!", "c"])
+    if whole != [sum(cut, []), cut[0]]:
         raise ValueError(f"{path}: words are not encoded independently of each other")
-    young: dict[bytes, bytes] = {}
-    old: dict[bytes, bytes] = {}
-
-    def known(words: list[bytes]) -> dict[bytes, bytes]:
-        """Raw ids of these words, at least."""
-        nonlocal young, old
-        if len(young) >= MEMO_WORDS:
-            young, old = {}, young
-        missing = [w for w in set(words) if w not in young]
-        young.update((w, old[w]) for w in missing if w in old)
-        new = [w for w in missing if w not in young]
-        encoded = lib.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        raws = [array("I", e.ids).tobytes() for e in encoded]
-        young.update((w, r) for w, r in zip(new, raws, strict=True) if len(w) <= MEMO_WORD)
-        if all(len(w) <= MEMO_WORD for w in new):
-            return young
-        return {**{w: young[w] for w in words if len(w) <= MEMO_WORD}, **dict(zip(new, raws, strict=True))}
-
-    def encode(texts: list[bytes]) -> list[np.ndarray]:
-        cut = [t.split() if len(t) <= TEXT_BYTES else None for t in texts]  # of bytes: at 0x20 and 0x09-0x0D only
-        raw = known([w for words in cut if words for w in words])
-        out = [b"".join(map(raw.__getitem__, words)) if words is not None
-               else b"".join(b"".join(map(known(part).__getitem__, part)) for part in map(bytes.split, _cuts(text)))
-               for words, text in zip(cut, texts, strict=True)]
-        return [np.frombuffer(o, "<u4") for o in out]
+    last = np.zeros(max(lib.get_vocab().values()) + 1, bool)  # tokens that end a word
+    last[[i for token, i in lib.get_vocab().items() if token.endswith("</w>")]] = True
+    known: dict[str, int] = {}
+    start, size, flat = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def one_by_one(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = library(words)
+        return np.fromiter(chain.from_iterable(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def together(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(library([" ".join(words)])[0], "<u4")
+        ends = np.flatnonzero(last[ids]) + 1
+        # a letter may become a letter with a mark, which ends a word: such words come one by one
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(words) else one_by_one(words)
+
+    def numbers(words: list[str]) -> np.ndarray:
+        nonlocal start, size, flat
+        if len(known) >= MEMO_WORDS:
+            known.clear()
+            start, size, flat = start[:1], size[:0], flat[:0]
+        got = list(map(known.get, words))
+        missing = [w for w, i in zip(words, got, strict=True) if i is None]
+        if missing:
+            plain, rest = [w for w in missing if w.isalpha()], [w for w in missing if not w.isalpha()]
+            new = [together(plain[k:k + JOINED_WORDS]) for k in range(0, len(plain), JOINED_WORDS)] + [one_by_one(rest)]
+            known.update(zip(plain + rest, range(len(known), len(known) + len(missing)), strict=True))
+            flat, size = (np.concatenate([x, *y]) for x, y in zip((flat, size), zip(*new, strict=True), strict=True))
+            start = np.concatenate([[0], np.cumsum(size)])
+            got = list(map(known.__getitem__, words))
+        return np.fromiter(got, np.int64, len(got))
+
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        small = pc.ascii_lower(texts)
+        apart = pc.replace_substring_regex(small, r"([a-z\x{df}-\x{f6}\x{f8}-\x{ff}])([.,;:!?]+)([\x20\x09-\x0d]|\z)", r"\1 \2\3")
+        words = pc.ascii_split_whitespace(apart)  # at 0x20 and 0x09-0x0D; spaces at the ends make empty words, without ids
+        coded = words.flatten().dictionary_encode()
+        word = numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        n = size[word]
+        ends = np.cumsum(n)
+        at = np.arange(int(n.sum())) + np.repeat(start[word] - (ends - n), n)
+        return flat[at], np.append(0, ends)[np.cumsum(pc.list_value_length(words).to_numpy())]
 
     return encode
 
@@ -127,8 +139,8 @@ def _cutter(path: str, end_id: int, capacity: int):
         seen = np.zeros(capacity + 1, np.int64)  # pieces of each length so far in this task
         for batch in batches_of(batches):
             docs, piece, start, length, raws, crcs, nth = [], [], [], [], [], [], []
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
+            flat, ends = encode(batch.column("text"))
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), np.split(flat, ends[:-1]), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     raw = ids[at:at + capacity].tobytes()
