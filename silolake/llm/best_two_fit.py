@@ -173,7 +173,7 @@ def _tightest_two(lengths: np.ndarray, left: np.ndarray, room: int) -> tuple[int
     return int(lengths[best]), int(lengths[other[best]])
 
 
-def fill(left: np.ndarray) -> dict[int, int]:
+def fill(left: np.ndarray, replace: bool = True) -> dict[int, int]:
     """The next sequence from the counts ``left`` of unpacked pieces by length: length → how many, longest first."""
     left = left.copy()
     gap = len(left) - 1
@@ -186,7 +186,7 @@ def fill(left: np.ndarray) -> dict[int, int]:
         left[longest] -= n
         gap -= n * longest
         lengths = lengths[:-1]
-    while gap and used:
+    while replace and gap and used:
         smallest = min(used)
         room = gap + smallest
         lengths = np.flatnonzero(left[:room])
@@ -209,16 +209,22 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, np.ndarray]
 
     ``classes[n]`` is the first slot of length ``n``; a row of ``slots`` is (its
     first slot, first sequence, pieces of this length in each of its sequences,
-    offset of the first of them), in order of slots.
+    offset of the first of them), in order of slots. Where replacing two for one
+    gives more sequences than the greedy filling alone, that is used.
     """
     left = np.zeros(capacity + 1, np.int64)
     for n, c in counts.items():
         left[n] = c
+    return min((_plan(left.copy(), replace) for replace in (True, False)), key=lambda p: p[0])[1:]
+
+
+def _plan(left: np.ndarray, replace: bool) -> tuple[int, np.ndarray, np.ndarray]:
+    """(sequences, slots, classes) of a plan."""
     classes = np.concatenate([[0], np.cumsum(left)])[:-1]
     taken = classes.copy()
     rows, sequence = [], 0
     while left.any():
-        used = fill(left)
+        used = fill(left, replace)
         times = min(int(left[n]) // k for n, k in used.items())
         offset = 0
         for n, k in used.items():
@@ -228,7 +234,7 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, np.ndarray]
             offset += n * k
         sequence += times
     slots = np.array(rows, np.int64).reshape(-1, 4)
-    return slots[np.argsort(slots[:, 0])], classes
+    return sequence, slots[np.argsort(slots[:, 0])], classes
 
 
 def _placer(made):
