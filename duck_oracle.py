@@ -684,6 +684,19 @@ def _batch7() -> dict[str, str]:
     txs = f"WITH {tx_cte('events')} SELECT {_sel_round(TX_COLS, DOUBLE_TX)} FROM tx"
     for k in ("stream_ingest", "stream_dedup", "lakehouse_sink", "lakehouse_sink_foreach_batch"):
         q[k] = txs
+    for k in ("stream_ingest_accounted",):
+        q[k] = txs
+    again, broken = (f"{hash01(tag, 'CAST(event_id AS VARCHAR)')} < {p}" for tag, p in (("resend", 0.05), ("broken", 0.02)))
+    q["stream_ingest_ledger"] = (
+        f"WITH {tx_cte('events')}, c AS (SELECT *, {again} AS again, {broken} AS broken, max(step) OVER () AS last FROM tx), "
+        "t AS (SELECT count(*) + count(*) FILTER (again) + count(*) FILTER (broken) AS n_in, count(*) AS n_accepted, "
+        "count(*) FILTER (broken) AS n_quarantined, count(*) FILTER (again AND step < last - 240) AS n_late, "
+        "count(*) FILTER (again AND step >= last - 240) AS n_duplicate FROM c) "
+        "SELECT *, n_in = n_accepted + n_quarantined + n_late + n_duplicate AS balanced FROM t")
+    q["stream_quarantine"] = f"""SELECT '{{"event_id":' || event_id || ',"step":' AS value FROM events WHERE {broken}"""
+    q["round_updates_stream"] = (f"WITH upd AS ({UPDATES}), rounds_v AS ({ROUNDS}), silos_v AS ({SILOS}), {RESUB}, {_round_updates_sql('rs')} "
+                                 f"SELECT agg_round, src_round, silo_id, staleness, {rnd('weight')} AS weight, arrived_at FROM ru")
+    q["late_updates_stream"] = q["late_updates"]
     q["file_stream_source"] = "SELECT event_id FROM events"
     q["stream_features"] = (f"WITH {tx_cte('events')} SELECT event_id, {rnd(fx['log1p_amount'])} AS log1p_amount, "
                             f"{rnd(fx['balance_delta_orig'])} AS balance_delta_orig, {rnd(fx['hour_sin'])} AS hour_sin, "

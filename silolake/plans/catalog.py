@@ -1044,6 +1044,76 @@ def q_lakehouse_sink_foreach_batch(spark, sf):
     return rounded(_ingested(spark, sf, True, "foreach").select(*_tx_cols()))
 
 
+# ---- accounted ingest and rounds that close on the stream -------------------------------------------
+
+from silolake.streaming import ledger as LG  # noqa: E402
+from silolake.streaming import rounds as SR  # noqa: E402
+
+LEDGER_DELAY_DAYS = 10
+
+
+def _broken_lines(spark, sf, path):
+    """~2 % of the events (hash-chosen) once more as truncated documents, after the replay's blocks."""
+    from silolake.functions.rand import hash01
+    tx = TB.tx_events(spark, sf)
+    doc = F.concat(F.lit('{"event_id":'), F.col("event_id").cast("string"), F.lit(',"step":'))
+    cut = tx.filter(hash01(42, "broken", "event_id") < 0.02).select(doc.alias("value"))
+    cut.write.mode("overwrite").text(f"{path}/zzz-broken")
+
+
+def _accounted(spark, sf):
+    """The event replay with re-sent and broken lines through the accounted ingest; returns the root of its tables."""
+    src = _replay_dir(spark, sf, duplicates=True)
+    _broken_lines(spark, sf, src.rsplit("/", 1)[0])
+    root = _scratch(spark, "accounted")
+    writer = LG.accounted_writer(root, LEDGER_DELAY_DAYS * 86_400)
+    _run(SI.file_stream_source(spark, src, 1).writeStream.foreachBatch(writer).option("checkpointLocation", root + "-ck")
+         .trigger(availableNow=True).start())
+    return root
+
+
+@query("stream_ingest_ledger")
+def q_stream_ingest_ledger(spark, sf):
+    """Lines in = accepted + quarantined + late + duplicate, over all committed batches."""
+    n = F.col("n_in")
+    sums = LG.read_ledger(spark, _accounted(spark, sf)).agg(*[F.sum(c).alias(c) for c in ["n_in", *[f"n_{f}" for f in LG.FATES]]])
+    return sums.withColumn("balanced", n == sum((F.col(f"n_{f}") for f in LG.FATES), F.lit(0)))
+
+
+@query("stream_ingest_accounted")
+def q_stream_ingest_accounted(spark, sf):
+    """Every event once in the lake, whatever was re-sent or broken."""
+    return rounded(LG.read_lake(spark, _accounted(spark, sf)).select(*_tx_cols()))
+
+
+@query("stream_quarantine")
+def q_stream_quarantine(spark, sf):
+    return LG.read_rows(spark, _accounted(spark, sf), "quarantined").select("value")
+
+
+def _closed_rounds(spark, sf, updates):
+    src, delay = SR.write_arrival_replay(updates, _scratch(spark, "arrivals"))
+    out = _scratch(spark, "rounds")
+    arrivals = spark.readStream.schema("round INT, silo_id STRING, arrived_at TIMESTAMP").option("maxFilesPerTrigger", 2).parquet(src)
+    closed = SR.round_updates_stream(arrivals, TB.rounds(spark, sf), TB.silos(spark, sf), delay=delay)
+    _run(closed.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-ck").outputMode("append")
+         .trigger(availableNow=True).start())
+    return spark.read.parquet(out)
+
+
+@query("round_updates_stream")
+def q_round_updates_stream(spark, sf):
+    """Rounds closed by event-time timeouts from shuffled arrivals: the batch ``round_updates``."""
+    r = _closed_rounds(spark, sf, resubmitted(spark, sf))
+    return rounded(r.select("agg_round", "src_round", "silo_id", "staleness", "weight", "arrived_at"))
+
+
+@query("late_updates_stream")
+def q_late_updates_stream(spark, sf):
+    r = _closed_rounds(spark, sf, TB.updates(spark, sf))
+    return rounded(r.filter("staleness = 1").select("agg_round", "src_round", "silo_id", "weight"))
+
+
 @query("stream_features")
 def q_stream_features(spark, sf):
     src = _replay_dir(spark, sf)
