@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,15 +33,36 @@ def update_latest(updates: DataFrame) -> DataFrame:
     return latest.select("round", "silo_id", *[F.col(f"_u.{c}").alias(c) for c in cols]).select(*updates.columns)
 
 
+def join_drift_epochs(silos: DataFrame, alerts: DataFrame, local_epochs: int = 2, factor: float = 1.5) -> DataFrame:
+    """Silos with a drift alert get ⌈epochs × factor⌉ local epochs: (silo_id, local_epochs, max_psi)."""
+    alerted = alerts.groupBy("silo_id").agg(F.max("psi").alias("max_psi"))
+    j = silos.select("silo_id").join(alerted, "silo_id", "left")
+    more = F.when(F.col("max_psi").isNotNull(), F.ceil(F.lit(local_epochs) * factor)).otherwise(F.lit(local_epochs))
+    return j.select("silo_id", more.cast("int").alias("local_epochs"), "max_psi")
+
+
+#: Width of the time buckets of the interval join.
+BUCKET_SECONDS = 3600
+
+
+def _bucket(at: str) -> Column:
+    return F.floor(F.unix_seconds(at) / F.lit(BUCKET_SECONDS))
+
+
 def join_round_window(updates: DataFrame, rounds: DataFrame) -> DataFrame:
     """Arrival → the round whose (start_ts, deadline] contains it (interval join).
 
-    The calendar has one row per round (a protocol parameter, ~30–1000), so it
-    is broadcast and the range condition is evaluated map-side.
+    Each round is exploded to the time buckets that it touches; arrivals meet
+    the rounds of their own bucket in an equi-join and the interval is the
+    filter after it. So both sides may grow: neither is broadcast by force, and
+    a bucket holds the arrivals and rounds of one hour.
     """
     r = rounds.select(F.col("round").alias("window_round"), "start_ts", "deadline")
-    cond = (F.col("arrived_at") > F.col("start_ts")) & (F.col("arrived_at") <= F.col("deadline"))
-    return updates.join(F.broadcast(r), cond, "left")
+    r = r.withColumn("_bucket", F.explode(F.sequence(_bucket("start_ts"), _bucket("deadline"))))
+    inside = (F.col("arrived_at") > F.col("start_ts")) & (F.col("arrived_at") <= F.col("deadline"))
+    keyed = updates.withColumn("_bucket", _bucket("arrived_at"))
+    return keyed.alias("u").join(r.alias("r"), (F.col("u._bucket") == F.col("r._bucket")) & inside, "left") \
+        .drop(F.col("r._bucket")).drop("_bucket")
 
 
 def update_staleness(assigned: DataFrame) -> DataFrame:
@@ -53,9 +74,9 @@ def update_staleness(assigned: DataFrame) -> DataFrame:
 def join_carry_late(updates: DataFrame, rounds: DataFrame) -> DataFrame:
     """Updates that missed their own deadline, joined to the next round (u.round + 1 = r.round)."""
     own = rounds.select("round", F.col("deadline").alias("_own_deadline"))
-    nxt = rounds.select(F.col("round").alias("next_round"), F.col("deadline").alias("next_deadline"))
-    late = updates.join(F.broadcast(own), "round").filter(F.col("arrived_at") > F.col("_own_deadline"))
-    return late.join(F.broadcast(nxt), F.col("round") + 1 == F.col("next_round")).drop("_own_deadline")
+    nxt = rounds.select((F.col("round") - 1).alias("round"), F.col("round").alias("next_round"), F.col("deadline").alias("next_deadline"))
+    late = updates.join(own, "round").filter(F.col("arrived_at") > F.col("_own_deadline"))
+    return late.join(nxt, "round").drop("_own_deadline")
 
 
 def round_updates(updates: DataFrame, rounds: DataFrame, silos: DataFrame, quorum_frac: float = 0.6,

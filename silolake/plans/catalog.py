@@ -7,6 +7,7 @@ rounded to 6 decimals at the output only, for the oracle comparison.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -693,10 +694,7 @@ def q_seed_summary(spark, sf):
 def q_join_drift_epochs(spark, sf):
     """Silos with a PSI alert get ⌈epochs × 1.5⌉ local epochs next round."""
     silos = _stx(spark, sf).select("silo_id").distinct()
-    alerted = _alerts(spark, sf).groupBy("silo_id").agg(F.max("psi").alias("max_psi"))
-    j = silos.join(F.broadcast(alerted), "silo_id", "left")  # alerts: ≤ silos rows
-    return rounded(j.select("silo_id", F.when(F.col("max_psi").isNotNull(), F.ceil(F.lit(2) * 1.5)).otherwise(F.lit(2))
-                            .cast("int").alias("local_epochs"), "max_psi"))
+    return rounded(RD.join_drift_epochs(silos, _alerts(spark, sf)))
 
 
 # ---- 2.6 / 2.7 hold-outs and set operations ---------------------------------------------------
@@ -872,6 +870,39 @@ def q_federated_fit_dp(spark, sf):
     return _fit(spark, sf, "fedavg", clip=1.0, sigma=0.8)[1]
 
 
+@query("federated_fit_resumed")
+def q_federated_fit_resumed(spark, sf):
+    """A run that is stopped after its first round and continued: the rounds of one run."""
+    from silolake.plans.runs import RunStore
+    train, val = _train_val(spark, sf)
+    store = RunStore(spark, _scratch(spark, "runs"), "resumed")
+    cfg = FED.FedConfig(rounds=1, agg="fedavg", experiment="fit-resumed")
+    FED.federated_fit(train, val, cfg, store=store)
+    return FED.federated_fit(train, val, replace(cfg, rounds=2), store=store)[0]
+
+
+@query("federated_fit_late")
+def q_federated_fit_late(spark, sf):
+    """silo-0 answers after the deadline of round 1: its update joins round 2 with staleness 1."""
+    train, val = _train_val(spark, sf)
+    delays = spark.createDataFrame([(1, "silo-0", 200.0)], "round int, silo_id string, delay_s double")
+    sm = FED.federated_fit(train, val, FED.FedConfig(rounds=2, agg="fedavg", silo_eval=True), delays=delays)[1]
+    return rounded(sm.select("round", "silo_id", "staleness", "n_samples", "auc_roc", "auc_pr"), 4)
+
+
+@query("scenario_label_flip")
+def q_scenario_label_flip(spark, sf):
+    from silolake.plans.scenarios import run_scenario
+    return run_scenario(spark, sf, "E3", 2)[1]
+
+
+@query("scenario_drift")
+def q_scenario_drift(spark, sf):
+    """Three rounds, drifted from the second on: the alert raises the epochs of the third."""
+    from silolake.plans.scenarios import run_scenario
+    return run_scenario(spark, sf, "E4", 3, agg="fedavg")[1]
+
+
 @query("centralized_fit")
 def q_centralized_fit(spark, sf):
     train, val = _train_val(spark, sf)

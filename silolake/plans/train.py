@@ -5,10 +5,13 @@ every partition returns per-silo gradient sums (``mapInPandas``), a grouped
 aggregate over (silo, position) adds them (partial + final = a tree
 aggregate), the driver applies momentum to silos × parameters numbers.
 
-Mode B — shard-local SGD with per-epoch averaging: rows get a seeded shard id
-(shards per silo sized by rows, so a hot silo gets more shards, not bigger
-ones); ``applyInPandas`` runs one SGD epoch per (silo, shard) group from the
-broadcast weights; shard models are averaged by shard size per coordinate.
+Mode B — shard-local SGD with per-epoch averaging. The training table is laid
+out by shard once (``shard_layout``): an explicit number of shards is dealt to
+the silos by their rows, so a hot silo gets more shards, not bigger ones; rows
+get a seeded shard, and each shard is one bucket of a bucketed table, sorted by
+event_id. Every epoch of every round reads it without an exchange:
+``applyInPandas`` runs one SGD epoch per shard from the broadcast weights, and
+shard models are averaged by shard size per coordinate.
 """
 
 from __future__ import annotations
@@ -19,12 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silolake.functions import model as MLP
-from silolake.session import ship_package
-from pyspark.sql import SparkSession
+from silolake.session import checkpoint_dir, ship_package
 
 
 @dataclass
@@ -36,7 +38,8 @@ class TrainConfig:
     momentum: float = 0.9
     prox_mu: float = 0.01
     pos_weight: float | str = "auto"
-    shard_rows: int = 200_000
+    shards: int = 16  # of all silos together; at least 2 each
+    shard_rows: int | None = None  # where given: shards of at most this many rows instead
     seed: int = 42
 
 
@@ -58,6 +61,65 @@ def pos_weights(sizes: dict[str, tuple[int, int]], cfg: TrainConfig) -> dict[str
     return {s: (n - p) / max(p, 1) for s, (n, p) in sizes.items()}
 
 
+@dataclass(frozen=True)
+class ShardLayout:
+    #: silo_id, shard, slot, event_id, features, label; bucketed by slot, a bucket per shard
+    rows: DataFrame
+    #: silo → (rows, positives)
+    silos: dict[str, tuple[int, int]]
+    #: silo → shards
+    shards: dict[str, int]
+
+
+def deal_shards(sizes: dict[str, int], total: int) -> dict[str, int]:
+    """``total`` shards dealt to the silos by their rows (largest remainders); at least 2 each, so small silos may add to the total."""
+    rows = sum(sizes.values())
+    share = {s: total * n / max(rows, 1) for s, n in sizes.items()}
+    out = {s: max(2, int(x)) for s, x in share.items()}
+    for s in sorted(share, key=lambda s: (int(share[s]) - share[s], s)):
+        if sum(out.values()) >= total:
+            break
+        out[s] += share[s] >= 2
+    return out
+
+
+def _bucket_keys(spark: SparkSession, n: int) -> list[int]:
+    """For each bucket of a table bucketed into ``n`` by an integer column, a number that falls into it."""
+    upto = 4 * n
+    while True:
+        ids = spark.range(upto).select(F.col("id").cast("int").alias("id"))
+        rows = ids.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("b")).agg(F.min("id").alias("id")).collect()  # n rows at most
+        if len(rows) == n:
+            return [r["id"] for r in sorted(rows, key=lambda r: r["b"])]
+        upto *= 2
+
+
+def shard_layout(table: DataFrame, cfg: TrainConfig) -> ShardLayout:
+    """``table`` (event_id, silo_id, features, label) written once by shard in the shared folder.
+
+    A task trains a whole shard, so choose ``cfg.shards`` for a shard to fit in a worker. The split depends on the seed and
+    the silos' shares only, not on the layout of ``table``.
+    """
+    import uuid
+
+    spark = table.sparkSession
+    silos = silo_sizes(table)
+    shards = deal_shards({s: n for s, (n, _) in silos.items()}, cfg.shards) if cfg.shard_rows is None else \
+        {s: max(1, math.ceil(n / cfg.shard_rows)) for s, (n, _) in silos.items()}
+    name = f"silolake_shards_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    total = max(1, sum(shards.values()))
+    keys = iter(_bucket_keys(spark, total))
+    slots = F.create_map(*[x for s in sorted(shards) for x in (F.lit(s), F.array(*[F.lit(next(keys)) for _ in range(shards[s])]))]) \
+        if shards else F.create_map(F.lit(""), F.array(F.lit(0)))
+    of_silo = slots[F.col("silo_id")]
+    keyed = table.select("silo_id", F.pmod(F.xxhash64("event_id", F.lit(cfg.seed)), F.size(of_silo)).cast("int").alias("shard"),
+                         "event_id", "features", "label")
+    keyed = keyed.withColumn("slot", F.element_at(of_silo, F.col("shard") + 1))
+    keyed.repartition(total, "slot").write.bucketBy(total, "slot").sortBy("event_id").option("path", path).saveAsTable(name)
+    return ShardLayout(spark.table(name), silos, shards)
+
+
 def _avg_by_silo(rows: DataFrame, weight: str, value: str = "w") -> dict[str, np.ndarray]:
     """Σ weight·vector / Σ weight per silo, coordinate-wise in Spark; returns silos × params to the driver."""
     long = rows.select("silo_id", F.col(weight).cast("double").alias("_n"), F.posexplode(value).alias("pos", "v"))
@@ -66,29 +128,30 @@ def _avg_by_silo(rows: DataFrame, weight: str, value: str = "w") -> dict[str, np
     return {r["silo_id"]: np.array([s["v"] for s in r["a"]]) for r in wide}
 
 
-def mode_b_epoch(table: DataFrame, weights: dict[str, np.ndarray], w_global: dict[str, np.ndarray],
-                 shards: dict[str, int], pw: dict[str, float], sizes: list[int], cfg: TrainConfig,
-                 round_: int, epoch: int) -> tuple[dict[str, np.ndarray], dict[str, float]]:
-    spark = table.sparkSession
-    ship_package(spark)
-    bc = spark.sparkContext.broadcast({"w": weights, "g": w_global, "pw": pw})
-    shard_map = F.create_map(*[x for s, k in shards.items() for x in (F.lit(s), F.lit(k))])
-    keyed = table.withColumn("shard", F.pmod(F.xxhash64("event_id", F.lit(cfg.seed)), shard_map[F.col("silo_id")]))
+def epoch_models(rows: DataFrame, state, sizes: list[int], cfg: TrainConfig, round_: int, epoch: int) -> DataFrame:
+    """One SGD epoch of every shard: (silo_id, shard, n, loss, batches, w)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         silo, shard = pdf["silo_id"].iat[0], int(pdf["shard"].iat[0])
         pdf = pdf.sort_values("event_id")  # the seeded shuffle must not depend on arrival order
-        state = bc.value
         x, y = _features(pdf)
         rng = np.random.default_rng([cfg.seed, round_, epoch, zlib.crc32(silo.encode()), shard])
-        w, loss, nb = MLP.sgd_epoch(x, y, state["w"][silo].copy(), state["g"][silo], sizes, cfg.lr, cfg.momentum,
-                                    cfg.prox_mu, state["pw"][silo], cfg.batch_size, rng)
+        w, loss, nb = MLP.sgd_epoch(x, y, state.value["w"][silo].copy(), state.value["g"][silo], sizes, cfg.lr, cfg.momentum,
+                                    cfg.prox_mu, state.value["pw"][silo], cfg.batch_size, rng)
         return pd.DataFrame({"silo_id": [silo], "shard": [shard], "n": [len(x)], "loss": [loss],
                              "batches": [nb], "w": [w.tolist()]})
 
-    out = keyed.groupBy("silo_id", "shard").applyInPandas(
-        run, "silo_id string, shard int, n long, loss double, batches long, w array<double>")
-    out = out.persist()
+    return rows.groupBy("slot").applyInPandas(run, "silo_id string, shard int, n long, loss double, batches long, w array<double>")
+
+
+def mode_b_epoch(layout: ShardLayout, weights: dict[str, np.ndarray], w_global: dict[str, np.ndarray],
+                 pw: dict[str, float], sizes: list[int], cfg: TrainConfig, round_: int, epoch: int) -> tuple[dict, dict]:
+    """Averaged weights and mean loss per silo after one epoch of the silos in ``weights``."""
+    spark = layout.rows.sparkSession
+    ship_package(spark)
+    bc = spark.sparkContext.broadcast({"w": weights, "g": w_global, "pw": pw})
+    rows = layout.rows if len(weights) == len(layout.silos) else layout.rows.filter(F.col("silo_id").isin(list(weights)))
+    out = epoch_models(rows, bc, sizes, cfg, round_, epoch).persist()
     new_w = _avg_by_silo(out, "n")
     losses = {r["silo_id"]: r["l"] / max(r["b"], 1) for r in
               out.groupBy("silo_id").agg(F.sum("loss").alias("l"), F.sum("batches").alias("b")).collect()}
@@ -97,17 +160,18 @@ def mode_b_epoch(table: DataFrame, weights: dict[str, np.ndarray], w_global: dic
     return new_w, losses
 
 
-def train_mode_b(table: DataFrame, w_global: np.ndarray | dict[str, np.ndarray], cfg: TrainConfig,
+def train_mode_b(table: DataFrame | ShardLayout, w_global: np.ndarray | dict[str, np.ndarray], cfg: TrainConfig,
                  round_: int = 0, epochs: dict[str, int] | None = None) -> pd.DataFrame:
     """All silos' local training from their start weights; returns silo_id, delta, n_samples, train_loss.
 
+    Give a :func:`shard_layout` where the same table is trained on again; a plain table is laid out first.
     ``epochs`` may raise a silo's local epochs (drift response).
     """
-    n_features = len(table.select("features").first()[0])
+    layout = table if isinstance(table, ShardLayout) else shard_layout(table, cfg)
+    n_features = len(layout.rows.select("features").first()[0])
     sizes = MLP.layer_sizes(n_features, list(cfg.hidden))
-    counts = silo_sizes(table)
+    counts = layout.silos
     start = w_global if isinstance(w_global, dict) else {s: np.asarray(w_global) for s in counts}
-    shards = {s: max(1, math.ceil(n / cfg.shard_rows)) for s, (n, _) in counts.items()}
     pw = pos_weights(counts, cfg)
     weights = {s: start[s].copy() for s in counts}
     loss_tot = {s: 0.0 for s in counts}
@@ -116,9 +180,8 @@ def train_mode_b(table: DataFrame, w_global: np.ndarray | dict[str, np.ndarray],
         active = [s for s in counts if e < (epochs or {}).get(s, cfg.local_epochs)]
         if not active:
             break
-        sub = table.filter(F.col("silo_id").isin(active)) if len(active) < len(counts) else table
-        new_w, losses = mode_b_epoch(sub, {s: weights[s] for s in active}, {s: start[s] for s in active},
-                                     {s: shards[s] for s in active}, {s: pw[s] for s in active}, sizes, cfg, round_, e)
+        new_w, losses = mode_b_epoch(layout, {s: weights[s] for s in active}, {s: start[s] for s in active},
+                                     {s: pw[s] for s in active}, sizes, cfg, round_, e)
         for s in active:
             weights[s] = new_w[s]
             loss_tot[s] += losses[s]

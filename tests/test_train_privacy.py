@@ -78,3 +78,38 @@ def test_ledger_scales_the_noise_with_the_clip(spark):
     got = [r["epsilon"] for r in with_round_epsilon(rows).collect()]
     assert all(abs(e - 5.68) < 0.01 for e in got)
     assert abs(analytic_gaussian_epsilon(1.6, 1e-5, 2.0) - got[0]) < 1e-8
+
+
+def test_shards_are_resident(spark):
+    """≥ 2 shards per silo, a bucket each, and no exchange of the training table in an epoch."""
+    from silolake.plans.train import epoch_models, shard_layout
+
+    df, x, _ = _table(spark, n=900, silos=3)
+    df = df.unionByName(df.filter("silo_id = 'silo-1'").withColumn("event_id", df["event_id"] + 10_000))
+    layout = shard_layout(df, TrainConfig(hidden=(4,), shards=9))
+    assert layout.shards == {"silo-0": 2, "silo-1": 5, "silo-2": 2} and sum(n for n, _ in layout.silos.values()) == 1200
+    per = layout.rows.groupBy("silo_id", "shard", "slot").count().collect()
+    assert len(per) == 9 and len({r["slot"] for r in per}) == 9 and sum(r["count"] for r in per) == 1200
+    assert len(layout.rows.inputFiles()) == 9  # a bucket is one file
+    sizes = MLP.layer_sizes(x.shape[1], [4])
+    state = spark.sparkContext.broadcast({s: dict.fromkeys(layout.silos, MLP.init_weights(sizes)) for s in "wg"} | {"pw": dict.fromkeys(layout.silos, 1.0)})
+    models = epoch_models(layout.rows, state, sizes, TrainConfig(hidden=(4,)), 0, 0)
+    assert len(models.collect()) == 9
+    assert "Exchange" not in models._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mode_b_does_not_depend_on_the_input_layout(spark):
+    df, x, _ = _table(spark)
+    cfg = TrainConfig(hidden=(4,), batch_size=32, shards=6)
+    w0 = MLP.init_weights(MLP.layer_sizes(x.shape[1], [4]))
+    a, b = (train_mode_b(t, w0, cfg, epochs={"silo-0": 3}).sort_values("silo_id") for t in (df, df.repartition(7)))
+    assert all(np.allclose(p, q) for p, q in zip(a["delta"], b["delta"]))
+
+
+def test_shards_are_dealt_by_rows():
+    from silolake.plans.train import deal_shards
+
+    assert deal_shards({"a": 100}, 5) == {"a": 5}
+    assert deal_shards({"a": 90, "b": 5, "c": 5}, 20) == {"a": 18, "b": 2, "c": 2}
+    assert deal_shards({"a": 1, "b": 1, "c": 1}, 3) == {"a": 2, "b": 2, "c": 2}
+    assert deal_shards({}, 4) == {}
