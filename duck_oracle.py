@@ -299,7 +299,7 @@ P AS (SELECT {by}, win, CASE WHEN max(n_ref) = 0 OR max(cn) = 0 THEN 0.0 ELSE su
 
 def _drift_long() -> str:
     fx = feature_exprs()
-    parts = " UNION ALL ".join(f"SELECT silo_id, step, '{f}' AS feature, coalesce({fx[f]}, 0.0) AS value FROM dtx"
+    parts = " UNION ALL ".join(f"SELECT silo_id, event_id, step, '{f}' AS feature, coalesce({fx[f]}, 0.0) AS value FROM dtx"
                                for f in PSI_FEATURES)
     return (f"WITH {tx_cte()}, {silo_cte()}, dtx AS (SELECT * REPLACE (CASE WHEN step >= 2000 THEN amount * 3.0 "
             f"ELSE amount END AS amount) FROM stx), L AS ({parts})")
@@ -627,10 +627,10 @@ def _batch4() -> dict[str, str]:
     q["union_silo_parts"] = f"WITH {tx_cte()}, {silo_cte()} SELECT silo_id, type, count(*) AS n FROM stx GROUP BY ALL"
     q["union_copies"] = (f"WITH {tx_cte()} SELECT CAST(c.copy AS INTEGER) AS copy, count(*) AS n, sum(isFraud) AS n_fraud "
                          f"FROM tx, unnest(range(0, 3)) c(copy) GROUP BY ALL")
-    q["last_w_events"] = (f"WITH {tx_cte()}, {silo_cte()}, d AS (SELECT *, CASE WHEN step >= 2000 THEN amount * 3.0 ELSE amount END "
-                          f"AS amt FROM stx), r AS (SELECT *, row_number() OVER (PARTITION BY silo_id ORDER BY step DESC, "
-                          f"event_id DESC) AS rn FROM d) SELECT silo_id, event_id, step, {rnd('ln(1 + greatest(amt, 0))')} AS value "
-                          f"FROM r WHERE rn <= 50")
+    q["last_w_events"] = (f"{_drift_long()} SELECT silo_id, feature, event_id, step, {rnd('value')} AS value FROM L "
+                          "QUALIFY row_number() OVER (PARTITION BY silo_id, feature ORDER BY step DESC, event_id DESC) <= 50000")
+    q["quantile_edges_sketch"] = (f"{_drift_long()}, g AS (SELECT silo_id, feature, count(*) AS n FROM L WHERE step < 1000 GROUP BY ALL) "
+                                  "SELECT silo_id, feature, CAST(i AS INTEGER) AS p_idx, n, true AS within FROM g, range(21) t(i)")
     q["lakehouse_snapshot"] = (f"WITH {tx_cte()}, {silo_cte()} SELECT silo_id, CAST(floor(step / 100) AS BIGINT) AS batch_id, "
                                f"count(*) AS n FROM stx WHERE floor(step / 100) <= 12 GROUP BY ALL")
     q["parse_json_events"] = ("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events "

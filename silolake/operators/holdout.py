@@ -34,11 +34,16 @@ def temporal_holdout(tx: DataFrame, frac: float = 0.1, time: str = "step") -> Da
 
 
 def split_disjoint_check(full: DataFrame, a: DataFrame, b: DataFrame, key: str = "event_id") -> DataFrame:
-    """One row: sizes, overlap (a ∩ b) and rows missing from a ∪ b — both must be 0."""
-    ka, kb, kf = a.select(key), b.select(key), full.select(key)
-    overlap = ka.intersect(kb).agg(F.count(F.lit(1)).alias("n_overlap"))
-    missing = kf.exceptAll(ka.unionByName(kb)).agg(F.count(F.lit(1)).alias("n_missing"))
-    sizes = kf.agg(F.count(F.lit(1)).alias("n_total")).withColumn("_k", F.lit(0))
-    return (sizes.join(ka.agg(F.count(F.lit(1)).alias("n_a")).withColumn("_k", F.lit(0)), "_k")
-            .join(kb.agg(F.count(F.lit(1)).alias("n_b")).withColumn("_k", F.lit(0)), "_k")
-            .join(overlap.withColumn("_k", F.lit(0)), "_k").join(missing.withColumn("_k", F.lit(0)), "_k").drop("_k"))
+    """One row: sizes, overlap (a ∩ b) and rows missing from a ∪ b — both must be 0.
+
+    One pass: the keys of the three tables are counted together, each with its own counter.
+    """
+    def marked(df: DataFrame, *bits: int) -> DataFrame:
+        return df.select(F.col(key).alias("_key"), *[F.lit(x).cast("long").alias(c) for c, x in zip(("_f", "_a", "_b"), bits)])
+
+    every = marked(full, 1, 0, 0).unionAll(marked(a, 0, 1, 0)).unionAll(marked(b, 0, 0, 1))
+    per = every.groupBy("_key").agg(*[F.sum(c).alias(c) for c in ("_f", "_a", "_b")])
+    missing = F.greatest(F.col("_f") - F.col("_a") - F.col("_b"), F.lit(0))
+    sums = {"n_total": F.sum("_f"), "n_a": F.sum("_a"), "n_b": F.sum("_b"), "n_missing": F.sum(missing)}
+    return per.agg(*[F.coalesce(v, F.lit(0)).alias(c) for c, v in sums.items()],
+                   F.count_if((F.col("_a") > 0) & (F.col("_b") > 0)).alias("n_overlap"))

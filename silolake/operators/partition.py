@@ -101,17 +101,21 @@ def dirichlet_partition(tx: DataFrame, n_silos: int = DEFAULT_SILOS, alpha: floa
     """Every row lands in exactly one silo; returns ``tx`` + ``silo_id``.
 
     ``types`` may be given; otherwise the distinct labels are collected (bounded
-    by the label vocabulary, not by rows).
+    by the label vocabulary, not by rows). Rows whose label is null or not among
+    ``types`` are one more label, cut by the size shares (or evenly without them).
     """
     if types is None:
         types = [r[0] for r in tx.select(label_col).distinct().collect()]
     cuts = dirichlet_cuts([t for t in types if t is not None], n_silos, alpha, size_shares, seed, mode)
     spark = tx.sparkSession
     cut_df = spark.createDataFrame([(t, c) for t, c in cuts.items()], f"{label_col} string, _cum array<double>")
-    ranked = distributed_rank(tx, [label_col], order_key(seed, "event_id"), "event_id", total="_n")
+    other = F.array(*[F.lit(c) for c in share_fractions(size_shares or [1.0] * n_silos)])
+    known = F.col(label_col).isin(list(cuts)) if cuts else F.lit(False)
+    labelled = tx.withColumn("_label", F.when(known, F.col(label_col)).otherwise(F.lit("")))
+    ranked = distributed_rank(labelled, ["_label"], order_key(seed, "event_id"), "event_id", total="_n")
     # the cut table is bounded by the label vocabulary
-    ranked = ranked.join(F.broadcast(cut_df), label_col)
-    return _assign(ranked, [label_col], "_n", F.col("_cum"), n_silos).drop("rn", "_n", "_cum")
+    ranked = ranked.join(F.broadcast(cut_df.withColumnRenamed(label_col, "_label")), "_label", "left").withColumn("_cum", F.coalesce("_cum", other))
+    return _assign(ranked, ["_label"], "_n", F.col("_cum"), n_silos).drop("rn", "_n", "_cum", "_label")
 
 
 def partition_by_size_shares(tx: DataFrame, size_shares: list[float] = DEFAULT_SHARES, seed: int = 42) -> DataFrame:

@@ -43,6 +43,13 @@ def _with_range(df: DataFrame, by: list[str], value: str, n_ranges: int) -> Data
     return j.withColumn("_rg", count_below(F.col(value), F.col("_bounds"), n_ranges - 1)).drop("_bounds")
 
 
+def ranked_values(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by..., value, _n, _upto): each distinct value with its count and the rank of its last row in the group."""
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return counts.withColumn("_upto", F.sum("_n").over(w))
+
+
 def exact_quantiles(df: DataFrame, value: str, by: list[str], probs: list[float], n_ranges: int = DEFAULT_RANGES,
                     name: str = "q") -> DataFrame:
     """(by..., p_idx, p, q): linear-interpolated quantiles (NumPy 'linear' = SQL quantile_cont).
@@ -50,9 +57,10 @@ def exact_quantiles(df: DataFrame, value: str, by: list[str], probs: list[float]
     An action, like ``approxQuantile``: three small jobs whose driver-side
     results are bounded by groups × ranges — (1) range bounds from the sketch,
     (2) row counts per (group, range), (3) the order statistics themselves,
-    read only from the ≤ 2·len(probs) ranges per group that hold them, each
-    range sorted in its own task. NULL values are ignored; ``by`` must be a
-    bounded grouping.
+    read only from the ≤ 2·len(probs) ranges per group that hold them. There
+    equal values are counted first (map-side) and ranks run over (value, count),
+    so a value that half of the rows share is one row where it is sorted. NULL
+    values are ignored; ``by`` must be a bounded grouping.
     """
     spark = df.sparkSession
     key_schema = T.StructType([df.schema[c] for c in by])
@@ -85,13 +93,14 @@ def exact_quantiles(df: DataFrame, value: str, by: list[str], probs: list[float]
                 need.add((*key, rg, rank - offs[rg] + 1))
         plan[key] = loc
     need_schema = T.StructType([*key_schema.fields, T.StructField("_rg", T.IntegerType()),
-                                T.StructField("_local", T.IntegerType())])
+                                T.StructField("_local", T.LongType())])
     ndf = spark.createDataFrame(sorted(need, key=repr), need_schema)
-    w = Window.partitionBy(*by, "_rg").orderBy(value)
-    picked = (d2.join(F.broadcast(ndf.select(*by, "_rg").distinct()), [*by, "_rg"])
-              .withColumn("_local", F.row_number().over(w))
-              .join(F.broadcast(ndf), [*by, "_rg", "_local"]).collect())
-    got = {(tuple(r[c] for c in by), r["_rg"], r["_local"] - 1): float(r[value]) for r in picked}
+    picked = ranked_values(d2.join(F.broadcast(ndf.select(*by, "_rg").distinct()), [*by, "_rg"]), [*by, "_rg"], value)
+    hit = F.broadcast(ndf.withColumnRenamed("_rg", "_nrg").withColumnsRenamed({c: f"_n_{c}" for c in by}))
+    cond = (F.col("_rg") == F.col("_nrg")) & (F.col("_local") > F.col("_upto") - F.col("_n")) & (F.col("_local") <= F.col("_upto"))
+    for c in by:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_n_{c}"))
+    got = {(tuple(r[c] for c in by), r["_rg"], r["_local"] - 1): float(r[value]) for r in picked.join(hit, cond).collect()}
     rows = []
     for key in counts:
         loc = plan[key]
@@ -141,3 +150,34 @@ def top_k_per_group(df: DataFrame, by: list[str], order: list, k: int, key: str
     cand = salted.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k).drop("_r1", "_salt")
     w2 = Window.partitionBy(*by).orderBy(*order)
     return cand.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k)
+
+
+def newest_per_group(df: DataFrame, by: list[str], w: int, time: str = "step", key: str = "event_id", key_bits: int = 12) -> DataFrame:
+    """The ``w`` newest rows of each group by (time, key), key unique in the group: a threshold, then one filter.
+
+    Counts per time find the time that the w-th newest row has; counts per block
+    of 2**key_bits keys at that time find its block; only that block's rows, at
+    most 2**key_bits of them, are ranked. So no group is sorted or gathered, and
+    the window costs the same whatever ``w`` is. Groups with fewer rows are kept
+    whole; rows with a null time or key are left out.
+    """
+    rows = df.filter(F.col(time).isNotNull() & F.col(key).isNotNull())
+    block = F.floor(F.col(key) / F.lit(1 << key_bits)).cast("long")
+
+    def cut(counts: DataFrame, col: str, left: Column, keep: list[Column]) -> DataFrame:
+        """The value of ``col`` at which the newest ``left`` rows of each group end, and how many are still wanted there."""
+        after = Window.partitionBy(*by).orderBy(F.desc(col)).rowsBetween(Window.unboundedPreceding, 0)
+        run = counts.withColumn("_run", F.sum("_c").over(after))
+        hit = run.filter((F.col("_run") >= left) & (F.col("_run") - F.col("_c") < left))
+        return hit.select(*by, *keep, F.col(col).alias(f"_cut_{col}"), (left - F.col("_run") + F.col("_c")).alias("_left"))
+
+    times = cut(rows.groupBy(*by, time).agg(F.count(F.lit(1)).alias("_c")), time, F.lit(w), [])
+    at_time = rows.join(times, by).filter(F.col(time) == F.col(f"_cut_{time}")).withColumn("_block", block)
+    per_block = at_time.groupBy(*by, f"_cut_{time}", "_left", "_block").agg(F.count(F.lit(1)).alias("_c"))
+    blocks = cut(per_block, "_block", F.col("_left"), [F.col(f"_cut_{time}")])
+    newest = Window.partitionBy(*by).orderBy(F.desc(key))
+    last = (at_time.drop("_left").join(blocks.drop(f"_cut_{time}"), by).filter(F.col("_block") == F.col("_cut__block"))
+            .withColumn("_nth", F.row_number().over(newest)).filter(F.col("_nth") == F.col("_left"))
+            .select(*by, F.col(f"_cut_{time}"), F.col(key).alias("_cut_key")))
+    inside = F.col("_cut_key").isNull() | (F.col(time) > F.col(f"_cut_{time}")) | ((F.col(time) == F.col(f"_cut_{time}")) & (F.col(key) >= F.col("_cut_key")))
+    return rows.join(last, by, "left").filter(inside).select(*df.columns)

@@ -94,23 +94,32 @@ def round_updates(updates: DataFrame, rounds: DataFrame, silos: DataFrame, quoru
     quorum = int(math.ceil(quorum_frac * k))
     cal = rounds.select("round", "start_ts", "deadline",
                         (F.col("deadline") + (F.col("deadline") - F.col("start_ts")) / 2).alias("ext"))
-    own = updates_registered(updates, silos).join(cal, "round")
-    began = own.filter(F.col("arrived_at") > F.col("start_ts"))
-    first = began.groupBy("round", "silo_id", "deadline", "ext").agg(F.min("arrived_at").alias("first"))
-    closes = first.groupBy("round", "deadline", "ext").agg(
-        F.count_if(F.col("first") <= F.col("deadline")).alias("n_on"), F.count_if(F.col("first") <= F.col("ext")).alias("n_ext"))
-    close = F.when(F.col("n_on") >= quorum, F.col("deadline")).when(F.col("n_ext") >= quorum, F.col("ext"))
-    closes = closes.select("round", close.alias("close_ts")).filter(F.col("close_ts").isNotNull())
-    timed = began.join(closes, "round")
-    accepted = update_latest(timed.filter(F.col("arrived_at") <= F.col("close_ts")))
-    nxt = closes.select(F.col("round").alias("agg_round"), F.col("close_ts").alias("_next_close"))
-    late = timed.filter(F.col("arrived_at") > F.col("close_ts")).join(nxt, F.col("round") + 1 == F.col("agg_round"))
-    late = update_latest(late.filter(F.col("arrived_at") <= F.col("_next_close")))
-    cols = ["silo_id", "base_version", "delta", "n_samples", "train_loss", "wall_time_s", "arrived_at"]
-    on = accepted.select(F.col("round").alias("agg_round"), F.col("round").alias("src_round"), *cols,
-                         F.lit(0).alias("staleness"))
-    lt = late.select("agg_round", F.col("round").alias("src_round"), *cols, F.lit(1).alias("staleness"))
-    return on.unionByName(lt).withColumn("weight", F.pow(F.lit(lam), F.col("staleness").cast("double")))
+    nxt = cal.select((F.col("round") - 1).alias("round"), F.col("deadline").alias("n_deadline"), F.col("ext").alias("n_ext"))
+    own = updates_registered(updates, silos)
+    # the times that can matter, per (round, silo): the first arrival, and the last by each possible close of this and the next round
+    at = F.col("arrived_at")
+    times = own.select("round", "silo_id", "arrived_at").join(cal, "round").join(nxt, "round", "left").filter(at > F.col("start_ts"))
+    ends = ("deadline", "ext", "n_deadline", "n_ext")
+    times = times.groupBy("round", "silo_id", "deadline", "ext").agg(
+        F.min(at).alias("first"), *[F.max(F.when(at <= F.col(e), at)).alias(f"by_{e}") for e in ends])
+    closes = times.groupBy("round", "deadline", "ext").agg(
+        F.count_if(F.col("first") <= F.col("deadline")).alias("n_on"), F.count_if(F.col("first") <= F.col("ext")).alias("n_late"))
+    close = F.when(F.col("n_on") >= quorum, F.col("deadline")).when(F.col("n_late") >= quorum, F.col("ext"))
+    closes = closes.select("round", close.alias("close_ts"), (F.col("n_on") >= quorum).alias("on_time")).filter(F.col("close_ts").isNotNull())
+    after = closes.select((F.col("round") - 1).alias("round"), F.col("on_time").alias("n_on_time"))
+    decided = times.join(closes, "round").join(after, "round", "left")
+    late = F.when(F.col("n_on_time"), F.col("by_n_deadline")).when(~F.col("n_on_time"), F.col("by_n_ext"))
+    choices = F.array(F.struct(F.lit(0).alias("staleness"), F.when(F.col("on_time"), F.col("by_deadline")).otherwise(F.col("by_ext")).alias("at")),
+                      F.struct(F.lit(1).alias("staleness"), F.when(late > F.col("close_ts"), late).alias("at")))
+    chosen = decided.select("round", "silo_id", F.explode(choices).alias("_c")).filter("_c.at is not null").select(
+        "round", "silo_id", F.col("_c.staleness").alias("staleness"), F.col("_c.at").alias("_at"))
+    cols = ["base_version", "delta", "n_samples", "train_loss", "wall_time_s", "arrived_at"]
+    hit = own.join(chosen, ["round", "silo_id"]).filter(F.col("arrived_at") == F.col("_at"))
+    # equal arrival times of a silo: the larger record
+    one = hit.groupBy("round", "silo_id", "staleness").agg(F.max(F.struct("train_loss", "n_samples", "base_version", "wall_time_s", "arrived_at", "delta")).alias("u"))
+    return one.select((F.col("round") + F.col("staleness")).alias("agg_round"), F.col("round").alias("src_round"), "silo_id",
+                      *[F.col(f"u.{c}").alias(c) for c in cols], "staleness") \
+        .withColumn("weight", F.pow(F.lit(lam), F.col("staleness").cast("double")))
 
 
 def union_late_updates(on_time: DataFrame, late: DataFrame, lam: float = 0.5) -> DataFrame:

@@ -294,11 +294,11 @@ def q_partition_chi2(spark, sf):
 
 # ---- 2.4 drift ---------------------------------------------------------------------------------
 
-def drift_long(spark, sf) -> DataFrame:
+def drift_long(spark, sf, keep=("silo_id", "step")) -> DataFrame:
     """Per-silo scalar features over drifted transactions, long form (silo_id, step, feature, value)."""
     stx = INJ.inject_drift(_stx(spark, sf), DRIFT_STEP, 3.0)
     f = stx.withColumns({k: clean(v) for k, v in scalar_feature_columns(stx).items() if k in PSI_FEATURES})
-    return DR.long_features(f, PSI_FEATURES, ["silo_id", "step"])
+    return DR.long_features(f, PSI_FEATURES, list(keep))
 
 
 def drift_ref_cur(spark, sf):
@@ -317,6 +317,19 @@ def q_quantile_edges(spark, sf):
     return rounded(q.select("silo_id", "feature", "p_idx", "q"))
 
 
+@query("quantile_edges_sketch")
+def q_quantile_edges_sketch(spark, sf):
+    """Edges from merged per-batch sketches (100 steps each); each edge's rank in the data is within the stated error."""
+    from silolake.operators import sketches as SK
+    from silolake.session import cut_lineage
+    ref, _ = drift_ref_cur(spark, sf)
+    by = ["silo_id", "feature"]
+    batches = cut_lineage(SK.quantile_sketches(LK.with_batch_id(ref, 100), "value", [*by, "batch_id"]), "sketches")
+    merged = SK.merge_sketches(batches, by)
+    err = SK.rank_errors(ref, "value", by, SK.sketch_edges(merged, by))
+    return err.join(merged.select(*by, "n"), by).select(*by, "p_idx", "n", (F.col("rank_error") <= SK.RANK_ERROR).alias("within"))
+
+
 @query("histogram_counts")
 def q_histogram_counts(spark, sf):
     ref, cur = drift_ref_cur(spark, sf)
@@ -734,14 +747,16 @@ def q_union_copies(spark, sf):
     return a.groupBy("copy").agg(F.count(F.lit(1)).alias("n"), F.sum("isFraud").alias("n_fraud"))
 
 
+DRIFT_WINDOW = 50_000
+
+
 @query("last_w_events")
 def q_last_w_events(spark, sf):
-    """Newest W = 50 values per (silo, feature) of the drift feature table."""
-    stx = INJ.inject_drift(_stx(spark, sf), DRIFT_STEP, 3.0)
-    f = stx.withColumn("log1p_amount", F.log1p(F.greatest("amount", F.lit(0.0))))
-    from silolake.operators.ranking import top_k_per_group
-    top = top_k_per_group(f, ["silo_id"], [F.desc("step"), F.desc("event_id")], 50)
-    return rounded(top.select("silo_id", "event_id", "step", F.col("log1p_amount").alias("value")))
+    """Newest W = 50,000 values per (silo, feature) of the drift feature table."""
+    from silolake.operators.ranking import newest_per_group
+    from silolake.session import cut_lineage
+    rows = cut_lineage(drift_long(spark, sf, ("silo_id", "event_id", "step")))  # read by each pass of the selection
+    return rounded(newest_per_group(rows, ["silo_id", "feature"], DRIFT_WINDOW).select("silo_id", "feature", "event_id", "step", "value"))
 
 
 # ---- 2.1 lake / JSON ---------------------------------------------------------------------------
@@ -1164,7 +1179,7 @@ def q_foreach_batch_hook(spark, sf):
     out, hook_out = _scratch(spark, "lake"), _scratch(spark, "hook")
 
     def hook(batch, batch_id):
-        batch.groupBy().count().withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(hook_out)
+        batch.groupBy().count().write.mode("overwrite").parquet(f"{hook_out}/batch_id={batch_id}")  # a replay replaces itself
 
     good, _ = SI.parse_transactions(SI.file_stream_source(spark, src, 2))
     _run(SI.lakehouse_sink_foreach_batch(good.withColumn("silo_id", F.lit("silo-0")), out, out + "-ck", hook,

@@ -71,12 +71,15 @@ METRIC_TABLES = {"rounds": ROUNDS, "silo_metrics": SILO_METRICS, "drift_alerts":
 
 
 def metrics_append(df: DataFrame, root: str, table: str, run_id: str) -> None:
-    df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{root}/{table}")
+    """Adds rounds to a run's table; a round that is written again replaces itself."""
+    (df.withColumn("run_id", F.lit(run_id)).repartition("round").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_id", "round").parquet(f"{root}/{table}"))
 
 
 def metrics_scan(spark: SparkSession, root: str, table: str, run_id: str | None = None) -> DataFrame:
     """Full ordered read (rounds by round, silo metrics by (round, silo), alerts newest first)."""
-    df = spark.read.schema(METRIC_TABLES[table] + ", run_id STRING").parquet(f"{root}/{table}")
+    schema = METRIC_TABLES[table] + ", run_id STRING"
+    df = spark.read.schema(schema).parquet(f"{root}/{table}").select(*[c.split()[0] for c in schema.split(", ")])
     if run_id is not None:
         df = df.filter(F.col("run_id") == run_id)
     order = {"rounds": ["round"], "silo_metrics": ["round", "silo_id"], "drift_alerts": [F.desc("ts")]}[table]
