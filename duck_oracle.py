@@ -697,6 +697,32 @@ def _batch7() -> dict[str, str]:
     q["round_updates_stream"] = (f"WITH upd AS ({UPDATES}), rounds_v AS ({ROUNDS}), silos_v AS ({SILOS}), {RESUB}, {_round_updates_sql('rs')} "
                                  f"SELECT agg_round, src_round, silo_id, staleness, {rnd('weight')} AS weight, arrived_at FROM ru")
     q["late_updates_stream"] = q["late_updates"]
+    fx = feature_exprs()
+    parts = " UNION ALL ".join(f"SELECT silo_id, step, '{f}' AS feature, coalesce({fx[f]}, 0.0) AS value FROM stx" for f in PSI_FEATURES)
+    probs = "[" + ", ".join(dbl(i / 20) for i in range(21)) + "]"
+    bins = "least(greatest(len(list_filter(e.qe, lambda x: x <= {v})) - 1, 0), 19)"
+    cur = "value * CASE WHEN step >= 480 THEN 3.0 ELSE 1.0 END"
+    binned = (f"WITH {tx_cte('events')}, {silo_cte()}, L AS ({parts}), "
+              f"E AS (SELECT silo_id, feature, quantile_cont(value, {probs}) AS qe FROM L WHERE step < 240 GROUP BY ALL), "
+              f"B AS (SELECT L.*, CAST({bins.format(v=f'({cur})')} AS INTEGER) AS bin, CAST({bins.format(v='value')} AS INTEGER) AS rbin "
+              "FROM L JOIN E AS e USING (silo_id, feature))")
+    hour = "make_timestamp((1704067200 + CAST({h} AS BIGINT) * 3600) * 1000000)"
+    q["drift_histogram_stream"] = (f"{binned} SELECT {hour.format(h='(step // 24) * 24')} AS start, silo_id, feature, bin, count(*) AS cnt "
+                                   "FROM B GROUP BY ALL")
+    q["drift_histogram_sliding"] = (f"{binned} SELECT {hour.format(h='((step // 6) * 6 - back)')} AS start, silo_id, feature, bin, count(*) AS cnt "
+                                    "FROM B, (SELECT unnest([0, 6, 12, 18]) AS back) GROUP BY ALL")
+    q["drift_alert_stream"] = (
+        f"{binned}, rc AS (SELECT silo_id, feature, rbin AS bin, count(*) AS rc FROM B WHERE step < 240 GROUP BY ALL), "
+        "g AS (SELECT DISTINCT step // 24 AS d, silo_id, feature FROM B), "
+        "cc AS (SELECT step // 24 AS d, silo_id, feature, bin, count(*) AS cc FROM B GROUP BY ALL), "
+        "h AS (SELECT g.*, coalesce(rc, 0) AS rc, coalesce(cc, 0) AS cc FROM g, (SELECT CAST(unnest(range(20)) AS INTEGER) AS bin) AS t "
+        "LEFT JOIN rc ON rc.silo_id = g.silo_id AND rc.feature = g.feature AND rc.bin = t.bin "
+        "LEFT JOIN cc ON cc.d = g.d AND cc.silo_id = g.silo_id AND cc.feature = g.feature AND cc.bin = t.bin), "
+        "n AS (SELECT d, silo_id, feature, rc / sum(rc) OVER w + 1e-6 AS r, cc / sum(cc) OVER w + 1e-6 AS c FROM h "
+        "WINDOW w AS (PARTITION BY d, silo_id, feature)), "
+        "m AS (SELECT d, silo_id, feature, r / sum(r) OVER w AS r, c / sum(c) OVER w AS c FROM n WINDOW w AS (PARTITION BY d, silo_id, feature)), "
+        "p AS (SELECT d, silo_id, feature, sum((r - c) * ln(r / c)) AS psi FROM m GROUP BY ALL) "
+        f"SELECT {hour.format(h='d * 24')} AS day, silo_id, feature, {rnd('psi')} AS psi, {hour.format(h='(d + 1) * 24')} AS ts FROM p WHERE psi > 0.2")
     q["file_stream_source"] = "SELECT event_id FROM events"
     q["stream_features"] = (f"WITH {tx_cte('events')} SELECT event_id, {rnd(fx['log1p_amount'])} AS log1p_amount, "
                             f"{rnd(fx['balance_delta_orig'])} AS balance_delta_orig, {rnd(fx['hour_sin'])} AS hour_sin, "

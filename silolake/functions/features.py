@@ -109,9 +109,14 @@ def with_scalar_features(df: DataFrame) -> DataFrame:
     return df.withColumns({k: clean(v) for k, v in cols.items()})
 
 
+def feature_array(df: DataFrame) -> Column:
+    """The 22 columns (absent ones = 0.0) as ARRAY<FLOAT>."""
+    return F.array(*[(clean(F.col(c)) if c in df.columns else F.lit(0.0)).cast("float") for c in FEATURE_COLS])
+
+
 def feature_vector(df: DataFrame, label_col: str = "isFraud") -> DataFrame:
     """Assemble the 22 columns (absent ones = 0.0) into ``features ARRAY<FLOAT>`` + ``label FLOAT``."""
-    arr = F.array(*[(clean(F.col(c)) if c in df.columns else F.lit(0.0)).cast("float") for c in FEATURE_COLS])
+    arr = feature_array(df)
     label = F.coalesce(F.col(label_col).cast("float"), F.lit(0.0)) if label_col in df.columns else F.lit(0.0).cast("float")
     keep = [c for c in ("event_id", "silo_id", "step") if c in df.columns]
     return df.select(*keep, arr.alias("features"), label.cast("float").alias("label"))

@@ -1187,76 +1187,107 @@ def q_foreach_batch_hook(spark, sf):
     return spark.read.parquet(hook_out).agg(F.sum("count").alias("n_rows"))
 
 
-def _stream_binned(spark, sf):
-    tx = TB.tx_events(spark, sf).withColumn("value", F.log1p("amount"))
-    ref = tx.filter("step < 240").withColumn("silo_id", F.lit("all")).withColumn("feature", F.lit("log1p_amount"))
-    edges = DR.quantile_edges(ref, "value", ["silo_id", "feature"])
-    src = _replay_dir(spark, sf, closed=True)
-    good, _ = SI.parse_transactions(SI.file_stream_source(spark, src, 1))
-    s = SI.stream_dedup(good, "3 days").withColumn("value", F.log1p("amount") * F.when(F.col("step") >= 480, 3.0)
-                                                   .otherwise(1.0))
-    s = s.withColumn("silo_id", F.lit("all")).withColumn("feature", F.lit("log1p_amount"))
-    return ref, edges, SD.with_bins(s, edges, ["silo_id", "feature"])
+MONITOR_COPIES = 20  # of every event: 25,000 values of each silo and feature come together at the smallest scales too
 
 
-@query("drift_histogram_stream")
-def q_drift_histogram_stream(spark, sf):
-    _ref, _edges, binned = _stream_binned(spark, sf)
-    out = _scratch(spark, "dhist")
-    hist = SD.drift_histogram_stream(binned, ["silo_id", "feature"], "1 day")
-    _run(hist.select(F.col("window.start").alias("day"), "silo_id", "feature", "bin", "cnt").writeStream
+def _stream_binned_by_silo(spark, sf, copies: int = 1, scored: bool = False):
+    """Reference, edges and binned stream of the drift features of every silo; each event's silo comes from the batch split.
+
+    Values are three times as large from step 480 on. ``scored`` watches the fraud score of a frozen model instead, of
+    transactions whose amounts are three times as large.
+    """
+    keys = ["silo_id", "feature"]
+    if copies > 1:
+        from silolake.session import materialized
+        a = AMP.amplify(TB.tx_events(spark, sf), copies, 42, 0.1)
+        a = a.withColumn("event_id", F.col("event_id") * 32 + F.col("copy")).drop("copy")
+        stx = materialized(spark, ("monitor_tx", sf, copies), lambda: P.dirichlet_partition(a, types=list(P_TYPES())))
+    else:
+        stx = PL.siloed_transactions(spark, sf, "events")
+    keep = ("silo_id", "event_id", "event_time", "step")
+    ref = stx.filter("step < 240")
+    if scored:
+        w, scale = MLP.init_weights(MLP.layer_sizes(len(FEATURE_COLS)), 42), SD.frozen_scale(ref)
+
+    def values(tx):
+        if scored:
+            s = SD.with_fraud_score(tx, w, list(TR.TrainConfig().hidden), scale)
+            return s.select(*[c for c in keep if c in s.columns], F.lit("fraud_score").alias("feature"), F.col("fraud_score").alias("value"))
+        cols = scalar_feature_columns(tx)
+        f = tx.withColumns({k: clean(cols[k]) for k in PSI_FEATURES})
+        return DR.long_features(f, PSI_FEATURES, [c for c in keep if c in tx.columns])
+
+    ref = values(ref)
+    edges = DR.quantile_edges(ref, "value", keys)
+    replay = SI.write_json_replay(stx.drop("silo_id"), _scratch(spark, "replay"), files=8, close_after=10 * 24)
+    good, _ = SI.parse_transactions(SI.file_stream_source(spark, replay, 1))
+    s = SI.stream_dedup(good, "5 days").join(stx.select("event_id", "silo_id"), "event_id")
+    later = F.when(F.col("step") >= 480, 3.0).otherwise(1.0)
+    s = values(s.withColumn("amount", F.col("amount") * later)) if scored else values(s).withColumn("value", F.col("value") * later)
+    return ref, edges, SD.with_bins(s, edges, keys)
+
+
+def _histogram(spark, hist, name):
+    out = _scratch(spark, name)
+    _run(hist.select(F.col("window.start").alias("start"), "silo_id", "feature", "bin", "cnt").writeStream
          .format("parquet").option("path", out).option("checkpointLocation", out + "-ck").outputMode("append")
          .trigger(availableNow=True).start())
     return spark.read.parquet(out)
 
 
-@query("drift_alert_stream")
-def q_drift_alert_stream(spark, sf):
-    """Daily windows' PSI against the reference, alerts appended per micro-batch by foreachBatch."""
-    ref, edges, binned = _stream_binned(spark, sf)
-    ref_counts = DR.histogram_counts(ref, "value", ["silo_id", "feature"], edges).withColumnRenamed("cnt", "rc")
+@query("drift_histogram_stream")
+def q_drift_histogram_stream(spark, sf):
+    """Daily counts per silo, drift feature and bin."""
+    _ref, _edges, binned = _stream_binned_by_silo(spark, sf)
+    return _histogram(spark, SD.drift_histogram_stream(binned, ["silo_id", "feature"], "1 day"), "dhist")
+
+
+@query("drift_histogram_sliding")
+def q_drift_histogram_sliding(spark, sf):
+    """Counts of days that slide by six hours, added up from panes."""
+    _ref, _edges, binned = _stream_binned_by_silo(spark, sf)
+    return _histogram(spark, SD.drift_histogram_stream(binned, ["silo_id", "feature"], "1 day", "6 hours"), "dslide")
+
+
+def _alert_stream(spark, ref, edges, binned):
+    keys = ["silo_id", "feature"]
+    ref_counts = DR.histogram_counts(ref, "value", keys, edges).withColumnRenamed("cnt", "rc")
     out = _scratch(spark, "alerts")
-    hist = SD.drift_histogram_stream(binned, ["silo_id", "feature"], "1 day")
+    hist = SD.drift_histogram_stream(binned, keys, "1 day")
     writer = SD.drift_alert_writer(out)
 
     def fn(batch, batch_id):
-        alerts = DR.drift_alerts(SD.psi_from_counts(batch, ref_counts, ["silo_id", "feature"]))
-        writer(alerts.select(F.col("window.start").alias("day"), "silo_id", "feature", "psi"), batch_id)
+        alerts = DR.drift_alerts(SD.psi_from_counts(batch, ref_counts, keys))
+        writer(alerts.select(F.col("window.start").alias("day"), *keys, "psi", F.col("window.end").alias("ts")), batch_id)
 
     _run(hist.writeStream.foreachBatch(fn).option("checkpointLocation", out + "-ck").outputMode("append")
          .trigger(availableNow=True).start())
-    return rounded(spark.read.parquet(out).select("day", "silo_id", "feature", "psi"))
+    return rounded(spark.read.schema("day TIMESTAMP, silo_id STRING, feature STRING, psi DOUBLE, ts TIMESTAMP").parquet(out))
 
 
-def _stream_binned_by_silo(spark, sf):
-    """Reference, edges and binned stream of the drift features of every silo; each event's silo comes from the batch split."""
-    keys = ["silo_id", "feature"]
-    stx = PL.siloed_transactions(spark, sf, "events")
+@query("drift_alert_stream")
+def q_drift_alert_stream(spark, sf):
+    """Daily windows' PSI of every silo and drift feature against the reference, alerts written per micro-batch by foreachBatch."""
+    return _alert_stream(spark, *_stream_binned_by_silo(spark, sf)).select("day", "silo_id", "feature", "psi", "ts")
 
-    def values(tx):
-        cols = scalar_feature_columns(tx)
-        f = tx.withColumns({k: clean(cols[k]) for k in PSI_FEATURES})
-        return DR.long_features(f, PSI_FEATURES, [c for c in ("silo_id", "event_id", "event_time", "step") if c in tx.columns])
 
-    ref = values(stx.filter("step < 240"))
-    edges = DR.quantile_edges(ref, "value", keys)
-    good, _ = SI.parse_transactions(SI.file_stream_source(spark, _replay_dir(spark, sf, closed=True), 1))
-    s = values(SI.stream_dedup(good, "3 days").join(stx.select("event_id", "silo_id"), "event_id"))
-    s = s.withColumn("value", F.col("value") * F.when(F.col("step") >= 480, 3.0).otherwise(1.0))
-    return ref, edges, SD.with_bins(s, edges, keys)
+@query("drift_score_stream")
+def q_drift_score_stream(spark, sf):
+    """The same of the fraud score that a frozen model version gives each event."""
+    return _alert_stream(spark, *_stream_binned_by_silo(spark, sf, scored=True)).select("day", "silo_id", "feature", "psi", "ts")
 
 
 @query("drift_monitor_stateful")
 def q_drift_monitor_stateful(spark, sf):
-    """The last W = 50,000 values of each (silo, feature), as in the survey."""
+    """The last W = 50,000 values of each (silo, feature), as in the survey, over 20 copies of the events."""
     keys = ["silo_id", "feature"]
-    ref, edges, binned = _stream_binned_by_silo(spark, sf)
+    ref, edges, binned = _stream_binned_by_silo(spark, sf, MONITOR_COPIES)
     counts: dict[tuple, dict[int, int]] = {}
     for r in DR.histogram_counts(ref, "value", keys, edges).collect():  # silos × features × 20 bins
         counts.setdefault((r["silo_id"], r["feature"]), {})[r["bin"]] = r["cnt"]
     shares = {k: [c.get(i, 0) / max(sum(c.values()), 1) for i in range(DR.N_BINS)] for k, c in counts.items()}
     out = _scratch(spark, "monitor")
-    alerts = SD.drift_monitor_stateful(binned, keys, shares, window_size=50_000)
+    alerts = SD.drift_monitor_stateful(binned, keys, shares, window_size=DRIFT_WINDOW)
     _run(alerts.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-ck")
          .outputMode("append").trigger(availableNow=True).start())
     return rounded(spark.read.parquet(out))
