@@ -462,8 +462,9 @@ def _batch3() -> dict[str, str]:
     q["qwra_poisoned"] = f"{pbase}, {TRIM_SQL}, {COS_SQL}, {QWRA_SQL} {QWRA_OUT}"
     q["inject_model_poison"] = f"{pbase} SELECT round, silo_id, pos, {rnd('v')} AS v FROM ul"
     clip = ("cl AS (SELECT *, least(1.0, 1.0 / greatest(sqrt(list_sum([x * x for x in delta])), 1e-10)) AS sc FROM upd)")
-    q["l2_clip"] = (f"{base}, {clip} SELECT round, silo_id, {rnd('sqrt(list_sum([(x * sc) * (x * sc) for x in delta]))')} AS norm, "
-                    f"{rnd('delta[1] * sc')} AS d0, {rnd('delta[64] * sc')} AS d63 FROM cl")
+    q["l2_clip"] = (f"{base}, {clip}, c AS (SELECT *, sqrt(list_sum([(x * sc) * (x * sc) for x in delta])) AS nm FROM cl) "
+                    f"SELECT round, silo_id, {rnd('nm')} AS norm, CAST(i - 1 AS INTEGER) AS pos, {rnd('delta[i] * sc')} AS v "
+                    "FROM c, unnest(range(1, len(delta) + 1)) t(i)")
     nkey = "concat(CAST(round AS VARCHAR), ':', silo_id, ':', CAST(pos AS VARCHAR))"
     q["gaussian_noise"] = (f"{base} SELECT round, silo_id, pos, {rnd(f'v + 0.8 * {normal01('noise/run', nkey)}')} AS v FROM ul")
     q["dp_release"] = (f"{base}, {clip}, cu AS (SELECT round, silo_id, CAST(i - 1 AS INTEGER) AS pos, delta[i] * sc AS v "
@@ -636,8 +637,14 @@ def _batch4() -> dict[str, str]:
     q["parse_json_events"] = ("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events "
                               "WHERE json_valid(props)")
     q["parse_json_quarantine"] = "SELECT count(*) AS n_quarantined FROM events WHERE NOT json_valid(props)"
-    q["events_to_json"] = ("SELECT CAST(event_id AS VARCHAR) AS key, CAST(to_json({'event_id': event_id, "
-                           "'event_type': event_type, 'user_id': user_id}) AS VARCHAR) AS value FROM events")
+    q["events_to_json"] = ("SELECT CAST(event_id AS VARCHAR) AS key, CAST(to_json({'event_id': event_id, 'ts': epoch_us(ts), 'user_id': user_id, "
+                           "'event_type': event_type, 'value': value, 'props': props}) AS VARCHAR) AS value FROM events")
+    q["read_transactions_lake"] = (f"WITH {tx_cte()}, {silo_cte()} SELECT {_sel_round(TX_COLS, DOUBLE_TX)}, silo_id, "
+                                   "CAST(floor(step / 100) AS BIGINT) AS batch_id FROM stx WHERE silo_id = 'silo-1' AND floor(step / 100) <= 12")
+    q["lakehouse_snapshot_committed"] = (
+        f"WITH {tx_cte('events')}, r AS (SELECT min(step) AS lo, max(step) AS hi FROM tx), "
+        "b AS (SELECT least(CAST(floor((step - lo) / ((hi - lo + 1) / 8.0)) AS BIGINT), 7) AS batch_id, step FROM tx, r) "
+        "SELECT batch_id, count(*) AS n, min(step) AS first_step, max(step) AS last_step FROM b WHERE batch_id <= 3 GROUP BY 1")
     return q
 
 
@@ -724,9 +731,8 @@ def _batch7() -> dict[str, str]:
         "p AS (SELECT d, silo_id, feature, sum((r - c) * ln(r / c)) AS psi FROM m GROUP BY ALL) "
         f"SELECT {hour.format(h='d * 24')} AS day, silo_id, feature, {rnd('psi')} AS psi, {hour.format(h='(d + 1) * 24')} AS ts FROM p WHERE psi > 0.2")
     q["file_stream_source"] = "SELECT event_id FROM events"
-    q["stream_features"] = (f"WITH {tx_cte('events')} SELECT event_id, {rnd(fx['log1p_amount'])} AS log1p_amount, "
-                            f"{rnd(fx['balance_delta_orig'])} AS balance_delta_orig, {rnd(fx['hour_sin'])} AS hour_sin, "
-                            f"{rnd(fx['type_TRANSFER'])} AS type_TRANSFER FROM tx")
+    scalar = [c for c in FEATURE_COLS if not c.startswith(("velocity", "in_degree"))]
+    q["stream_features"] = f"WITH {tx_cte('events')} SELECT event_id, {', '.join(f'{rnd(fx[c])} AS {c}' for c in scalar)} FROM tx"
     q["velocity_stream"] = (f"WITH {tx_cte('events')}, w AS (SELECT TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(step - k AS BIGINT)) AS start, "
                             f"nameOrig, amount FROM tx, range(24) AS r(k)) SELECT start, nameOrig, count(*) AS velocity_count, "
                             f"{rnd('sum(amount)')} AS velocity_sum FROM w GROUP BY start, nameOrig")

@@ -461,8 +461,7 @@ def q_inject_model_poison(spark, sf):
 @query("l2_clip")
 def q_l2_clip(spark, sf):
     c = U.l2_clip(TB.updates(spark, sf), 1.0)
-    return rounded(c.select("round", "silo_id", U.l2_norm(F.col("delta")).alias("norm"),
-                            F.col("delta")[0].alias("d0"), F.col("delta")[63].alias("d63")))
+    return rounded(c.select("round", "silo_id", U.l2_norm(F.col("delta")).alias("norm"), F.posexplode("delta").alias("pos", "v")))
 
 
 @query("gaussian_noise")
@@ -771,6 +770,21 @@ def q_lakehouse_snapshot(spark, sf):
     return snap.groupBy("silo_id", "batch_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("read_transactions_lake")
+def q_read_transactions_lake(spark, sf):
+    """One silo's batches up to 12 from the partitioned lake, with the fixed schema; both filters prune partitions."""
+    out = _scratch(spark, "lake")
+    LK.write_lake(LK.with_batch_id(_stx(spark, sf), 100).repartition("silo_id", "batch_id"), out, "overwrite")
+    return rounded(LK.read_transactions(spark, out, "silo-1", 12))
+
+
+@query("lakehouse_snapshot_committed")
+def q_lakehouse_snapshot_committed(spark, sf):
+    """Rows of the accounted ingest up to its batch 3; batches are the replay's blocks, in order."""
+    snap = LG.read_lake(spark, _accounted(spark, sf), upto_batch=3)
+    return snap.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.min("step").alias("first_step"), F.max("step").alias("last_step"))
+
+
 @query("parse_json_events")
 def q_parse_json_events(spark, sf):
     ev = TB.table(spark, sf, "events").select("event_id", F.col("props").alias("value"))
@@ -788,8 +802,8 @@ def q_parse_json_quarantine(spark, sf):
 
 @query("events_to_json")
 def q_events_to_json(spark, sf):
-    ev = TB.table(spark, sf, "events").select("event_id", "event_type", "user_id")
-    return LK.events_to_json(ev, "event_id")
+    ev = TB.table(spark, sf, "events")
+    return LK.events_to_json(ev.withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp"))), "event_id")
 
 
 # ---- 2.10 / 2.11 model scoring and training ---------------------------------------------------
@@ -947,7 +961,7 @@ def q_candidates_x_validation(spark, sf):
     w = MLP.init_weights(sizes)
     local = TR.train_mode_b(train, w, TR.TrainConfig(local_epochs=1))
     deltas = {r.silo_id: np.array(r.delta) for r in local.itertuples()}
-    c = FED.candidates_x_validation(val, w, deltas, sizes)
+    c = FED.by_candidate(FED.candidates_x_validation(val, w, deltas, sizes), deltas)
     return c.groupBy("candidate").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"))
 
 
@@ -1166,7 +1180,7 @@ def q_stream_features(spark, sf):
     out = _scratch(spark, "sfeat")
     good, _ = SI.parse_transactions(SI.file_stream_source(spark, src, 2))
     feats = good.withColumns({k: clean(v) for k, v in scalar_feature_columns(good).items()})
-    _run(feats.select("event_id", "log1p_amount", "balance_delta_orig", "hour_sin", "type_TRANSFER")
+    _run(feats.select("event_id", *scalar_feature_columns(good))
          .writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-ck")
          .trigger(availableNow=True).start())
     return rounded(spark.read.parquet(out))

@@ -93,31 +93,43 @@ def drift_psi(reference: DataFrame, current: DataFrame, places: tuple[int, ...]
 
 
 def candidates_x_validation(val: DataFrame, base: np.ndarray, deltas: dict[str, np.ndarray], sizes: list[int]) -> DataFrame:
-    """(candidate, score, label): the base model and every base + dᵢ scored on every validation row.
+    """(label, scores): every validation row once, with the scores of the base model and of each base + dᵢ, in the order
+    of :func:`candidate_names`.
 
-    Candidates (≤ silos + 1 vectors) are broadcast; validation is streamed in Arrow batches.
+    Candidates (≤ silos + 1 vectors) are broadcast; validation is streamed in Arrow batches and features are read once for
+    all of them.
     """
-    cands = {"__base__": base, **{s: base + d for s, d in deltas.items()}}
     ship_package(val.sparkSession)
-    bc = val.sparkSession.sparkContext.broadcast(cands)
+    bc = val.sparkSession.sparkContext.broadcast([base, *[base + deltas[s] for s in candidate_names(deltas)[1:]]])
 
     def part(it):
-        cw = bc.value
         for pdf in it:
             if not len(pdf):
                 continue
             x = np.stack(pdf["features"].to_numpy()).astype(np.float64)
-            y = pdf["label"].to_numpy(dtype=np.float64)
-            for name, w in cw.items():
-                yield pd.DataFrame({"candidate": name, "score": MLP.forward(x, w, sizes), "label": y})
+            scores = np.stack([MLP.forward(x, w, sizes) for w in bc.value], 1)
+            yield pd.DataFrame({"label": pdf["label"].to_numpy(dtype=np.float64), "scores": list(scores)})
 
-    return val.select("features", "label").mapInPandas(part, "candidate string, score double, label double")
+    return val.select("features", "label").mapInPandas(part, "label double, scores array<double>")
+
+
+def candidate_names(deltas: dict[str, np.ndarray]) -> list[str]:
+    return ["__base__", *sorted(deltas)]
+
+
+def by_candidate(scored: DataFrame, deltas: dict[str, np.ndarray]) -> DataFrame:
+    """(candidate, score, label) of the rows of :func:`candidates_x_validation`."""
+    names = F.array(*[F.lit(n) for n in candidate_names(deltas)])
+    return scored.select("label", F.posexplode("scores").alias("_i", "score")) \
+        .select(names[F.col("_i")].alias("candidate"), "score", "label")
 
 
 def qwra_quality(val: DataFrame, base: np.ndarray, deltas: dict[str, np.ndarray], sizes: list[int], round_: int) -> DataFrame:
     """q = max(AP(w + dᵢ) − AP(w), 0) + 1e-4 per silo."""
-    ap = M.auc_pr(candidates_x_validation(val, base, deltas, sizes), ["candidate"])
+    scored = candidates_x_validation(val, base, deltas, sizes).persist()  # the curve reads the scores more than once
+    ap = M.auc_pr(by_candidate(scored, deltas), ["candidate"])
     rows = {r["candidate"]: (r["auc_pr"] or 0.0) for r in ap.collect()}
+    scored.unpersist()
     b = rows.get("__base__", 0.0)
     q = [(round_, s, max(rows.get(s, 0.0) - b, 0.0) + QUALITY_FLOOR) for s in deltas]
     return val.sparkSession.createDataFrame(q, "round int, silo_id string, q double")
