@@ -17,11 +17,15 @@ Candidates come from the lists in two steps, so that a large group of copies
 never turns into all its pairs. First each set meets one hub of each of its
 lists (a linear number of pairs; two choices of hub), and the verified links
 give components. Then the lists that still hold several components are scanned
-in blocks, and only pairs of different components are left. Before a pair is
-verified on its whole sets it must pass the size bound and a 512-bit parity
-sketch, whose distance never exceeds the size of the symmetric difference, and
-then a wider one of two bits per element: these tests are lossless. Verification counts the common elements of 64-bit hashed
-n-grams.
+in blocks. A pair must pass the size bound and a 512-bit parity sketch, whose
+distance never exceeds the size of the symmetric difference, and then a wider
+one of two bits per element: these tests are lossless, and both are made inside
+the block. A first scan puts out a spanning forest of the pairs that pass, at
+most one row less than a block has sets; the links among them join nearly all
+components that belong together. A second scan puts out every pair that passes
+and still lies between two components, so nothing is lost where a pair of the
+forest did not link after all. Verification counts the common elements of
+64-bit hashed n-grams.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; with
 fewer than ``size`` words the whole sequence is the one element; null, empty
@@ -48,6 +52,8 @@ FREQUENT = 1 << 19
 #: Entries of an inverted list that are compared in one block.
 BLOCK = 512
 SKETCH_WORDS = 8
+#: Bytes of the wide sketch that go through the blocks with each entry; larger sets' sketches are folded to it.
+BLOCK_SKETCH = 1 << 10
 #: Cells of the map that keeps texts without a candidate out of verification: at most so many numbers reach the driver.
 CELLS = 1 << 22
 
@@ -121,13 +127,18 @@ def wide_sketch(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+def folded(x: bytes, size: int) -> bytes:
+    """The sketch of the same set in at most ``size`` bytes."""
+    a = np.frombuffer(x, np.uint8)
+    while len(a) > size:
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    return a.tobytes()
+
+
 def distance_bound(x: bytes, y: bytes) -> int:
     """Least size of the symmetric difference of two sets, from their wide sketches."""
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    while len(a) != len(b):
-        if len(a) > len(b):
-            a, b = b, a
-        b = b[:len(b) // 2] ^ b[len(b) // 2:]
+    size = min(len(x), len(y))
+    a, b = (np.frombuffer(folded(v, size), np.uint8) for v in (x, y))
     return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
 
 
@@ -310,19 +321,40 @@ def _hub_pairs(lists: DataFrame, marks: DataFrame, threshold: int, salt: int) ->
     return met.join(left, "a").join(right, "b").where(_close(threshold)).select("a", "b")
 
 
-def _block_pairs(lists: DataFrame, marks: DataFrame, threshold: int) -> DataFrame:
-    """Distinct close pairs of different components in each list; long lists are dealt out as pairs of blocks."""
+class _Joined(dict):
+    """Components that were joined, with path halving."""
+
+    def root(self, x: int) -> int:
+        while (up := self.get(x, x)) != x:
+            self[x] = x = self.get(up, up)
+        return x
+
+
+def _block_pairs(lists: DataFrame, marks: DataFrame, threshold: int, forest: bool) -> DataFrame:
+    """Distinct close pairs of different components in each list, or a spanning forest of them in each pair of blocks.
+
+    Long lists are dealt out as pairs of blocks; ``marks`` has the sketches.
+    """
     sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     open_lists = sizes.where("lo <> hi").select("key", F.ceil(F.col("c") / BLOCK).alias("blocks"))
     rows = lists.join(open_lists, "key").join(marks, "doc_id")
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine"), "doc_id", "n", "component", *_SKETCH)
+    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine"), "doc_id", "n", "component", *_SKETCH, "wide")
 
     def close(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(group["n"], kind="stable")
         n, ids, comp, mine = (group[c][order] for c in ("n", "doc_id", "component", "mine"))
         marks = np.stack([group[c][order] for c in _SKETCH], 1).view("u8")
+        wide = group["wide"][order]
+        short: dict[tuple[int, int], int] = {}  # (entry, bytes) → its sketch as a number
+
+        def number(k: int, size: int) -> int:
+            if (k, size) not in short:
+                short[k, size] = int.from_bytes(folded(wide[k], size), "little")
+            return short[k, size]
+
+        joined = _Joined()
         between = group["i"][0] != group["j"][0]
         found_a, found_b = [], []
         ends = np.searchsorted(n, n * 100 // threshold, "right")
@@ -332,13 +364,20 @@ def _block_pairs(lists: DataFrame, marks: DataFrame, threshold: int) -> DataFram
             if len(other):
                 far = np.bitwise_count(marks[other] ^ marks[k]).sum(1, dtype=np.int64)
                 other = other[far * (100 + threshold) <= (n[other] + n[k]) * (100 - threshold)]
-                found_a.append(np.full(len(other), ids[k]))
-                found_b.append(ids[other])
-        none = [np.zeros(0, "i8")]
-        return np.concatenate(found_a or none), np.concatenate(found_b or none)
+                for o in other.tolist():
+                    a, b = joined.root(int(comp[k])), joined.root(int(comp[o]))
+                    if a == b:
+                        continue
+                    size = min(len(wide[k]), len(wide[o]))
+                    if (number(k, size) ^ number(o, size)).bit_count() * (100 + threshold) <= int(n[o] + n[k]) * (100 - threshold):
+                        found_a.append(ids[k])
+                        found_b.append(ids[o])
+                        if forest:
+                            joined[a] = b
+        return np.array(found_a, "i8"), np.array(found_b, "i8")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "i", "j", "mine", "doc_id", "n", "component", *_SKETCH]
+        names = ["key", "i", "j", "mine", "doc_id", "n", "component", *_SKETCH, "wide"]
         held: list[dict[str, np.ndarray]] = []  # rows of the group that the last batch ended in: at most two blocks
 
         def pairs(rows: dict[str, np.ndarray], cuts: np.ndarray):
@@ -394,8 +433,17 @@ def jaccard_components(docs: DataFrame, size: int = 3, threshold: int = 90) -> D
             return lists.withColumn("component", F.col("doc_id"))
         return lists.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
-    for salt in (0, 1, None):
-        pairs = _block_pairs(labelled(), marks, threshold) if salt is None else _hub_pairs(labelled(), marks, threshold, salt)
+    def folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = pa.array([folded(w, BLOCK_SKETCH) for w in batch.column("wide").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], wide], names=batch.schema.names)
+
+    for step in (0, 1, "forest", "rest"):
+        if isinstance(step, int):
+            pairs = _hub_pairs(labelled(), marks, threshold, step)
+        else:
+            marked = signed.select(*marks.columns, "wide").mapInArrow(folds, signed.select(*marks.columns, "wide").schema)
+            pairs = _block_pairs(labelled(), marked, threshold, step == "forest")
         new = _verified(_likely(pairs, signed, threshold), texts, size, threshold)
         links = new if links is None else links.unionByName(new)
         found = stored(components(links), "components")
@@ -409,5 +457,5 @@ def jaccard_components(docs: DataFrame, size: int = 3, threshold: int = 90) -> D
 def keep_one_of_each(docs: DataFrame, size: int = 3, threshold: int = 90) -> DataFrame:
     """``docs`` with one document (the smallest doc_id) of each component, with its own columns; null doc_ids stay."""
     grouped = jaccard_components(docs, size, threshold).where("doc_id = component_id or doc_id is null")
-    kept = stored(grouped.select(F.col("doc_id").alias("_id")).distinct(), "kept")
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    kept = stored(grouped.select(F.col("doc_id").alias("kept_id")).distinct(), "kept").alias("kept")
+    return docs.alias("docs").join(kept, F.col("docs.doc_id").cast("long").eqNullSafe(F.col("kept.kept_id")), "left_semi")

@@ -130,3 +130,63 @@ def test_pivot_index_finds_all_links(spark, monkeypatch):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (1000, 1001, 1002, 1003, 1004, 1005, 1008))
     assert got[1007]["component_id"] == 1006 and not got[1007]["kept"]
     assert pivot_dedup.near_duplicates(table.limit(0)).count() == 0
+
+
+def test_alike_unlinked_sets_do_not_come_out_of_the_blocks(spark, monkeypatch):
+    """80 texts of 2,000 words share 1,600 of them (0.67 alike, unlinked); each has copies with a word changed."""
+    rnd = random.Random(6)
+    common = [f"c{i}" for i in range(1600)]
+    rows = []
+    for i in range(80):
+        words = common + [f"o{i}x{k}" for k in range(400)]
+        for k in range(3):
+            copy = list(words)
+            if k:
+                copy[rnd.randrange(1600, 2000)] = f"n{i}x{k}"
+            rows.append((i * 10 + k, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    real, made = jaccard_join._block_pairs, []
+
+    def counted(lists, marks, threshold, forest):
+        out = real(lists, marks, threshold, forest).cache()
+        made.append((forest, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_block_pairs", counted)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == {i: i - i % 10 for i in got} and len(got) == 240
+    assert [f for f, _ in made] == [True, False] and made[0][1] <= 160 and made[1][1] == 0
+
+
+def test_a_forest_whose_links_fail_is_made_up_for(spark, monkeypatch):
+    """Where every forest pair turns out not to link, the second scan still finds all links."""
+    rnd = random.Random(7)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(40):
+        copy = list(base)
+        for _ in range(rnd.randint(0, 3)):
+            copy[rnd.randrange(60)] = f"x{rnd.randrange(30)}"
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs, 1, 90).collect()}
+    real, calls = jaccard_join._verified, []
+
+    def fails(pairs, *args):
+        calls.append(1)
+        out = real(pairs, *args)
+        return out.limit(0) if len(calls) < 4 else out
+
+    monkeypatch.setattr(jaccard_join, "_verified", fails)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs, 1, 90).collect()} == plain
+    assert len(calls) == 4 and len(set(plain.values())) < 40
+
+
+def test_folded_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(2)
+    a, b = (np.unique(rng.integers(0, 2 ** 63, n).astype("u8")) for n in (900, 9000))
+    b = np.union1d(a, b)
+    x, y = jaccard_join.wide_sketch(a), jaccard_join.wide_sketch(b)
+    for size in (64, 128, 1024):
+        assert jaccard_join.folded(jaccard_join.folded(y, 1024), size) == jaccard_join.folded(y, size)
+        assert jaccard_join.distance_bound(jaccard_join.folded(x, size), jaccard_join.folded(y, size)) <= len(b) - len(a)
