@@ -11,4 +11,4 @@ def test_catalog_consistency():
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
     core = {q for q in qs if not q.startswith("op") and q != "pipeline"}
-    assert len(core) == 155 and all(callable(f) for f in qs.values())
+    assert len(core) == 156 and all(callable(f) for f in qs.values())
