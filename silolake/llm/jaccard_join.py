@@ -21,11 +21,11 @@ in blocks. A pair must pass the size bound and a 512-bit parity sketch, whose
 distance never exceeds the size of the symmetric difference, and then a wider
 one of two bits per element: these tests are lossless, and both are made inside
 the block. A first scan puts out a spanning forest of the pairs that pass, at
-most one row less than a block has sets; the links among them join nearly all
-components that belong together. A second scan puts out every pair that passes
-and still lies between two components, so nothing is lost where a pair of the
-forest did not link after all. Verification counts the common elements of
-64-bit hashed n-grams.
+most one row less than a block has sets. Where all of its pairs link, the list holds no
+other link between components; a second scan of the lists in which one did not
+puts out every pair that passes and still lies between two components, so
+nothing is lost. Verification counts the common elements of 64-bit hashed
+n-grams.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; with
 fewer than ``size`` words the whole sequence is the one element; null, empty
@@ -53,7 +53,7 @@ FREQUENT = 1 << 19
 BLOCK = 512
 SKETCH_WORDS = 8
 #: Bytes of the wide sketch that go through the blocks with each entry; larger sets' sketches are folded to it.
-BLOCK_SKETCH = 1 << 10
+BLOCK_SKETCH = 1 << 9
 #: Cells of the map that keeps texts without a candidate out of verification: at most so many numbers reach the driver.
 CELLS = 1 << 22
 
@@ -331,22 +331,36 @@ class _Joined(dict):
 
 
 def _block_pairs(lists: DataFrame, marks: DataFrame, threshold: int, forest: bool) -> DataFrame:
-    """Distinct close pairs of different components in each list, or a spanning forest of them in each pair of blocks.
+    """(a, b, key): close pairs of different components in each list, or a spanning forest of them in each pair of blocks.
 
-    Long lists are dealt out as pairs of blocks; ``marks`` has the sketches.
+    Long lists are dealt out as pairs of blocks; ``marks`` has the sketches (``wide``, at least 64 bytes).
     """
     sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     open_lists = sizes.where("lo <> hi").select("key", F.ceil(F.col("c") / BLOCK).alias("blocks"))
     rows = lists.join(open_lists, "key").join(marks, "doc_id")
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine"), "doc_id", "n", "component", *_SKETCH, "wide")
-
-    def close(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine"), "doc_id",
+                       F.col("n").cast("int").alias("n"), "component", "wide")
+    names = rows.columns
+
+    def narrow(wide: np.ndarray) -> np.ndarray:
+        """All sketches folded to 64 bytes, in eight numbers each."""
+        out = np.empty((len(wide), 64), np.uint8)
+        size = np.fromiter(map(len, wide), np.int64, len(wide))
+        for length in np.unique(size).tolist():
+            at = np.flatnonzero(size == length)
+            x = np.frombuffer(b"".join(wide[at]), np.uint8).reshape(-1, length)
+            while x.shape[1] > 64:
+                x = x[:, :x.shape[1] // 2] ^ x[:, x.shape[1] // 2:]
+            out[at] = x
+        return out.view("u8")
+
+    def close(group: dict[str, np.ndarray]) -> tuple[list[int], list[int]]:
         order = np.argsort(group["n"], kind="stable")
-        n, ids, comp, mine = (group[c][order] for c in ("n", "doc_id", "component", "mine"))
-        marks = np.stack([group[c][order] for c in _SKETCH], 1).view("u8")
-        wide = group["wide"][order]
+        n, ids, comp, mine, wide = (group[c][order] for c in ("n", "doc_id", "component", "mine", "wide"))
+        n = n.astype(np.int64)
+        marks = narrow(wide)
         short: dict[tuple[int, int], int] = {}  # (entry, bytes) → its sketch as a number
 
         def number(k: int, size: int) -> int:
@@ -370,21 +384,24 @@ def _block_pairs(lists: DataFrame, marks: DataFrame, threshold: int, forest: boo
                         continue
                     size = min(len(wide[k]), len(wide[o]))
                     if (number(k, size) ^ number(o, size)).bit_count() * (100 + threshold) <= int(n[o] + n[k]) * (100 - threshold):
-                        found_a.append(ids[k])
-                        found_b.append(ids[o])
+                        found_a.append(int(min(ids[k], ids[o])))
+                        found_b.append(int(max(ids[k], ids[o])))
                         if forest:
                             joined[a] = b
-        return np.array(found_a, "i8"), np.array(found_b, "i8")
+        return found_a, found_b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "i", "j", "mine", "doc_id", "n", "component", *_SKETCH, "wide"]
         held: list[dict[str, np.ndarray]] = []  # rows of the group that the last batch ended in: at most two blocks
 
         def pairs(rows: dict[str, np.ndarray], cuts: np.ndarray):
-            parts = [close({c: v[a:b] for c, v in rows.items()}) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1]
-            a, b = (np.concatenate([p[i] for p in parts] or [np.zeros(0, "i8")]) for i in (0, 1))
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            a, b, key = [], [], []
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if y - x > 1:
+                    some = close({c: v[x:y] for c, v in rows.items()})
+                    a += some[0]
+                    b += some[1]
+                    key += [int(rows["key"][x])] * len(some[0])
+            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a, b, key)], names=["a", "b", "key"])
 
         for batch in batches:
             new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
@@ -399,7 +416,7 @@ def _block_pairs(lists: DataFrame, marks: DataFrame, threshold: int, forest: boo
         give_back()
 
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, key long")
 
 
 def jaccard_components(docs: DataFrame, size: int = 3, threshold: int = 90) -> DataFrame:
@@ -428,25 +445,33 @@ def jaccard_components(docs: DataFrame, size: int = 3, threshold: int = 90) -> D
     links = None
     found = None  # (id, component) so far
 
-    def labelled() -> DataFrame:
+    def labelled(rows: DataFrame) -> DataFrame:
         if found is None:
-            return lists.withColumn("component", F.col("doc_id"))
-        return lists.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+            return rows.withColumn("component", F.col("doc_id"))
+        return rows.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
     def folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wide = pa.array([folded(w, BLOCK_SKETCH) for w in batch.column("wide").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], wide], names=batch.schema.names)
-
-    for step in (0, 1, "forest", "rest"):
-        if isinstance(step, int):
-            pairs = _hub_pairs(labelled(), marks, threshold, step)
-        else:
-            marked = signed.select(*marks.columns, "wide").mapInArrow(folds, signed.select(*marks.columns, "wide").schema)
-            pairs = _block_pairs(labelled(), marked, threshold, step == "forest")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), wide], names=["doc_id", "n", "wide"])
+
+    block_marks = signed.select("doc_id", "n", "wide").mapInArrow(folds, "doc_id long, n long, wide binary")
+
+    def join(pairs: DataFrame) -> DataFrame:
+        nonlocal links, found
         new = _verified(_likely(pairs, signed, threshold), texts, size, threshold)
         links = new if links is None else links.unionByName(new)
         found = stored(components(links), "components")
+        return new
+
+    for salt in (0, 1):
+        join(_hub_pairs(labelled(lists), marks, threshold, salt))
+    forest = stored(_block_pairs(labelled(lists), block_marks, threshold, True), "forest")
+    linked = join(forest.select("a", "b").distinct())
+    # where a pair of the forest does not link, others of its list may
+    failed = stored(forest.join(linked, ["a", "b"], "left_anti").select("key").distinct(), "failed")
+    rest = lists.join(failed, "key", "left_semi")
+    join(_block_pairs(labelled(rest), block_marks, threshold, False).select("a", "b").distinct())
     labels = first.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("n", "x", "y", F.coalesce("component", "rep").alias("component_id"))
     same = each.where("n > 0 and doc_id is not null").join(labels, ["n", "x", "y"])
     alone = each.where("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
