@@ -173,10 +173,13 @@ def test_pipeline_keeps_columns_and_drops_copies(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SMALL).cache()
         assert out.columns == columns
+        if name == "exact_dedup":
+            stages_texts = docs.selectExpr("coalesce(text, '')").distinct().count()
         stages.append((name, docs.count(), out.count()))
         docs = out
     (_, n, clean), (_, _, once), (_, _, apart), (_, _, mixed) = stages
-    assert n >= clean >= once >= apart <= mixed and once == clean - (clean - stages[1][2])
+    assert n >= clean >= once >= apart <= mixed
+    assert once == stages_texts and apart < once  # of equal texts one stays; near copies go
     coded = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
     assert coded.count() == mixed
 
