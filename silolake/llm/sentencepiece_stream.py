@@ -14,9 +14,10 @@ at. Backpointers older than the boundary on which all surviving paths converge
 are committed as ids and dropped, so a text of any length needs a short window.
 
 When no piece has a word-start mark after another character (checked), all
-paths converge before each word. Then the short words that a batch has for the
-first time are searched together, in step, and their ids are remembered in a
-bounded memo; long words and unusual spacing go through the stream.
+paths converge before each word. Then Arrow numbers the words of a batch, the
+short ones that are new are searched together, in step, and their ids are kept
+in a bounded table; long words and unusual spacing go through the stream, in
+chunks of ``CHUNK`` characters.
 
 Normalisation: identity with a dummy prefix; a space becomes the mark U+2581.
 Decoding reverses it exactly, except that the mark itself comes back as a space.
@@ -30,18 +31,23 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_BYTES, batches_of, ship_package, text_or_empty, tokenizer_path
-from .viterbi import WordMemo, WordSearch
+from .common import batches_of, ship_package, text_or_empty, tokenizer_path
+from .viterbi import WordSearch, WordTable
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Longer words go through the stream each time.
 MEMO_WORD = 40
-#: Words that an encoder remembers, in each of two generations.
-MEMO_ENTRIES = 50_000
+#: Words that an encoder remembers before its table starts anew.
+MEMO_ENTRIES = 200_000
+#: Bytes of text that are cut into words at once.
+BATCH_BYTES = 4 << 20
+#: Characters that the stream takes in at once.
+CHUNK = 1 << 12
 
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
@@ -83,9 +89,11 @@ class Vocabulary:
         return MARK + text if self.prefix and text else text
 
 
-def plain_words(v: Vocabulary, text: str) -> bool:
-    """``text`` is words with one space between them, and all paths converge before each word."""
-    return v.by_word and v.prefix and text != "" and "  " not in text and MARK not in text and text[0] != " " and text[-1] != " "
+def plain_words(v: Vocabulary, texts: pa.Array) -> np.ndarray:
+    """Which ``texts`` are words with one space between them, and all paths converge before each word."""
+    if not (v.by_word and v.prefix):
+        return np.zeros(len(texts), bool)
+    return ~pc.match_substring_regex(texts, rf"\A\z|\A | \z|  |{MARK}").to_numpy(zero_copy_only=False)
 
 
 def segments(v: Vocabulary, text: str) -> Iterator[str]:
@@ -100,11 +108,11 @@ class Encoder:
         #: every beginning of a piece: () or, for a whole piece, (id, score)
         self.tree: dict[str, tuple] = {p[:k]: () for p in vocabulary.pieces for k in range(1, len(p) + 1)} | vocabulary.pieces
         self.window = 0  # the most positions that were held back
-        self._words = WordMemo(WordSearch(vocabulary, MARK).ids, lambda w: self._packed(self.search([MARK + w])), MEMO_WORD, MEMO_ENTRIES)
+        self._words = WordTable(WordSearch(vocabulary, MARK).ids, lambda w: self._streamed(MARK + w), MEMO_WORD, MEMO_ENTRIES, "<u4")
 
-    @staticmethod
-    def _packed(parts: Iterable[list[int]]) -> bytes:
-        return b"".join([np.array(p, "<u4").tobytes() for p in parts])
+    def _streamed(self, text: str) -> bytes:
+        chunks = (text[k:k + CHUNK] for k in range(0, len(text), CHUNK))
+        return b"".join([np.array(p, "<u4").tobytes() for p in self.search(chunks)])
 
     def search(self, chunks: Iterable[str]) -> Iterator[list[int]]:
         """Ids of the normalised text that ``chunks`` make up, in the parts in which they are committed."""
@@ -177,16 +185,15 @@ class Encoder:
         out.reverse()
         return out
 
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text as u32."""
-        v = self.v
-        cut = [t.split(" ") if plain_words(v, t) else None for t in texts]
-        known = self._words.learn(filter(None, cut))
-        parts = [map(known, ws) if ws else (self._packed(self.search([s])) for s in segments(v, text)) for text, ws in zip(texts, cut, strict=True)]
-        return [np.frombuffer(b"".join(p), "<u4") for p in parts]
+        plain = plain_words(self.v, texts)
+        flat, ends = self._words.encode(pc.split_pattern(texts.filter(pa.array(plain)), " "))
+        worded = iter(np.split(flat, ends[:-1]))
+        return [next(worded) if p else np.frombuffer(b"".join(map(self._streamed, segments(self.v, text.as_py()))), "<u4") for p, text in zip(plain, texts, strict=True)]
 
     def encode(self, text: str) -> np.ndarray:
-        return self.encode_all([text])[0]
+        return self.encode_all(pa.array([text], pa.string()))[0]
 
     def decode(self, ids: Iterable[int]) -> str:
         text = b"".join(map(self.v.surface.__getitem__, ids)).decode("utf-8", "replace")
@@ -214,16 +221,15 @@ def encode_documents(docs: DataFrame, model: str | None = None, ids: bool = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(model)
-        for batch in batches_of(batches, TEXT_BYTES):
-            texts = batch.column("text").to_pylist()
-            coded = made.encode_all(texts)
+        for batch in batches_of(batches, BATCH_BYTES):
+            coded = made.encode_all(batch.column("text"))
             out = [batch.column("doc_id"), pa.array([len(c) for c in coded], pa.int64())]
             if ids:
                 ends = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype("i4")
                 flat = np.concatenate(coded) if coded else np.zeros(0, "<u4")
                 out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype("i4"))))
             if digest:
-                same = [made.decode(c.tolist()) == t.replace(MARK, " ") for c, t in zip(coded, texts, strict=True)]
+                same = [made.decode(c.tolist()) == t.replace(MARK, " ") for c, t in zip(coded, batch.column("text").to_pylist(), strict=True)]
                 out += [pa.array([zlib.crc32(c.tobytes()) for c in coded], pa.int64()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(out, names=[c.split()[0] for c in schema.split(", ")])
 

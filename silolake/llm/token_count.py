@@ -23,9 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import TEXT_BYTES, batches_of, ship_package, text_or_empty, tokenizer_path
-from .sentencepiece_stream import MARK, MEMO_ENTRIES, MEMO_WORD, Vocabulary, plain_words, segments
+from .sentencepiece_stream import MARK, MEMO_WORD, Vocabulary, segments
 from .viterbi import WordMemo, WordSearch
 
+#: Words that a counter remembers, in each of two generations.
+MEMO_ENTRIES = 50_000
+
+
+def _plain(v: Vocabulary, text: str) -> bool:
+    """``text`` is words with one space between them, and all paths converge before each word."""
+    return v.by_word and v.prefix and text != "" and "  " not in text and MARK not in text and text[0] != " " and text[-1] != " "
+
 
 class Counter:
     def __init__(self, vocabulary: Vocabulary):
@@ -68,7 +76,7 @@ class Counter:
 
     def count_all(self, texts: list[str]) -> list[int]:
         v = self.v
-        cut = [t.split(" ") if plain_words(v, t) else None for t in texts]
+        cut = [t.split(" ") if _plain(v, t) else None for t in texts]
         known = self._words.learn(filter(None, cut))
         return [sum(map(known, ws) if ws else map(self.stream, segments(v, text))) for text, ws in zip(texts, cut, strict=True)]
 

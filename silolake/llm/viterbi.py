@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 #: Words searched together; bounds the match arrays.
 BLOCK_WORDS = 8192
@@ -58,7 +59,7 @@ class WordSearch:
         adds = np.concatenate([np.ones(len(piece), np.int64), width])
         end = last + word[last] + 1  # boundaries: one more than characters in each word
         step = (last - first[word[last]] + 1) * (self.v.longest + 1) + self.v.longest - length
-        order = np.argsort(step, kind="stable")
+        order = np.argsort(step.astype(np.min_scalar_type(int(step.max(initial=0)))), kind="stable")  # few values: a counting sort
         end, length, score, ident, adds, step = (x[order] for x in (end, length, score, ident, adds, step))
         start = end - length
         best = np.full(len(text) + len(words), -np.inf)
@@ -133,3 +134,52 @@ class WordMemo(dict):
         if new:
             self.update(zip(new, self._find(new), strict=True))
         return self.__getitem__
+
+
+class WordTable:
+    """Ids of words, laid end to end under the words' numbers; Arrow numbers the distinct words of a batch.
+
+    ``find`` gives the ids of many short words, ``one`` those of one word, as raw
+    bytes of ``kind``. Words of more than ``longest`` characters are held for
+    their batch alone; with ``entries`` words the table starts anew.
+    """
+
+    def __init__(self, find: Callable[[list[str]], list[bytes]], one: Callable[[str], bytes], longest: int, entries: int, kind: str):
+        self._find, self._one, self._longest, self._entries, self._kind = find, one, longest, entries, np.dtype(kind)
+        self._forget()
+
+    def _forget(self) -> None:
+        self._number: dict[str, int] = {}
+        self._flat, self._size = np.zeros(0, self._kind), np.zeros(0, np.int64)
+
+    def _add(self, raws: list[bytes], flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws)) // self._kind.itemsize
+        return np.concatenate([flat, np.frombuffer(b"".join(raws), self._kind)]), np.concatenate([size, sizes])
+
+    def _numbers(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The number of each of the distinct ``words``, and the ids and sizes that the numbers stand for."""
+        if len(self._number) >= self._entries:
+            self._forget()
+        got = list(map(self._number.get, words))
+        missing = [w for w, i in zip(words, got, strict=True) if i is None]
+        new, long = sorted(w for w in missing if len(w) <= self._longest), [w for w in missing if len(w) > self._longest]
+        if new:
+            self._flat, self._size = self._add(self._find(new), self._flat, self._size)
+            self._number.update(zip(new, range(len(self._number), len(self._size)), strict=True))
+        flat, size = self._flat, self._size
+        if long:
+            flat, size = self._add(list(map(self._one, long)), flat, size)
+        if missing:
+            number = self._number | dict(zip(long, range(len(self._size), len(size)), strict=True)) if long else self._number
+            got = list(map(number.__getitem__, words))
+        return np.fromiter(got, np.int64, len(got)), flat, size
+
+    def encode(self, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all lists of words end to end, and where each list's ids end."""
+        coded = words.flatten().dictionary_encode()
+        number, flat, size = self._numbers(coded.dictionary.to_pylist())
+        word = number[coded.indices.to_numpy()]
+        n = size[word]
+        ends = np.cumsum(n)
+        at = np.arange(int(n.sum())) + np.repeat((np.cumsum(size) - size)[word] - (ends - n), n)
+        return flat[at], np.append(0, ends)[np.cumsum(words.value_lengths().to_numpy())]
