@@ -30,20 +30,21 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches_of, open_input, open_output, shared_folder, ship_package, stored, text_or_empty, tokenizer_path
 from .mphf import Mphf
-from .viterbi import WordMemo
+from .viterbi import WordTable
 
 MAGIC = b"SILOTOK1"
 HEADER = 32
 BUCKET_KEYS = 4096
 #: Longer pieces are encoded each time.
 MEMO_PIECE = 40
-#: Pieces of a memo generation: ids are short, so more fit than in other memos.
-MEMO_PIECES = 400_000
+#: Pieces that an encoder remembers before its table starts anew.
+MEMO_PIECES = 600_000
 #: Missing pieces that the library encodes as one text.
 JOINED_PIECES = 512
 
@@ -68,19 +69,19 @@ def header(width: int, ids: int) -> bytes:
 _ENCODERS: dict[str, tuple] = {}
 
 
-def encoder(path: str) -> tuple[Callable[[list[str]], list[bytes]], int]:
+def encoder(path: str) -> tuple[Callable[[pa.Array], list[bytes]], int]:
     """One encoder, with its memo, per worker process and vocabulary."""
     if path not in _ENCODERS:
         _ENCODERS[path] = byte_bpe_encoder(path)
     return _ENCODERS[path]
 
 
-def byte_bpe_encoder(path: str) -> tuple[Callable[[list[str]], list[bytes]], int]:
+def byte_bpe_encoder(path: str) -> tuple[Callable[[pa.Array], list[bytes]], int]:
     """A function from texts to raw ids with the ``tokenizers`` library, and the id width in bytes.
 
     The byte-level pre-tokenizer always ends a pre-token where a space follows
-    a non-space, so a text is cut there and each distinct piece is encoded by
-    the library once per worker (a bounded memo). Missing pieces go through the
+    a non-space, so Arrow cuts a text there, numbers the pieces of a batch, and
+    the library encodes each once per worker (a bounded table). Missing pieces go through the
     library joined to one text; tokens are spelled in one character per byte,
     so the bytes they cover tell where each piece ends. A vocabulary with another
     pre-tokenizer or a normalizer, and a text with a run of spaces or an added
@@ -125,14 +126,18 @@ def byte_bpe_encoder(path: str) -> tuple[Callable[[list[str]], list[bytes]], int
             out += together(words[k:k + JOINED_PIECES])
         return out
 
-    # pieces of a batch by what stands after their space; a text's first piece has none before it
-    memo = WordMemo(pieces, lambda word: whole(" " + word), MEMO_PIECE, MEMO_PIECES)
+    # pieces by what stands after their space; a text's first piece has none before it
+    table = WordTable(pieces, lambda word: whole(" " + word), MEMO_PIECE, MEMO_PIECES, f"<u{width}")
 
-    def encode(texts: list[str]) -> list[bytes]:
-        plain = [splits and "  " not in t and not any(a in t for a in added) for t in texts]
-        cut = [t.split(" ") if p else [t] for t, p in zip(texts, plain, strict=True)]
-        known = memo.learn(c[1:] for c in cut)  # a last space is an empty piece after its space
-        return [whole(c[0]) + b"".join(map(known, c[1:])) for c in cut]
+    def encode(texts: pa.Array) -> list[bytes]:
+        odd = np.full(len(texts), not splits)
+        for cut in ("  ", *added):
+            odd |= pc.match_substring(texts, cut).to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        flat, ends = table.encode(pc.list_slice(cut, 1))  # a last space is an empty piece after its space
+        begun = iter(library(pc.list_element(cut, 0).to_pylist()))
+        rest = iter(np.split(flat, ends[:-1]))
+        return [whole(t.as_py()) if o else next(begun) + next(rest).tobytes() for o, t in zip(odd, texts, strict=True)]
 
     return encode, width
 
@@ -151,7 +156,7 @@ def _writer(folder: str, vocabulary: str, end_id: int | None):
                 end = b"" if end_id is None else np.array([end_id], f"<u{width}").tobytes()
             ids = batch.column("doc_id").to_pylist()
             ats, sizes, nths = [], [], []
-            for doc_id, raw in zip(ids, encode(batch.column("text").to_pylist()), strict=True):
+            for doc_id, raw in zip(ids, encode(batch.column("text")), strict=True):
                 out.write(raw + end)
                 n = (len(raw) + len(end)) // width
                 nth = nth + 1 if doc_id == last else 0

@@ -119,6 +119,29 @@ def test_stream_window_stays_short(encoder):
     assert encoder.window <= 8 * encoder.v.longest
 
 
+def test_word_table_starts_anew_and_long_words_stream(encoder, monkeypatch):
+    small = sentencepiece_stream.Encoder(encoder.v)
+    small._words._entries = 3
+    long = "x" * (2 * sentencepiece_stream.CHUNK + 7)
+    for text in ["the thonre erheou", f"ntti {long} the", "was is the\u2581 a", long, " lead", "a b c d e f g"]:
+        assert small.encode(text).tolist() == encoder.encode(text).tolist() == plain_viterbi(encoder.v, encoder.v.normalised(text))
+    assert len(small._words._number) <= 2 + 7 and long not in small._words._number
+
+
+def test_byte_pieces_equal_the_library():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    encode, width = token_store.byte_bpe_encoder(path)
+    texts = ["", " ", "a", " a", "a ", "a  b", "x" * 50 + " y", "new\nline tab\t end ", "\u00e4\u6f22 \U0001f600!", *TEXTS]
+    for _ in range(2):
+        got = encode(pa.array(texts, pa.string()))
+        assert [np.frombuffer(g, f"<u{width}").tolist() for g in got] == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert encode(pa.array([], pa.string())) == []
+
+
 def test_library_agrees_on_the_best_segmentation(encoder):
     sentencepiece = pytest.importorskip("sentencepiece")
     from sentencepiece import sentencepiece_model_pb2
