@@ -86,9 +86,10 @@ def mask(side: str) -> Column:
 def swapped_replies(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Preference pairs from a table of conversations (conv_id, turn, role, text).
 
-    Chosen: each conversation up to its last assistant turn. Rejected: the same
-    with that reply replaced by the last reply of the neighbouring conversation
-    (conv_id with its last bit flipped; empty where there is none).
+    Chosen: each conversation as it is. Rejected: the same with its last
+    assistant reply replaced by that of the neighbouring conversation (conv_id
+    with its last bit flipped; empty where there is none). Turns after that
+    reply belong to both completions.
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("pair_id"), F.col("turn").cast("long").alias("turn"),
                                 F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -96,7 +97,7 @@ def swapped_replies(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = last.select(F.col("pair_id").alias("id"), F.col("reply.turn").alias("last"))
     others = last.select(F.col("pair_id").bitwiseXOR(F.lit(1).cast("long")).alias("id"), F.col("reply.text").alias("other"))
     ends = ends.join(others, "id", "left")
-    known = rows.join(ends, F.col("pair_id").eqNullSafe(F.col("id")), "left").where("last is null or turn is null or turn <= last")
+    known = rows.join(ends, F.col("pair_id").eqNullSafe(F.col("id")), "left")
     reply = (F.col("role") == "assistant") & F.col("turn").eqNullSafe(F.col("last")) & F.col("last").isNotNull()
     swapped = F.when(reply, F.coalesce("other", F.lit(""))).otherwise(F.col("text"))
     return known.select("pair_id", "turn", "role", "text"), known.select("pair_id", "turn", "role", swapped.alias("text"))

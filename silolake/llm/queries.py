@@ -118,8 +118,7 @@ ORACLES: dict[str, str] = {
              l AS (SELECT pair_id, max(turn) AS last FROM c WHERE role = 'assistant' GROUP BY 1),
              r AS (SELECT c.pair_id, max(c.text) AS reply FROM c JOIN l ON c.pair_id = l.pair_id AND c.turn = l.last AND role = 'assistant' GROUP BY 1),
              k AS (SELECT c.*, l.last, CASE WHEN c.role = 'assistant' AND c.turn = l.last THEN coalesce(o.reply, '') ELSE c.text END AS swap
-                   FROM c LEFT JOIN l USING (pair_id) LEFT JOIN r AS o ON o.pair_id = xor(c.pair_id, 1)
-                   WHERE l.last IS NULL OR c.turn <= l.last),
+                   FROM c LEFT JOIN l USING (pair_id) LEFT JOIN r AS o ON o.pair_id = xor(c.pair_id, 1)),
              s AS (SELECT pair_id, min(turn) FILTER (text <> swap) AS split FROM k GROUP BY 1),
              j AS (SELECT k.*, s.split IS NULL OR k.turn < s.split AS common, '<|' || role || '|>' || chr(10) AS head, '<|end|>' || chr(10) AS tail,
                           CASE WHEN role = 'assistant' THEN '1' ELSE '0' END AS loss FROM k JOIN s USING (pair_id))

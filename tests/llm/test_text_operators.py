@@ -64,6 +64,17 @@ def test_preference_pairs(spark):
     assert got[4]["chosen"] == [] and chat_preference.preference_pairs(chosen.limit(0), rejected.limit(0)).count() == 0
 
 
+def test_turns_after_the_swapped_reply_stay_on_both_sides(spark):
+    rows = [(2, 0, "user", "q"), (2, 1, "assistant", "good"), (2, 2, "user", "thanks"), (2, 3, "user", "bye"), (3, 0, "assistant", "other"), (5, 0, "user", "u")]
+    pairs = chat_preference.preference_pairs(*chat_preference.swapped_replies(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")))
+    got = {r["pair_id"]: r for r in pairs.collect()}
+    after = [("<|user|>\n", False), ("thanks<|end|>\n", False), ("<|user|>\n", False), ("bye<|end|>\n", False)]
+    assert got[2]["prompt_turns"] == 1
+    assert [tuple(s) for s in got[2]["chosen"]] == [("<|assistant|>\n", False), ("good<|end|>\n", True), *after]
+    assert [tuple(s) for s in got[2]["rejected"]] == [("<|assistant|>\n", False), ("other<|end|>\n", True), *after]
+    assert (got[5]["prompt_turns"], got[5]["chosen"], got[5]["rejected"]) == (1, [], [])
+
+
 def test_chat_plan_is_native(spark):
     conversations = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn int, role string, text string")
     plan = chat_preference.preference_pairs(*chat_preference.swapped_replies(conversations))._jdf.queryExecution().executedPlan().toString()
