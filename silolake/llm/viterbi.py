@@ -181,5 +181,8 @@ class WordTable:
         word = number[coded.indices.to_numpy()]
         n = size[word]
         ends = np.cumsum(n)
-        at = np.arange(int(n.sum())) + np.repeat((np.cumsum(size) - size)[word] - (ends - n), n)
+        total = int(n.sum())
+        index = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+        at = np.repeat(((np.cumsum(size) - size)[word] - (ends - n)).astype(index), n)
+        at += np.arange(total, dtype=index)
         return flat[at], np.append(0, ends)[np.cumsum(words.value_lengths().to_numpy())]
