@@ -7,7 +7,7 @@ so a hot score value costs nothing — and cumulative counts come from
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from silolake.operators.ranking import cumulative_desc
@@ -30,12 +30,22 @@ def _agg(curve: DataFrame, by: list[str], *cols):
     return curve.groupBy(*by).agg(*cols) if by else curve.groupBy("_all").agg(*cols).drop("_all")
 
 
+# Shares are taken row by row, before the group is known to have both classes: without one they are null, in ANSI mode too.
+
+def _precision_step() -> Column:
+    return F.try_divide("pos", "P") * F.try_divide("cum_pos", F.col("cum_pos") + F.col("cum_neg"))
+
+
+def _best_recall(max_fpr: float) -> Column:
+    ok = F.try_divide("cum_neg", "N") <= F.lit(max_fpr)
+    return F.coalesce(F.max(F.when(ok, F.try_divide("cum_pos", "P"))), F.lit(0.0))
+
+
 def auc_pr(df: DataFrame, by: list[str] = (), score: str = "score", label: str = "label") -> DataFrame:
     """Average precision Σ (R_k − R_{k−1})·P_k over distinct thresholds (NULL without positives)."""
     by = list(by)
     c = score_curve(df, by, score, label)
-    term = (F.col("pos") / F.col("P")) * (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))
-    return _agg(c, by, F.when(F.first("P") > 0, F.sum(term)).alias("auc_pr"))
+    return _agg(c, by, F.when(F.first("P") > 0, F.sum(_precision_step())).alias("auc_pr"))
 
 
 def auc_roc(df: DataFrame, by: list[str] = (), score: str = "score", label: str = "label") -> DataFrame:
@@ -53,23 +63,18 @@ def recall_at_fpr(df: DataFrame, by: list[str] = (), max_fpr: float = 0.01, scor
     """Best recall among thresholds whose FPR ≤ max_fpr (0 if none)."""
     by = list(by)
     c = score_curve(df, by, score, label)
-    ok = (F.col("cum_neg") / F.col("N")) <= F.lit(max_fpr)
-    return _agg(c, by, F.when(F.first("P") > 0, F.coalesce(F.max(F.when(ok, F.col("cum_pos") / F.col("P"))), F.lit(0.0)))
-                .alias("recall_at_fpr"))
+    return _agg(c, by, F.when(F.first("P") > 0, _best_recall(max_fpr)).alias("recall_at_fpr"))
 
 
 def classification_report(df: DataFrame, by: list[str] = (), score: str = "score", label: str = "label") -> DataFrame:
     """AUC-ROC, AP and recall@1%FPR from one curve."""
     by = list(by)
     c = score_curve(df, by, score, label)
-    ap = (F.col("pos") / F.col("P")) * (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))
     roc = F.col("pos") * (F.col("N") - F.col("cum_neg") + F.lit(0.5) * F.col("neg"))
-    ok = (F.col("cum_neg") / F.col("N")) <= F.lit(0.01)
     return _agg(c, by,
                 F.when((F.first("P") > 0) & (F.first("N") > 0), F.sum(roc) / (F.first("P") * F.first("N"))).alias("auc_roc"),
-                F.when(F.first("P") > 0, F.sum(ap)).alias("auc_pr"),
-                F.when(F.first("P") > 0, F.coalesce(F.max(F.when(ok, F.col("cum_pos") / F.col("P"))), F.lit(0.0)))
-                .alias("recall_at_fpr"))
+                F.when(F.first("P") > 0, F.sum(_precision_step())).alias("auc_pr"),
+                F.when(F.first("P") > 0, _best_recall(0.01)).alias("recall_at_fpr"))
 
 
 def class_balance(df: DataFrame, by: list[str] = ("silo_id",), label: str = "isFraud") -> DataFrame:
