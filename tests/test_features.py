@@ -66,3 +66,18 @@ def test_stats_and_standardize(spark):
     stats = spark.createDataFrame([("s", "a", 5.0, 5.0), ("s", "b", 15.0, 5.0)], "silo_id string, feature string, mean double, std double")
     z = sorted((r["a"], r["b"]) for r in standardize(x, stats, ["a", "b"]).collect())
     assert z == [(-1.0, -1.0), (1.0, 1.0)]
+
+
+def test_row_frames_equal_the_joined_tables(spark):
+    """The frames over rows are those of the per-step tables, and no table is joined back; null accounts and steps have none."""
+    from silolake.operators import windows as W
+    rows = [(i, f"silo-{i % 2}", f"C{i % 7}" if i % 11 else None, f"S{i % 5}" if i % 13 else None, (i * 37) % 300 if i % 17 else None,
+             float(i % 23) if i % 19 else None) for i in range(700)] + [(3, "silo-1", "C3", "S3", 111, 3.0)] * 2
+    tx = spark.createDataFrame(rows, "event_id long, silo_id string, nameOrig string, nameDest string, step int, amount double")
+    got = W.with_window_features(tx, ("silo_id",))
+    want = tx.join(W.velocity_table(tx, by=("silo_id",)), ["silo_id", "nameOrig", "step"], "left") \
+        .join(W.in_degree_table(tx, by=("silo_id",)), ["silo_id", "nameDest", "step"], "left")
+    cols = sorted(want.columns)
+    assert sorted(got.columns) == cols
+    assert sorted(map(str, got.select(*cols).collect())) == sorted(map(str, want.select(*cols).collect()))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()

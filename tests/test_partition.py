@@ -98,3 +98,39 @@ def test_label_flip_one_silo(spark):
     rates = {r["silo_id"]: r["rate"] for r in j.groupBy("silo_id").agg(F.avg("flip").alias("rate")).collect()}
     assert 0.4 < rates["silo-1"] < 0.6
     assert all(v == 0 for k, v in rates.items() if k != "silo-1")
+
+
+def test_rank_class_equals_ranks_and_shuffles_no_rows(spark, tmp_path):
+    """Classes by rank, with ids that repeat or are null and a null label; rows of buckets without a cut stay where they are."""
+    from pyspark.sql import functions as F
+
+    from silolake.functions.rand import order_key
+    from silolake.operators.partition import dirichlet_partition, distributed_rank, rank_class
+    rows = [(i, "AB"[i % 2], float(i)) for i in range(3000)] + [(7, "B", 7.0), (7, "B", 7.0), (None, "A", 1.0), (5, None, 5.0)]
+    spark.createDataFrame(rows, "event_id long, type string, amount double").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    cuts = [0, 40, 40, 1200]
+    got = rank_class(df, ["type"], order_key(3, "event_id"), "event_id", lambda t: t.withColumn("_at", F.array(*[F.lit(c).cast("long") for c in cuts])), 4, "c")
+    rank = distributed_rank(df, ["type"], order_key(3, "event_id"), "event_id")
+    want = rank.withColumn("c", sum((F.lit(c) < F.col("rn")).cast("int") for c in cuts))
+    assert got.columns == ["type", "event_id", "amount", "c"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+    # only rows of the buckets with a cut reach a sort or an exchange that is not an aggregate or a broadcast
+    split = dirichlet_partition(df, types=["A", "B"])
+    assert split.filter("type is null").count() == 1 and split.count() == 3003
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan
+
+
+def test_public_split_meets_features_without_a_join(spark, tmp_path):
+    from silolake.operators.holdout import public_holdout, with_public_split
+    once = [(i, "ABC"[i % 3], float(i)) for i in range(600)]
+    for name, rows in {"once": once, "twice": once + once[:50]}.items():
+        spark.createDataFrame(rows, "event_id long, type string, x double").write.parquet(str(tmp_path / name))
+        tx = spark.read.parquet(str(tmp_path / name))
+        got = with_public_split(tx, tx, 90)
+        want = tx.join(public_holdout(tx, 90).select("event_id", "split"), "event_id")
+        assert sorted(map(tuple, got.select("event_id", "type", "x", "split").collect())) == sorted(map(tuple, want.select("event_id", "type", "x", "split").collect()))
+        if name == "once":
+            assert got.filter("split = 'public'").count() == 90
+            assert not any(w in got._jdf.queryExecution().executedPlan().toString() for w in ("SortMergeJoin", "ShuffledHashJoin"))
