@@ -9,7 +9,7 @@ exact edges come from ``operators.drift.quantile_edges``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Size parameter of the sketch (a few KB each) and its rank error.
@@ -39,11 +39,17 @@ def sketch_edges(sketches: DataFrame, by: list[str], n_bins: int = 20) -> DataFr
 def rank_errors(df: DataFrame, value: str, by: list[str], edges: DataFrame) -> DataFrame:
     """(by..., p_idx, rank_error): how far each edge's rank in the data is from the one it stands for (0 inside its ties)."""
     n_bins = F.size("edges") - 1
-    e = edges.select(*by, F.posexplode("edges").alias("p_idx", "edge"), n_bins.alias("bins"))
+    e = edges.select(*by, F.posexplode("edges").alias("p_idx", "_edge"), n_bins.alias("bins")).drop("_edge")
     x = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    packed = edges.select(*by, "edges")  # one row per group
-    below = x.join(packed, by).select(*by, F.posexplode(F.transform("edges", lambda q: F.struct((F.col("_v") < q).alias("lt"), (F.col("_v") <= q).alias("le"))))
-                                      .alias("p_idx", "s"))
-    ranks = below.groupBy(*by, "p_idx").agg(F.avg(F.col("s.lt").cast("int")).alias("lt"), F.avg(F.col("s.le").cast("int")).alias("le"))
+    # a value is below the edges behind those that are <= it, and at most the edges behind those that are < it: each row is
+    # reduced to these two places, and only their counts meet the edges
+    at = x.join(edges.select(*by, "edges"), by).select(*by, *[F.size(F.filter("edges", f)).alias(c) for c, f in (
+        ("lt", lambda q: q <= F.col("_v")), ("le", lambda q: q < F.col("_v")))])
+    places = at.groupBy(*by, "lt", "le").agg(F.count(F.lit(1)).alias("_c"))
+
+    def share(place: str) -> Column:
+        return F.sum(F.when(F.col(place) <= F.col("p_idx"), F.col("_c")).otherwise(0)).cast("double") / F.sum("_c").cast("double")
+
+    ranks = places.join(e, by).groupBy(*by, "p_idx", "bins").agg(share("lt").alias("lt"), share("le").alias("le"))
     p = F.col("p_idx") / F.col("bins")
-    return ranks.join(e, [*by, "p_idx"]).select(*by, "p_idx", F.greatest(F.lit(0.0), F.col("lt") - p, p - F.col("le")).alias("rank_error"))
+    return ranks.select(*by, "p_idx", F.greatest(F.lit(0.0), F.col("lt") - p, p - F.col("le")).alias("rank_error"))

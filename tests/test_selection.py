@@ -133,3 +133,26 @@ def test_equal_arrivals_of_a_silo_are_one_update(spark):
     cal = spark.createDataFrame([(0, T0, T0 + dt.timedelta(seconds=60))], "round int, start_ts timestamp, deadline timestamp")
     got = RD.round_updates(upd, cal, spark.createDataFrame([("s0", 1)], "silo_id string, n_rows long")).collect()
     assert [(r["delta"], r["staleness"]) for r in got] == [([2.0], 0)]
+
+
+def test_rank_errors_count_each_row_once(spark):
+    """Rank errors of given edges, with ties, duplicate edges and NaN, against counts in NumPy; rows are not multiplied by the edges."""
+    import numpy as np
+
+    from silolake.operators import sketches as SK
+    rng = np.random.default_rng(4)
+    groups = {g: np.round(rng.normal(size=n), 1) for g, n in (("a", 400), ("b", 37))}
+    groups["b"][:3] = np.nan
+    edges = {"a": [-3.0, -0.5, -0.5, 0.0, 0.7, 4.0], "b": [-1.0, 0.1, 0.2, 2.0]}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None)], "g string, value double")
+    edf = spark.createDataFrame(list(edges.items()), "g string, edges array<double>")
+    err = SK.rank_errors(df, "value", ["g"], edf)
+    got = {(r["g"], r["p_idx"]): r["rank_error"] for r in err.collect()}
+    want = {}
+    for g, vs in groups.items():
+        for i, q in enumerate(edges[g]):
+            p, n = i / (len(edges[g]) - 1), len(vs)
+            want[g, i] = max(0.0, (vs < q).sum() / n - p, p - (vs <= q).sum() / n)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    plan = err._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1  # the edges', not the rows'
