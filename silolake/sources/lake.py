@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from silolake.schemas import DRIFT_ALERTS, RESULTS, ROUNDS, SILO_METRICS, TRANSACTIONS
+from silolake.session import cut_lineage
 
 CORRUPT = "_corrupt"
 
@@ -70,10 +73,41 @@ def results_scan(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
 METRIC_TABLES = {"rounds": ROUNDS, "silo_metrics": SILO_METRICS, "drift_alerts": DRIFT_ALERTS}
 
 
+#: Rounds of one folder of a metrics table: with a folder each, a long run is as many folders, files and renames as rounds.
+ROUNDS_PER_BLOCK = 1024
+
+
+def _stored_metrics(spark: SparkSession, path: str, run_id: str) -> DataFrame | None:
+    """A run's rows as they were written, with their block; None before the first append."""
+    try:
+        found = spark.read.option("mergeSchema", "true").parquet(path).schema
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    data = [f for f in found.fields if f.name not in ("run_id", "block")]
+    parts = [T.StructField("run_id", T.StringType()), T.StructField("block", T.IntegerType())]
+    return spark.read.schema(T.StructType(data + parts)).parquet(path).filter(F.col("run_id") == run_id)
+
+
 def metrics_append(df: DataFrame, root: str, table: str, run_id: str) -> None:
-    """Adds rounds to a run's table; a round that is written again replaces itself."""
-    (df.withColumn("run_id", F.lit(run_id)).repartition("round").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("run_id", "round").parquet(f"{root}/{table}"))
+    """Adds rounds to a run's table; a round that is written again replaces itself.
+
+    A folder holds a block of rounds. Where the run has rows already, those of the touched blocks' other rounds are written
+    again beside the new ones; the folders are swapped once all rows are written.
+    """
+    path = f"{root}/{table}"
+    new = df.withColumn("round", F.col("round").cast("int")).withColumn("run_id", F.lit(run_id)) \
+        .withColumn("block", F.floor(F.col("round") / F.lit(ROUNDS_PER_BLOCK)).cast("int"))
+    stored = _stored_metrics(df.sparkSession, path, run_id)
+    if stored is not None:
+        new = cut_lineage(new, "metrics")
+        blocks, rounds = new.select(F.col("block").alias("_block")).distinct(), new.select(F.col("round").alias("_round")).distinct()
+        kept = stored.join(blocks, F.col("block").eqNullSafe(F.col("_block")), "left_semi") \
+            .join(rounds, F.col("round").eqNullSafe(F.col("_round")), "left_anti")
+        new = new.unionByName(kept, allowMissingColumns=True)
+    (new.repartition("block").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_id", "block").parquet(path))
 
 
 def metrics_scan(spark: SparkSession, root: str, table: str, run_id: str | None = None) -> DataFrame:

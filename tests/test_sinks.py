@@ -36,6 +36,20 @@ def test_metrics_append_scan(spark, tmp_path):
     assert LK.metrics_scan(spark, root, "drift_alerts").count() == 1
 
 
+def test_a_long_run_is_few_folders_and_rounds_still_replace_themselves(spark, tmp_path):
+    def rounds(ids, auc):
+        return spark.createDataFrame([(r, r, None, None, auc, 0.4, 5, 1.5, None) for r in ids], ROUNDS)
+
+    LK.metrics_append(rounds([*range(3000), None], 0.1), str(tmp_path), "rounds", "7")
+    LK.metrics_append(rounds([5, None, 4000], 0.2), str(tmp_path), "rounds", "7")
+    LK.metrics_append(rounds([5], 0.3), str(tmp_path), "rounds", "8")
+    assert len(list(tmp_path.glob("rounds/run_id=7/*/*.parquet"))) < 20
+    got = LK.metrics_scan(spark, str(tmp_path), "rounds", "7").collect()
+    assert [r["round"] for r in got] == [None, *range(3000), 4000]
+    assert {r["round"] for r in got if r["global_auc_roc"] == 0.2} == {5, None, 4000}
+    assert [r["round"] for r in LK.metrics_scan(spark, str(tmp_path), "rounds", "8").collect()] == [5]
+
+
 def test_model_registry(spark, tmp_path):
     path = str(tmp_path / "models")
     assert RG.save_version(spark, path, [0.0, 1.0], 0, {"kind": "init"}) == 1
