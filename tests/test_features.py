@@ -36,6 +36,16 @@ def test_distinct_in_degree_brute_force(spark):
         assert got[(dest, step)] == len(senders)
 
 
+def test_distinct_in_degree_shuffles_rows_once(spark):
+    """Rows of a pair at one step, null accounts included, count one sender; three shuffles in all."""
+    rng = np.random.default_rng(2)
+    rows = [(int(rng.integers(0, 60)), f"C{rng.integers(0, 5)}" if i % 9 else None, f"M{rng.integers(0, 3)}") for i in range(300)]
+    got = distinct_in_degree_table(spark.createDataFrame(rows * 2, "step int, nameOrig string, nameDest string"))
+    want = {(d, s): float(len({o for t, o, x in rows if x == d and s - 23 <= t <= s})) for s, _, d in rows}
+    assert {(r["nameDest"], r["step"]): r["in_degree_24h_distinct"] for r in got.collect()} == want
+    assert got._jdf.queryExecution().toString().split("== Physical Plan ==")[1].split("Initial Plan")[-1].count("Exchange hashpartitioning") == 3
+
+
 def test_features_two_rows(spark):
     rows = [(1, 1, "PAYMENT", 100.0, "C1", 500.0, 400.0, "M1", 0.0, 0.0, 0, 0),
             (2, 2, "TRANSFER", 200.0, "C2", 600.0, 500.0, "M2", 100.0, 50.0, 1, 0)]
