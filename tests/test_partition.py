@@ -134,3 +134,15 @@ def test_public_split_meets_features_without_a_join(spark, tmp_path):
         if name == "once":
             assert got.filter("split = 'public'").count() == 90
             assert not any(w in got._jdf.queryExecution().executedPlan().toString() for w in ("SortMergeJoin", "ShuffledHashJoin"))
+
+
+def test_public_rows_are_drawn_once_for_all_readers(spark, tmp_path):
+    """Readers of the split rank nothing; rows without event_id or type are in neither part."""
+    from silolake.operators.holdout import public_holdout, with_public_split
+    rows = [(i if i else None, "ABC"[i % 3] if i % 50 else None) for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, type string").write.parquet(str(tmp_path / "t"))
+    tx = spark.read.parquet(str(tmp_path / "t"))
+    got = with_public_split(tx, tx, 60)
+    assert got.columns == ["event_id", "type", "split"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, public_holdout(tx, 60).select(*got.columns).collect()))
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
