@@ -146,3 +146,32 @@ def test_public_rows_are_drawn_once_for_all_readers(spark, tmp_path):
     assert got.columns == ["event_id", "type", "split"]
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, public_holdout(tx, 60).select(*got.columns).collect()))
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scale_up_deals_events_before_it_copies_them(spark, tmp_path):
+    """One file of one row group: its copies are made by many tasks and not written; the summary is that of written copies."""
+    import datetime as dt
+
+    from silolake.operators import partition as P
+    from silolake.plans import catalog as C
+    from silolake.plans import pipeline as PL
+    from silolake.session import cut_lineage
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=37 * i), i % 9 if i % 8 else None, ["view", "click", "purchase", "error", None][i % 5],
+             float(i * 31 % 400) if i % 11 else None) for i in range(300)]
+    rows += rows[:20]
+    ev = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+    ev.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = C.q_amplify_features_x10(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    copies = [c for c in plan.split("Generate explode(")[1:] if "RoundRobinPartitioning" in c.split("FileScan")[0]]
+    assert copies and len(copies) == plan.count("Generate explode(")
+    assert "silolake-copies" not in plan and "silolake-amplified" not in plan
+    a = amplify(tx_events(spark, str(tmp_path)), 10, 42, 0.1)
+    a = a.withColumn("event_id", F.col("event_id") * 16 + F.col("copy")).drop("copy")
+    feat = PL.feature_columns(cut_lineage(P.dirichlet_partition(cut_lineage(a), types=list(C.P_TYPES()))))
+    want = C.rounded(feat.groupBy("silo_id").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("velocity_24h_count").alias("avg_velocity_24h_count"),
+        F.avg("velocity_168h_sum").alias("avg_velocity_168h_sum"), F.sum("in_degree_24h").alias("sum_in_degree_24h"),
+        F.avg("log1p_amount").alias("avg_log1p_amount")), 4)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert sum(r["n"] for r in got.collect()) == 10 * len(rows)
