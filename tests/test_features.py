@@ -91,3 +91,17 @@ def test_row_frames_equal_the_joined_tables(spark):
     assert sorted(got.columns) == cols
     assert sorted(map(str, got.select(*cols).collect())) == sorted(map(str, want.select(*cols).collect()))
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_in_degree_of_rows_takes_one_shuffle(spark):
+    """Rows kept by the operator have the frames of its table joined to them; rows without a silo, an account or a step are left out."""
+    from silolake.operators import windows as W
+    rows = [(i, f"silo-{i % 2}" if i % 7 else None, f"S{i % 5}" if i % 13 else None, (i * 37) % 300 if i % 17 else None)
+            for i in range(700)] + [(3, "silo-1", "S3", 111)] * 3 + [(None, "silo-1", "S3", 112)]
+    tx = spark.createDataFrame(rows, "event_id long, silo_id string, nameDest string, step int")
+    keys = ["silo_id", "nameDest", "step"]
+    got = W.in_degree_table(tx, by=("silo_id",), keep=("event_id",))
+    want = tx.join(W.in_degree_table(tx, by=("silo_id",)), keys)
+    cols = sorted(want.columns)
+    assert sorted(map(str, got.select(*cols).collect())) == sorted(map(str, want.select(*cols).collect()))
+    assert got._jdf.queryExecution().toString().split("== Physical Plan ==")[1].split("Initial Plan")[-1].count("Exchange") == 1
