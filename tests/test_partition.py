@@ -175,3 +175,24 @@ def test_scale_up_deals_events_before_it_copies_them(spark, tmp_path):
         F.avg("log1p_amount").alias("avg_log1p_amount")), 4)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert sum(r["n"] for r in got.collect()) == 10 * len(rows)
+
+
+def test_replayed_copies_are_made_of_dealt_events(spark, tmp_path, monkeypatch):
+    """The monitor's copies share that step."""
+    import datetime as dt
+
+    import pytest
+
+    from silolake.plans import catalog as C
+    ev = spark.createDataFrame([(i, dt.datetime(2024, 1, 1, i), i, "view", 1.0) for i in range(9)],
+                               "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+    ev.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    seen = []
+
+    def spy(tx, *_):
+        seen.append(tx)
+        raise KeyError("seen")
+    monkeypatch.setattr(C.AMP, "amplify", spy)
+    with pytest.raises(KeyError, match="seen"):
+        C._stream_binned_by_silo(spark, str(tmp_path), copies=20)
+    assert "RoundRobinPartitioning" in seen[0]._jdf.queryExecution().executedPlan().toString() and seen[0].count() == 9
