@@ -1,10 +1,13 @@
 import numpy as np
 import pandas as pd
+import pytest
 
 from silolake.functions import model as MLP
 from silolake.functions.privacy import analytic_gaussian_epsilon, compose_epsilons
 from silolake.plans.train import TrainConfig, train_mode_a, train_mode_b
 
+SF_SMALL = "/root/testdata/sf0.001"
+
 
 def test_gradient_check():
     rng = np.random.default_rng(0)
@@ -141,3 +144,39 @@ def test_shard_rows_stay_packed():
     assert (silo, shard, x.dtype, x.shape) == ("silo-1", 3, np.float32, (n, f))
     assert (x[order][:, 5] == np.arange(n)).all() and (y[order] == np.arange(n) % 2).all()
     assert peak < 280 * n  # numpy's own count holds the arrays twice while they are gathered
+
+
+def test_a_shard_is_read_whole_without_a_sort(spark):
+    """However large files may be split or put together elsewhere: a shard is a partition, and nothing is sorted for it."""
+    from pyspark.sql import functions as F
+
+    from silolake.plans.train import epoch_models, shard_layout
+
+    df, x, _ = _table(spark, n=900, silos=3)
+    cfg = TrainConfig(hidden=(4,), shards=7)
+    layout = shard_layout(df, cfg)
+    per = layout.rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("slot").alias("slots"), F.count("*").alias("n")).collect()
+    assert [r["slots"] for r in per] == [1] * 7 and sum(r["n"] for r in per) == 900
+    assert sorted(map(tuple, layout.table.collect())) == sorted(map(tuple, layout.rows.collect()))
+    sizes = MLP.layer_sizes(x.shape[1], [4])
+    state = spark.sparkContext.broadcast({s: dict.fromkeys(layout.silos, MLP.init_weights(sizes)) for s in "wg"} | {"pw": dict.fromkeys(layout.silos, 1.0)})
+    plan = epoch_models(layout.rows, state, sizes, cfg, 0, 0)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange" not in plan
+    with pytest.raises(Exception, match="rows of several shards came together"):
+        epoch_models(layout.rows.coalesce(1), state, sizes, cfg, 0, 0).collect()
+
+
+def test_mode_b_writes_the_training_rows_once(spark, monkeypatch):
+    """A training table that is a plan is not written but as shards, and a run that was stopped reads the shards again."""
+    from silolake import session
+    from silolake.plans import catalog as C
+    from silolake.plans import train as TR
+
+    written, laid = [], []
+    real, layout = session.write_table, TR.shard_layout
+    monkeypatch.setattr(session, "write_table", lambda df, name="table": (written.append((name, df.columns, df.count())), real(df, name))[1])
+    for m in (TR, C.FED):
+        monkeypatch.setattr(m, "shard_layout", lambda t, c: (laid.append(1), layout(t, c))[1])
+    assert C.q_federated_fit_resumed(spark, SF_SMALL).count() == 2
+    assert len(laid) == 1
+    assert not [n for name, cols, n in written if "features" in cols and n > 2000] and not any(name == "silo_tx" for name, _, _ in written)
