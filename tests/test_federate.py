@@ -96,6 +96,33 @@ def test_alert_raises_the_epochs_of_the_round_after(spark, tables, monkeypatch):
     assert psi[1] is None and psi[2] > 0.2 and psi[3] > 0.2
 
 
+def test_drift_is_measured_once_and_over_the_watched_places_only(spark, tables, monkeypatch):
+    """Later rounds see the same two tables, so they take the first one's answer; unwatched places do not become rows."""
+    train, val = tables
+    shifted, calls = make(spark, shift=3.0), []
+    every = {(r["silo_id"], r["feature"]): r["psi"] for r in FED.drift_psi(train, shifted).collect()}
+    some = {(r["silo_id"], r["feature"]): r["psi"] for r in FED.drift_psi(train, shifted, (3, 0, 99)).collect()}
+    assert some == {k: v for k, v in every.items() if k[1] in ("f0", "f3")} and len(some) == 6
+    real = FED.drift_psi
+    monkeypatch.setattr(FED, "drift_psi", lambda *a: (calls.append(1), real(*a))[1])
+    cfg = FED.FedConfig(rounds=3, agg="fedavg", train=TRAIN, drift_round=2, drift_features=(0,))
+    _, metrics, _ = FED.federated_fit(train, val, cfg, drifted=shifted)
+    psi = {(r["round"], r["silo_id"]): r["psi"] for r in metrics.collect()}
+    assert len(calls) == 1 and all(psi[2, s] == psi[3, s] == every[s, "f0"] for s in ("silo-0", "silo-1", "silo-2"))
+
+
+def test_the_drifted_table_is_written_as_shards_only(spark, monkeypatch):
+    from silolake.plans import scenarios as SC
+    written = []
+    real = SC.cut_lineage
+    monkeypatch.setattr(SC, "cut_lineage", lambda df, *a: (written.append((df.columns, df.count())), real(df, *a))[1])
+    train, val, drifted = SC.scenario_tables(spark, "/root/testdata/sf0.001", SC.SCENARIOS["E4"], public_rows=500)
+    assert max(n for _, n in written) <= 500
+    a, b = ({r["event_id"]: r for r in t.collect()} for t in (train, drifted))
+    assert set(a) == set(b) and len(a) == 6000 - 500 and val.count() == 500
+    assert any(a[k]["features"] != b[k]["features"] for k in a) and all(a[k]["silo_id"] == b[k]["silo_id"] and a[k]["label"] == b[k]["label"] for k in a)
+
+
 def test_label_flip_reaches_one_silo_only(spark, tables):
     train, _ = tables
     cfg = FED.FedConfig(rounds=1, agg="fedavg", train=TRAIN)
