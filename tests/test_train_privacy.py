@@ -166,6 +166,26 @@ def test_a_shard_is_read_whole_without_a_sort(spark):
         epoch_models(layout.rows.coalesce(1), state, sizes, cfg, 0, 0).collect()
 
 
+def test_shards_are_whole_where_files_hold_several(spark, monkeypatch):
+    """Rows dealt to another number of files than asked for, and files split or put together as the session likes."""
+    from pyspark.sql import functions as F
+
+    from silolake.plans.train import shard_layout
+
+    df, x, _ = _table(spark, n=900, silos=3)
+    cfg = TrainConfig(hidden=(4,), batch_size=32, shards=7)
+    w0 = MLP.init_weights(MLP.layer_sizes(x.shape[1], [4]))
+    want = train_mode_b(df, w0, cfg).sort_values("silo_id")
+    real = type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, n, *c: real(self, 3 if c else n, *c))
+    layout = shard_layout(df, cfg)
+    assert len(layout.rows.inputFiles()) <= 3
+    per = layout.rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("slot").alias("slots"), F.count("*").alias("n")).collect()
+    assert [r["slots"] for r in per] == [1] * 7 and sum(r["n"] for r in per) == 900
+    got = train_mode_b(layout, w0, cfg).sort_values("silo_id")
+    assert all(np.array_equal(p, q) for p, q in zip(want["delta"], got["delta"]))
+
+
 def test_mode_b_writes_the_training_rows_once(spark, monkeypatch):
     """A training table that is a plan is not written but as shards, and a run that was stopped reads the shards again."""
     from silolake import session
